@@ -15,9 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share when the input has fewer splits than there are cores.
+
+    One small file is one split. Inputs of many splits stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents; the source is the knowledge base."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("kb_id"), "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("kb_id"), "text"))
 
 
 def note_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
