@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from noteloom.settings import (
     CONTEXT_INCOMPLETE_MARKER,
@@ -36,19 +37,19 @@ DEPENDENT_START_PATTERN = (
 LEADING_MARKUP = " \t\r\n>*-0123456789.)"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def casefold(text: pd.Series) -> pd.Series:
     """Full Unicode case folding, which ``lower`` does not give."""
     return text.str.casefold()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode composition (NFC)."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc_squash(text: pd.Series) -> pd.Series:
     """NFKC with all white space removed, for comparing quotes with sources."""
     return text.map(lambda t: None if t is None else "".join(unicodedata.normalize("NFKC", t).split()))

@@ -1,0 +1 @@
+"""Reading and writing: corpora, catalogues, snapshots and reports."""
