@@ -132,10 +132,12 @@ def redact(text: Column, secrets: Sequence[str] = ()) -> Column:
     out = text
     for secret in sorted({s for s in secrets if s}, key=len, reverse=True):
         out = F.replace(out, F.lit(secret), F.lit(REDACTED))
-    out = F.regexp_replace(out, BEARER_PATTERN, f"Bearer {REDACTED}")
-    out = F.regexp_replace(out, BASIC_PATTERN, f"Basic {REDACTED}")
-    out = F.regexp_replace(out, CREDENTIAL_PATTERN, f"$1{REDACTED}")
-    return F.regexp_replace(out, URL_USERINFO_PATTERN, f"$1{REDACTED}@")
+    for pattern, shown in (
+        (BEARER_PATTERN, f"Bearer {REDACTED}"), (BASIC_PATTERN, f"Basic {REDACTED}"),
+        (CREDENTIAL_PATTERN, f"$1{REDACTED}"), (URL_USERINFO_PATTERN, f"$1{REDACTED}@"),
+    ):
+        out = F.regexp_replace(out, "(?U)" + pattern, shown)  # classes in their Unicode sense
+    return out
 
 
 def title_matches(title: Column, needle: str) -> Column:

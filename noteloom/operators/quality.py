@@ -232,7 +232,7 @@ def set_differences(left: DataFrame, right: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- image package manifests
 
 # Stored extension of each accepted image type.
-MIME_EXTENSIONS = {"image/png": ".png", "image/jpeg": ".jpg", "image/gif": ".gif", "image/webp": ".webp"}
+MIME_EXTENSIONS = {"image/png": ".png", "image/jpeg": ".jpg", "image/webp": ".webp"}
 
 
 def manifest_problems(manifests: DataFrame) -> DataFrame:
@@ -256,19 +256,21 @@ def manifest_problems(manifests: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), (F.max("_i") + 1).cast("bigint").alias("ordinal")
     ).filter("n > 1").select("doc_id", F.lit("asset_repeated").alias("code"), "ordinal")
 
-    # Occurrences stay inside the row: their order and neighbours are array positions.
-    known = F.transform("assets", lambda a: a["source_path"])
-    occ = manifests.select(
-        "doc_id", "source_char_count", known.alias("_known"), F.posexplode("occurrences").alias("_i", "o"),
-        F.col("occurrences").alias("_all"),
-    )
-    previous = F.coalesce(F.get("_all", F.col("_i") - 1)["char_end"], F.lit(-1))
-    inside = (F.col("o.char_start") >= 0) & (F.col("o.char_end") > F.col("o.char_start")) & (F.col("o.char_end") <= F.col("source_char_count"))
-    occ_code = (
-        F.when(~F.coalesce(F.col("o.ordinal") == F.col("_i") + 1, F.lit(False)), "occurrence_ordinal")
-        .when(~F.coalesce(F.array_contains("_known", F.col("o.asset_source_path")), F.lit(False)), "occurrence_asset")
-        .when(F.col("o.source_reference").isNull() | F.col("o.alt_text").isNull(), "occurrence_text")
-        .when(~F.coalesce(inside & (F.col("o.char_start") >= previous), F.lit(False)), "occurrence_span")
+    # Occurrences are judged inside the row: order and neighbours are array positions.
+    def judged(o: Column, i: Column) -> Column:
+        before = F.coalesce(F.get(F.col("occurrences"), i - 1)["char_end"], F.lit(-1))
+        inside = (o["char_start"] >= F.greatest(before, F.lit(0))) & (o["char_end"] > o["char_start"]) & (
+            o["char_end"] <= F.col("source_char_count")
+        )
+        known = F.exists(F.col("assets"), lambda a: a["source_path"] == o["asset_source_path"])
+        return (
+            F.when(~F.coalesce(o["ordinal"] == i + 1, F.lit(False)), "occurrence_ordinal")
+            .when(~F.coalesce(known, F.lit(False)), "occurrence_asset")
+            .when(o["source_reference"].isNull() | o["alt_text"].isNull(), "occurrence_text")
+            .when(~F.coalesce(inside, F.lit(False)), "occurrence_span")
+        )
+
+    occurrences = manifests.select("doc_id", F.posexplode(F.transform("occurrences", judged)).alias("_i", "code")).select(
+        "doc_id", "code", (F.col("_i") + 1).cast("bigint").alias("ordinal")
     )
-    occurrences = occ.select("doc_id", occ_code.alias("code"), (F.col("_i") + 1).cast("bigint").alias("ordinal"))
     return _union([assets, repeated, occurrences]).filter(F.col("code").isNotNull())

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from noteloom.plans import search
+from noteloom.plans import documents, evaluation, search
 
-_PARTS = (search,)
+_PARTS = (documents, search, evaluation)
 
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

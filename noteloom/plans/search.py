@@ -208,10 +208,10 @@ _PROFILE = (
 )
 
 PROFILE_HITS = f"""
-asked_v AS (SELECT question_id, v, list_dot_product(v, v) AS s
-            FROM (SELECT question_id, {_PROFILE.format(t='text')} AS v FROM asked)),
-lines_v AS (SELECT chunk_id, v, list_dot_product(v, v) AS s
-            FROM (SELECT chunk_id, {_PROFILE.format(t='content')} AS v FROM lines)),
+asked_v AS (SELECT question_id, kb_id, v, list_dot_product(v, v) AS s
+            FROM (SELECT question_id, kb_id, {_PROFILE.format(t='text')} AS v FROM asked)),
+lines_v AS (SELECT chunk_id, kb_id, v, list_dot_product(v, v) AS s
+            FROM (SELECT chunk_id, kb_id, {_PROFILE.format(t='content')} AS v FROM lines)),
 vector_hits AS (
   SELECT question_id, chunk_id, similarity,
          row_number() OVER (PARTITION BY question_id ORDER BY similarity DESC, chunk_id) AS vector_rank
@@ -219,7 +219,7 @@ vector_hits AS (
     SELECT question_id, chunk_id,
            CASE WHEN a.s * l.s = 0 THEN 0
                 ELSE round(greatest(-1, least(1, list_dot_product(a.v, l.v) / sqrt(a.s * l.s))), 9) END AS similarity
-    FROM asked_v a, lines_v l
+    FROM asked_v a, lines_v l WHERE a.kb_id IS NULL OR a.kb_id = l.kb_id
   ) QUALIFY vector_rank <= 20
 )"""
 
