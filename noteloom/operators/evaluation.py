@@ -19,14 +19,20 @@ from noteloom.operators.gate import evidence_band, status_of_band
 _UNIT = "\x1f"
 
 
-def is_hit(
-    expected_doc: Column, actual_doc: Column, keywords: Column, content: Column,
-    fold: Callable[[Column], Column] = casefold,
-) -> Column:
-    """Same document, and the text holds at least one keyword; case is ignored."""
-    folded = F.split(fold(F.array_join(keywords, _UNIT)), _UNIT)
-    text = fold(content)
-    return (fold(expected_doc) == fold(actual_doc)) & F.exists(folded, lambda k: F.contains(text, k))
+def relevant(candidates: DataFrame, fold: Callable[[Column], Column] = casefold) -> DataFrame:
+    """Candidates of the expected document that hold at least one keyword; case is ignored.
+
+    Needs ``expected_doc, expected_keywords, doc_title, content``. The folded texts are
+    columns of their own because a Python function cannot stand inside a lambda.
+    """
+    folded = candidates.withColumns({
+        "_expected": fold(F.col("expected_doc")), "_actual": fold(F.col("doc_title")),
+        "_keywords": fold(F.array_join("expected_keywords", _UNIT)), "_content": fold(F.col("content")),
+    })
+    return folded.filter(
+        (F.col("_expected") == F.col("_actual"))
+        & F.exists(F.split("_keywords", _UNIT), lambda k: F.contains(F.col("_content"), k))
+    ).drop("_expected", "_actual", "_keywords", "_content")
 
 
 def first_hit_ranks(items: DataFrame, candidates: DataFrame, fold=casefold) -> DataFrame:
@@ -36,8 +42,7 @@ def first_hit_ranks(items: DataFrame, candidates: DataFrame, fold=casefold) -> D
     )
     # Candidates per question are few, so the text comparison follows the join on the question.
     hits = (
-        candidates.join(evaluable.select("question_id", "expected_doc", "expected_keywords"), "question_id")
-        .filter(is_hit(F.col("expected_doc"), F.col("doc_title"), F.col("expected_keywords"), F.col("content"), fold))
+        relevant(candidates.join(evaluable.select("question_id", "expected_doc", "expected_keywords"), "question_id"), fold)
         .groupBy("question_id").agg(F.min("rank").alias("hit_rank"))
     )
     return evaluable.select("question_id", "library", "difficulty").join(hits, "question_id", "left")
@@ -250,12 +255,9 @@ def manifest_problems(libraries: DataFrame, items: DataFrame, documents: DataFra
     )
     inside = item.filter("in_kb")
     located = inside.join(note.select("library", "_doc", "text"), ["library", "_doc"])
-    absent = located.withColumn("_text", fold(F.col("text"))).withColumn(
-        "_missing",
-        F.filter(
-            F.split(fold(F.array_join("expected_keywords", _UNIT)), _UNIT), lambda k: ~F.contains(F.col("_text"), k)
-        ),
-    ).filter(F.size("_missing") > 0)
+    absent = located.withColumns({
+        "_text": fold(F.col("text")), "_keywords": fold(F.array_join("expected_keywords", _UNIT)),
+    }).filter(F.exists(F.split("_keywords", _UNIT), lambda k: ~F.contains(F.col("_text"), k)))
     sides = item.groupBy("library").agg(F.bool_or("in_kb").alias("some_in"), F.bool_or(~F.col("in_kb")).alias("some_out"))
     one_sided = libraries.select(F.col("key").alias("library")).join(sides, "library", "left").filter(
         ~(F.coalesce("some_in", F.lit(False)) & F.coalesce("some_out", F.lit(False)))
