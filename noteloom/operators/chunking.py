@@ -159,7 +159,9 @@ def split_documents(
 
 def chunk_rows(split: DataFrame, *carry: str) -> DataFrame:
     """Chunks of the accepted documents: (doc_id, carry..., chunk_index, content, char_start, char_end)."""
-    return split.select("doc_id", *carry, "text", F.posexplode("spans").alias("chunk_index", "s")).select(
+    # The outer form keeps the optimizer from testing the array, and so building it, twice.
+    rows = split.select("doc_id", *carry, "text", F.posexplode_outer("spans").alias("chunk_index", "s"))
+    return rows.filter(F.col("chunk_index").isNotNull()).select(
         "doc_id", *carry, F.col("chunk_index").cast("bigint").alias("chunk_index"),
         F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("content"),
         F.col("s.start").alias("char_start"), F.col("s.end").alias("char_end"),
@@ -169,8 +171,8 @@ def chunk_rows(split: DataFrame, *carry: str) -> DataFrame:
 def reject_rows(split: DataFrame, *carry: str) -> DataFrame:
     """Units that made a document unacceptable: (doc_id, carry..., char_start, char_end, code)."""
     return split.filter(F.col("spans").isNull()).select(
-        "doc_id", *carry, F.explode("oversized").alias("u")
-    ).select(
+        "doc_id", *carry, F.explode_outer("oversized").alias("u")
+    ).filter(F.col("u").isNotNull()).select(
         "doc_id", *carry, F.col("u.start").alias("char_start"), F.col("u.end").alias("char_end"),
         F.lit("unit_too_long").alias("code"),
     )
@@ -194,7 +196,9 @@ def unit_table(documents: DataFrame) -> DataFrame:
     (doc_id, section, section_start, section_end, unit, char_start, char_end, heading, dependent)
     """
     return (
-        documents.select("doc_id", "text", F.posexplode(reading_units(F.col("text"))).alias("unit", "u"))
+        documents.select("doc_id", "text", reading_units(F.col("text")).alias("units"))
+        .select("doc_id", "text", F.posexplode_outer("units").alias("unit", "u"))
+        .filter(F.col("unit").isNotNull())
         .select(
             "doc_id", "u.section", "u.section_start", "u.section_end", F.col("unit").cast("bigint").alias("unit"),
             F.col("u.start").alias("char_start"), F.col("u.end").alias("char_end"), "u.heading",

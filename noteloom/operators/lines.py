@@ -15,8 +15,9 @@ def line_chunks(documents: DataFrame, *carry: str) -> DataFrame:
 
     ``chunk_id`` joins the document id and the line number, so it needs no shuffle.
     """
-    return documents.select(
-        "doc_id", *carry, F.posexplode(F.split("text", "\n")).alias("chunk_index", "content")
+    # The outer form keeps the optimizer from splitting every text twice.
+    return documents.filter(F.col("text").isNotNull()).select(
+        "doc_id", *carry, F.posexplode_outer(F.split("text", "\n")).alias("chunk_index", "content")
     ).select(
         F.shiftleft("doc_id", LINE_ID_BITS).bitwiseOR(F.col("chunk_index")).alias("chunk_id"),
         "doc_id", *carry, F.col("chunk_index").cast("bigint").alias("chunk_index"), "content",
@@ -48,8 +49,8 @@ def line_spans(text: Column) -> Column:
 def spanned_lines(documents: DataFrame, *carry: str) -> DataFrame:
     """Lines with offsets: (chunk_id, doc_id, carry..., chunk_index, content, char_start, char_end)."""
     return documents.select(
-        "doc_id", *carry, F.posexplode(line_spans(F.col("text"))).alias("chunk_index", "s")
-    ).select(
+        "doc_id", *carry, F.posexplode_outer(line_spans(F.col("text"))).alias("chunk_index", "s")
+    ).filter(F.col("chunk_index").isNotNull()).select(
         F.shiftleft("doc_id", LINE_ID_BITS).bitwiseOR(F.col("chunk_index")).alias("chunk_id"),
         "doc_id", *carry, F.col("chunk_index").cast("bigint").alias("chunk_index"),
         F.col("s.content").alias("content"),

@@ -26,29 +26,26 @@ from noteloom.operators.scoring import MAX_BROADCAST_QUESTIONS, STRIPE_ROWS, mer
 SCORE_DIGITS = 9
 _SCALE = 10**SCORE_DIGITS
 _BLOCK_ROWS = 512
-
-
-def _codes(questions: pa.Table, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray] | None:
-    """Knowledge bases of questions and rows as comparable values, if both have one."""
-    if "kb_id" not in questions.column_names or "kb_id" not in batch.schema.names:
-        return None
-    return (
-        np.array(questions["kb_id"].to_pylist(), dtype=object),
-        np.array(batch.column("kb_id").to_pylist(), dtype=object),
-    )
+_DENSE_CELLS = 2_000_000
+_MERGE_AT = 2_000_000
 
 
 def _in_scope(questions: pa.Table, batch: pa.RecordBatch) -> np.ndarray:
     """``[row, question]``: the question covers all knowledge bases or this row's."""
-    codes = _codes(questions, batch)
-    if codes is None:
-        return np.ones((batch.num_rows, questions.num_rows), dtype=bool)
-    wanted, have = codes
+    shape = (batch.num_rows, questions.num_rows)
+    if "kb_id" not in questions.column_names or "kb_id" not in batch.schema.names:
+        return np.ones(shape, dtype=bool)
+    wanted = questions["kb_id"].to_pylist()
     everywhere = np.array([w is None for w in wanted], dtype=bool)
-    values = {v: i for i, v in enumerate(dict.fromkeys([*wanted, *have]))}
-    w = np.array([values[v] for v in wanted], dtype=np.int64)
-    h = np.array([values[v] for v in have], dtype=np.int64)
-    return everywhere[None, :] | (h[:, None] == w[None, :])
+    out = np.broadcast_to(everywhere, shape).copy()
+    if not everywhere.all():
+        have = batch.column("kb_id").dictionary_encode()
+        place = {v: i for i, v in enumerate(have.dictionary.to_pylist())}
+        row = have.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        for q, w in enumerate(wanted):
+            if w is not None:
+                out[:, q] = row == place.get(w, -2)
+    return out
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, what: str) -> np.ndarray:
@@ -132,6 +129,7 @@ class _Vocabulary:
         self.weight = np.array(weight, dtype=np.float64)[order]
         self.keys, first = np.unique(keys[order], return_index=True)
         self.start = np.append(first, len(keys))
+        self.matrix: np.ndarray | None = None
 
     def locate(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of each key in the vocabulary, and whether it is there at all."""
@@ -141,7 +139,18 @@ class _Vocabulary:
         return place, self.keys[place] == keys
 
     def spread(self, row, gram, value, rows: int, questions: int) -> np.ndarray:
-        """Sum ``value`` times the question's weight into ``[row, question]``."""
+        """Sum ``value`` times the question's weight into ``[row, question]``.
+
+        Values and weights are whole numbers, so both ways give exactly the same sums: a
+        matrix product while the weights fit a small matrix, and the sparse lists beyond.
+        """
+        if len(self.keys) * questions <= _DENSE_CELLS:
+            if self.matrix is None:
+                self.matrix = np.zeros((len(self.keys), questions))
+                self.matrix[np.repeat(np.arange(len(self.keys)), np.diff(self.start)), self.owner] = self.weight
+            block = np.zeros((rows, len(self.keys)))
+            block[row, gram] = value
+            return block @ self.matrix
         degree = self.start[gram + 1] - self.start[gram]
         within = np.arange(degree.sum()) - np.repeat(np.cumsum(degree) - degree, degree)
         slot = np.repeat(self.start[gram], degree) + within
@@ -170,23 +179,58 @@ def _ascii_lower(text: str) -> str:
 # ---------------------------------------------------------------- BM25 over trigrams
 
 
+def _gram_text(keys: np.ndarray) -> list[str]:
+    mask = (1 << 21) - 1
+    return [chr(k >> 42) + chr((k >> 21) & mask) + chr(k & mask) for k in keys.tolist()]
+
+
+def _merge_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(place, weights=np.concatenate([c for _, c in parts])).astype(np.int64)
+
+
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per task: chunks per trigram, and the row with the totals."""
+    rows = tokens = 0
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def emit(grams, df, tokens):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(grams, pa.string()), pa.array(df, pa.int64()), pa.array(tokens, pa.int64())],
+            names=["gram", "df", "tokens"],
+        )
+
+    for batch in batches:
+        texts = [t.lower() for t in _contents(batch)]
+        rows += len(texts)
+        tokens += sum(max(0, len(t) - 2) for t in texts)
+        points, row = _code_points(texts)
+        keys = _window_keys(points)
+        inside = row[:-2] == row[2:]
+        distinct, code = np.unique(keys[inside], return_inverse=True)
+        pair = np.unique(row[:-2][inside] * max(len(distinct), 1) + code)
+        held.append((distinct, np.bincount(pair % max(len(distinct), 1), minlength=len(distinct))))
+        if sum(len(k) for k, _ in held) > _MERGE_AT:
+            held = [_merge_counts(held)]
+            if len(held[0][0]) > _MERGE_AT:
+                yield emit(_gram_text(held[0][0]), held[0][1], np.zeros(len(held[0][0]), dtype=np.int64))
+                held = []
+    if held:
+        keys, df = _merge_counts(held)
+        yield emit(_gram_text(keys), df, np.zeros(len(keys), dtype=np.int64))
+    yield emit([""], [rows], [tokens])
+
+
 def keyword_statistics(chunks: DataFrame) -> DataFrame:
     """Index-wide counts for BM25: (gram, df, tokens).
 
     One row per trigram with the number of chunks that hold it. The row whose gram is
     the empty string has the number of chunks as ``df`` and all trigrams as ``tokens``.
-    Counting is combined inside each task, so a trigram that occurs everywhere costs
-    one row per task. Write the result next to a snapshot to reuse it.
+    Tasks count before the shuffle, so a trigram that occurs everywhere costs one row per
+    task. Write the result next to a snapshot to reuse it.
     """
-    grams = G.sliding_grams(F.lower("content"))
-    per_chunk = chunks.select(grams.alias("grams")).select(
-        F.explode(F.array_append(F.array_distinct("grams"), F.lit(""))).alias("gram"),
-        F.size("grams").cast("bigint").alias("n"),
-    )
-    return per_chunk.groupBy("gram").agg(
-        F.count(F.lit(1)).alias("df"),
-        F.sum(F.when(F.col("gram") == "", F.col("n")).otherwise(F.lit(0))).alias("tokens"),
-    )
+    counted = chunks.select("content").mapInArrow(_count_grams, "gram string, df bigint, tokens bigint")
+    return counted.groupBy("gram").agg(F.sum("df").alias("df"), F.sum("tokens").alias("tokens"))
 
 
 def _bm25_questions(questions: DataFrame, statistics: DataFrame) -> tuple[DataFrame, float]:
@@ -246,8 +290,10 @@ def _bm25_kernel(top_n: int, mean_length: float):
             r, g = pair // width, pair % width
             length = np.array([max(0, len(t) - 2) for t in lowered], dtype=np.float64)
             part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[r] / mean_length))
-            total = vocabulary.spread(r, g, np.rint(idf[g] * part * _SCALE), n, len(ids))
-            matched = vocabulary.spread(r, g, np.ones(len(g)), n, len(ids)) > 0
+            value = np.rint(idf[g] * part * _SCALE)
+            total = vocabulary.spread(r, g, value, n, len(ids))
+            # A match can be worth nothing after rounding and is still a match.
+            matched = (total if value.all() else vocabulary.spread(r, g, np.ones(len(g)), n, len(ids))) > 0
             for q, needle in literals:
                 matched[:, q] = [needle in _ascii_lower(t) for t in texts]
             best.update(

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from noteloom import settings as S
 from noteloom.functions import canonical, texts, vectors
 from noteloom.operators import chunking, context, images, lines, quality
+from noteloom.operators.retrieval import search_bm25
 from noteloom.plans import inputs as I
 from noteloom.plans.search import LINES
+from noteloom.session import checkpointed
 from noteloom.sources.intake import intake
 
 
@@ -110,7 +112,9 @@ def line_units(spark: SparkSession, d: str) -> DataFrame:
 def line_pack(spark: SparkSession, d: str) -> DataFrame:
     """Lines folded into chunks of at most 800 characters; longer lines stay whole."""
     spans = chunking.pack_lines(lines.line_spans(F.col("text")), S.CHUNK_TARGET_CHARS, S.CHUNK_UNIT_LIMIT_CHARS)
-    return I.notes(spark, d).select("doc_id", F.posexplode(spans).alias("chunk_index", "s")).select(
+    return I.notes(spark, d).select("doc_id", F.posexplode_outer(spans).alias("chunk_index", "s")).filter(
+        F.col("chunk_index").isNotNull()
+    ).select(
         "doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"),
         F.col("s.start").alias("char_start"), F.col("s.end").alias("char_end"),
     )
@@ -191,12 +195,11 @@ def reconstruct_source(spark: SparkSession, d: str) -> DataFrame:
 
 def expanded_context(spark: SparkSession, d: str) -> DataFrame:
     """Context of the eight best keyword hits per question, over chunks that cut sentences."""
-    from noteloom.operators.retrieval import search_bm25
-
     docs = I.notes(spark, d)
     chunks = chunking.chunk_rows(chunking.split_documents(docs, on_oversize="keep"), "kb_id").withColumn(
         "chunk_id", F.shiftleft("doc_id", lines.LINE_ID_BITS).bitwiseOR(F.col("chunk_index").cast("int"))
     )
+    chunks = checkpointed(chunks)  # read five times below; a real index is a stored table
     hits = search_bm25(I.questions(spark, d), chunks, S.RETRIEVE_TOP_K).withColumnRenamed("keyword_rank", "rank")
     sizes = docs.select("doc_id", "kb_id", F.length("text").cast("bigint").alias("char_count"))
     return context.expand_evidence(hits, chunks, sizes).select(

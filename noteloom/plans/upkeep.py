@@ -411,11 +411,11 @@ SELECT doc_id, action, CASE action WHEN 'requeued' THEN 'queued' WHEN 'none' THE
        CASE WHEN action = 'requeued' THEN CASE WHEN same THEN recoveries + 1 ELSE 1 END ELSE recoveries END AS recovery_count,
        CASE WHEN action = 'failed' THEN error END AS error_code, active AND action = 'requeued' AND tv <> dv AS settled_before_requeue FROM r""",
     "session_ttl": f"""
-WITH e AS (SELECT user_id, epoch_us(ts) AS at FROM events),
-g AS (SELECT *, CASE WHEN at - lag(at) OVER w > {SESSION_GAP} * 1000000::BIGINT OR lag(at) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM e
-      WINDOW w AS (PARTITION BY user_id ORDER BY at)),
-s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY at ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM g)
-SELECT user_id, session, count(*) AS events, min(at) AS started, max(at) AS ended FROM s GROUP BY 1, 2""",
+WITH e AS (SELECT user_id, epoch_us(ts) AS us FROM events),
+g AS (SELECT *, CASE WHEN us - lag(us) OVER w > {SESSION_GAP} * 1000000::BIGINT OR lag(us) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM e
+      WINDOW w AS (PARTITION BY user_id ORDER BY us)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM g)
+SELECT user_id, session, count(*) AS events, min(us) AS started, max(us) AS ended FROM s GROUP BY 1, 2""",
     "last_n_turns": """
 SELECT conv_id, turn, role, length(text) AS n_chars FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 5""",
     "usable_history": r"""
