@@ -114,6 +114,30 @@ def _window_keys(points: np.ndarray) -> np.ndarray:
     return (points[:-2] << 42) | (points[1:-1] << 21) | points[2:]
 
 
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order and how often each occurs."""
+    ordered = np.sort(values)
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, dtype=np.int64)
+    return ordered[first], np.diff(np.append(first, len(ordered)))
+
+
+def _distinct_grams(points: np.ndarray, row: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each trigram of each row once, as (row, key); ``inside`` marks the windows that count.
+
+    Code points are renumbered to the few in use, so a row and a trigram fit one number.
+    """
+    used = np.zeros(int(points.max(initial=0)) + 1, dtype=bool)
+    used[points] = True
+    alphabet = np.flatnonzero(used)
+    code = np.cumsum(used) - 1
+    small, n = code[points], len(alphabet)
+    gram = (small[:-2] * n + small[1:-1]) * n + small[2:]
+    pair, _ = _runs(row[:-2][inside] * n**3 + gram[inside])
+    rows, gram = pair // n**3, pair % n**3
+    key = (alphabet[gram // n**2] << 42) | (alphabet[gram // n % n] << 21) | alphabet[gram % n]
+    return rows, key
+
+
 def _gram_key(gram: str) -> int:
     a, b, c = (ord(x) for x in gram)
     return (a << 42) | (b << 21) | c
@@ -162,10 +186,10 @@ class _Vocabulary:
         return total.reshape(rows, questions)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int = _BLOCK_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start in range(0, batch.num_rows, _BLOCK_ROWS):
-            yield batch.slice(start, _BLOCK_ROWS)
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
 
 
 def _contents(batch: pa.RecordBatch) -> list[str]:
@@ -185,8 +209,12 @@ def _gram_text(keys: np.ndarray) -> list[str]:
 
 
 def _merge_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(place, weights=np.concatenate([c for _, c in parts])).astype(np.int64)
+    keys = np.concatenate([k for k, _ in parts])
+    order = np.argsort(keys, kind="stable")
+    distinct, counts = _runs(keys)
+    ends = np.cumsum(counts)
+    total = np.concatenate([[0], np.cumsum(np.concatenate([c for _, c in parts])[order])])
+    return distinct, total[ends] - total[ends - counts]
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,16 +228,13 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["gram", "df", "tokens"],
         )
 
-    for batch in batches:
+    for batch in _blocks(batches, 1024):
         texts = [t.lower() for t in _contents(batch)]
         rows += len(texts)
         tokens += sum(max(0, len(t) - 2) for t in texts)
         points, row = _code_points(texts)
-        keys = _window_keys(points)
-        inside = row[:-2] == row[2:]
-        distinct, code = np.unique(keys[inside], return_inverse=True)
-        pair = np.unique(row[:-2][inside] * max(len(distinct), 1) + code)
-        held.append((distinct, np.bincount(pair % max(len(distinct), 1), minlength=len(distinct))))
+        _, keys = _distinct_grams(points, row, row[:-2] == row[2:])
+        held.append(_runs(keys))
         if sum(len(k) for k, _ in held) > _MERGE_AT:
             held = [_merge_counts(held)]
             if len(held[0][0]) > _MERGE_AT:
@@ -286,7 +311,7 @@ def _bm25_kernel(top_n: int, mean_length: float):
             place, known = vocabulary.locate(keys)
             hit = known & (row[:-2] == row[2:])
             width = max(len(vocabulary.keys), 1)
-            pair, tf = np.unique(row[:-2][hit] * width + place[hit], return_counts=True)
+            pair, tf = _runs(row[:-2][hit] * width + place[hit])
             r, g = pair // width, pair % width
             length = np.array([max(0, len(t) - 2) for t in lowered], dtype=np.float64)
             part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[r] / mean_length))
@@ -347,11 +372,7 @@ def _trgm_kernel(top_n: int, min_similarity: float):
                 "\0".join(f"  {w} " for w in dict.fromkeys(word.findall(t.lower()))) for t in _contents(batch)
             ]
             points, row = _code_points(padded)
-            keys = _window_keys(points)
-            inside = (points[:-2] > 0) & (points[1:-1] > 0) & (points[2:] > 0)
-            distinct, code = np.unique(keys[inside], return_inverse=True)
-            pair = np.unique(row[:-2][inside] * max(len(distinct), 1) + code)
-            r, key = pair // max(len(distinct), 1), distinct[pair % max(len(distinct), 1)]
+            r, key = _distinct_grams(points, row, (points[:-2] > 0) & (points[1:-1] > 0) & (points[2:] > 0))
             n = batch.num_rows
             have = np.bincount(r, minlength=n)[:, None]
             place, known = vocabulary.locate(key)
