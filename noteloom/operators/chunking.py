@@ -60,8 +60,9 @@ def note_units(text: Column, target: int = S.CHUNK_TARGET_CHARS, protected: Colu
             out.append([] if blank else list(_packable(t, [(x["start"], x["end"]) for x in s or ()], target)))
         return pa.array(out, _UNITS_ARROW)
 
+    # Marked as not repeatable, so that no pushed-down test evaluates it a second time.
     none = F.lit(None).cast("array<struct<start:bigint,end:bigint>>")
-    return units(text, none if protected is None else protected)
+    return units.asNondeterministic()(text, none if protected is None else protected)
 
 
 @F.arrow_udf(_READING)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from noteloom import settings as S
 from noteloom.operators.chunking import unit_table
 from noteloom.operators.quality import reconstruct
+from noteloom.session import checkpointed
 
 
 def dependency_islands(units: DataFrame) -> DataFrame:
@@ -144,12 +145,13 @@ def expand_evidence(
     evidence cannot be completed has a single row with ``problem``. Text is read only for
     the documents that were hit; the last step groups spans of one question's sections.
     """
-    hit = anchors.select("question_id", "rank", "chunk_id").join(
+    # A few rows per question, used three times below; the search behind them runs once.
+    hit = checkpointed(anchors.select("question_id", "rank", "chunk_id").join(
         chunks.select("chunk_id", "doc_id", "char_start", "char_end"), "chunk_id", "left"
-    )
+    ))
     docs = hit.select("doc_id").dropna().distinct()
     held = chunks.join(docs, "doc_id", "left_semi").join(documents.select("doc_id", "kb_id"), ["doc_id", "kb_id"], "left_semi")
-    whole = reconstruct(held, documents.join(docs, "doc_id", "left_semi"))
+    whole = checkpointed(reconstruct(held, documents.join(docs, "doc_id", "left_semi")))
     sections = _sections(unit_table(whole.filter(F.col("code").isNull()).select("doc_id", "text")), held)
     s = sections.withColumnRenamed("doc_id", "_doc").drop("section")
     located = hit.join(

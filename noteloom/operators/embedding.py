@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,25 +58,25 @@ def embed(
     df: DataFrame, text_column: str, embedder: Embedder, dimension: int = S.EMBED_DIMENSION,
     batch_size: int = S.EMBED_BATCH, retries: int = S.EMBED_RETRIES, pause_seconds: float = 0.5,
 ) -> DataFrame:
-    """``df`` with an ``embedding`` column; rows keep their order inside a partition."""
-    schema = T.StructType(
-        [f for f in df.schema if f.name != "embedding"]
-        + [T.StructField("embedding", T.ArrayType(T.DoubleType()), False)]
-    )
-    names = [f.name for f in schema]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = frame[text_column].tolist()
-            parts = [
-                _checked(embedder, texts[i : i + batch_size], dimension, retries, pause_seconds)
-                for i in range(0, len(texts), batch_size)
-            ]
-            frame = frame.copy()
-            frame["embedding"] = [v for part in parts for v in part] if parts else []
-            yield frame[names]
-
-    return df.drop("embedding").mapInPandas(run, schema)
+    """``df`` with an ``embedding`` column.
+
+    Only the text goes to Python, in Arrow batches that are cut into embedder batches. The
+    column is marked as not repeatable, so the optimizer never evaluates it twice, and a
+    scan that does not use it does not evaluate it at all.
+    """
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def run(column: pa.Array) -> pa.Array:
+        texts = column.to_pylist()
+        parts = [
+            _checked(embedder, texts[i : i + batch_size], dimension, retries, pause_seconds)
+            for i in range(0, len(texts), batch_size)
+        ]
+        values = np.concatenate(parts).ravel() if parts else np.zeros(0)
+        offsets = np.arange(len(texts) + 1, dtype=np.int32) * dimension
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.float64()))
+
+    return df.withColumn("embedding", run.asNondeterministic()(F.col(text_column)))
 
 
 def embed_distinct(
@@ -85,11 +85,3 @@ def embed_distinct(
     """Embed each distinct text once and give the vector to every row that has it."""
     once = embed(questions.select(text_column).distinct(), text_column, embedder, dimension, **options)
     return questions.join(once, text_column)
-
-
-def letter_counts(text_column: str):
-    """:func:`letter_profile` as a Spark expression, for plans that stay in the JVM."""
-    letters = [chr(c) for c in range(ord("a"), ord("z") + 1)]
-    length = F.length(text_column)
-    count = lambda c: (length - F.length(F.replace(text_column, F.lit(c), F.lit("")))).cast("double")
-    return F.array(*[count(c) + count(c.upper()) for c in letters])

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from noteloom import settings as S
 from noteloom.functions import grams as G
+from noteloom.functions.binding import let
 from noteloom.functions.topk import RunningTopK
 from noteloom.operators.scoring import MAX_BROADCAST_QUESTIONS, STRIPE_ROWS, merge_top, score_all
 
@@ -261,12 +262,22 @@ def keyword_statistics(chunks: DataFrame) -> DataFrame:
 def _bm25_questions(questions: DataFrame, statistics: DataFrame) -> tuple[DataFrame, float]:
     """Questions with their weighted trigrams, and the mean chunk length in trigrams."""
     asked = questions.withColumn("grams", G.query_grams(F.col("text")))
-    terms = asked.select("question_id", F.explode("grams").alias("gram")).groupBy(
-        "question_id", F.lower("gram").alias("gram")
-    ).agg(F.count(F.lit(1)).alias("times"))
+    # Trigrams that only differ in case fold to one and count as often as they were asked.
+    counted = let(
+        F.transform("grams", F.lower),
+        lambda grams: F.transform(
+            F.array_distinct(grams),
+            lambda g: F.struct(
+                g.alias("gram"), F.size(F.filter(grams, lambda x: x == g)).cast("bigint").alias("times")
+            ),
+        ),
+    )
+    terms = asked.select("question_id", F.explode_outer(counted).alias("t")).select(
+        "question_id", "t.gram", "t.times"
+    ).filter(F.col("gram").isNotNull())
     # Only counts that some question needs are kept: at most 64 per question.
     needed = statistics.join(
-        terms.select("gram").distinct().unionByName(statistics.sparkSession.createDataFrame([("",)], "gram string")),
+        terms.select("gram").distinct().unionByName(statistics.sparkSession.range(1).select(F.lit("").alias("gram"))),
         "gram", "left_semi",
     ).persist()
     totals = needed.filter(F.col("gram") == "").select("df", "tokens").first()

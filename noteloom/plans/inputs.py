@@ -35,6 +35,7 @@ def note_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document lines with their vectors."""
     return embed(note_lines(spark, sf_dir), "content", letter_profile, LETTERS, batch_size=4096)
 
 
