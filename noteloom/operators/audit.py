@@ -13,6 +13,7 @@ from noteloom import settings as S
 from noteloom.functions import texts as T
 from noteloom.functions.binding import let
 from noteloom.functions.texts import nfkc_squash
+from noteloom.session import hinted
 
 _NUL = "\0"
 _LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
@@ -77,7 +78,8 @@ def stale_sources(snapshots: DataFrame, chunks: DataFrame, documents: DataFrame)
     ``scope_kb`` (null = all bases). Chunks and documents are the current tables; the
     document's own base has to agree as well.
     """
-    current = chunks.select("chunk_id", *[F.col(c).alias(f"_{c}") for c in ("doc_id", "kb_id", "content", "char_start", "char_end")]).join(
+    named = chunks.join(hinted(snapshots.select("chunk_id").distinct()), "chunk_id", "left_semi")
+    current = named.select("chunk_id", *[F.col(c).alias(f"_{c}") for c in ("doc_id", "kb_id", "content", "char_start", "char_end")]).join(
         documents.select(F.col("doc_id").alias("_doc_id"), F.col("kb_id").alias("_doc_kb"), F.col("content_hash").alias("_content_hash")),
         "_doc_id",
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from noteloom import settings as S
 from noteloom.operators.chunking import unit_table
 from noteloom.operators.quality import reconstruct
-from noteloom.session import checkpointed
+from noteloom.session import checkpointed, hinted
 
 
 def dependency_islands(units: DataFrame) -> DataFrame:
@@ -34,15 +34,34 @@ def dependency_islands(units: DataFrame) -> DataFrame:
     )
 
 
-def _sections(units: DataFrame, chunks: DataFrame) -> DataFrame:
+def chunk_sections(units: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The section that holds each chunk: (chunk_id, doc_id, section, char_start, char_end).
+
+    Section starts and chunk starts of a document are put in one order; a chunk belongs to
+    the last section that has started, if it also ends inside. No pairs are formed.
+    """
+    nothing = F.lit(None).cast("bigint")
+    starts = units.select(
+        "doc_id", F.col("section_start").alias("_at"), F.lit(0).alias("_kind"), F.struct("section", "section_end").alias("_s"),
+        nothing.alias("chunk_id"), nothing.alias("char_end"),
+    ).distinct()
+    spans = chunks.select(
+        "doc_id", F.col("char_start").alias("_at"), F.lit(1).alias("_kind"),
+        F.lit(None).cast(starts.schema["_s"].dataType).alias("_s"), "chunk_id", "char_end",
+    )
+    w = Window.partitionBy("doc_id").orderBy("_at", "_kind")
+    placed = starts.unionByName(spans).withColumn("_s", F.last("_s", ignorenulls=True).over(w))
+    return placed.filter((F.col("_kind") == 1) & (F.col("char_end") <= F.col("_s.section_end"))).select(
+        "chunk_id", "doc_id", F.col("_s.section").alias("section"), F.col("_at").alias("char_start"), "char_end"
+    )
+
+
+def _sections(units: DataFrame, placed: DataFrame) -> DataFrame:
     """One row per section with its units and the chunks inside it; spans only, no text."""
-    u = dependency_islands(units).groupBy("doc_id", "section", "section_start", "section_end").agg(
+    u = dependency_islands(units).groupBy("doc_id", "section").agg(
         F.array_sort(F.collect_list(F.struct("unit", "char_start", "char_end", "heading", "head", "tail", "headless"))).alias("units")
     )
-    inside = u.select("doc_id", "section", "section_start", "section_end").join(
-        chunks.select("doc_id", "chunk_id", "char_start", "char_end"), "doc_id"
-    ).filter((F.col("section_start") <= F.col("char_start")) & (F.col("char_end") <= F.col("section_end")))
-    c = inside.groupBy("doc_id", "section").agg(
+    c = placed.groupBy("doc_id", "section").agg(
         F.array_sort(F.collect_list(F.struct("char_start", "char_end", "chunk_id"))).alias("chunks")
     )
     return u.join(c, ["doc_id", "section"])
@@ -145,25 +164,30 @@ def expand_evidence(
     evidence cannot be completed has a single row with ``problem``. Text is read only for
     the documents that were hit; the last step groups spans of one question's sections.
     """
-    # A few rows per question, used three times below; the search behind them runs once.
-    hit = checkpointed(anchors.select("question_id", "rank", "chunk_id").join(
-        chunks.select("chunk_id", "doc_id", "char_start", "char_end"), "chunk_id", "left"
-    ))
-    docs = hit.select("doc_id").dropna().distinct()
-    held = chunks.join(docs, "doc_id", "left_semi").join(documents.select("doc_id", "kb_id"), ["doc_id", "kb_id"], "left_semi")
-    whole = checkpointed(reconstruct(held, documents.join(docs, "doc_id", "left_semi")))
-    sections = _sections(unit_table(whole.filter(F.col("code").isNull()).select("doc_id", "text")), held)
-    s = sections.withColumnRenamed("doc_id", "_doc").drop("section")
-    located = hit.join(
-        s,
-        (F.col("doc_id") == F.col("_doc"))
-        & (F.col("section_start") <= F.col("char_start")) & (F.col("char_end") <= F.col("section_end")),
-        "left",
-    ).join(whole.select("doc_id", "code"), "doc_id", "left")
+    # A few rows per question, used several times below; the search behind them runs once.
+    asked = checkpointed(anchors.select("question_id", "rank", "chunk_id"))
+    spans = chunks.select("chunk_id", "doc_id", "char_start", "char_end").join(
+        hinted(asked.select("chunk_id").distinct()), "chunk_id", "left_semi"
+    )
+    hit = checkpointed(asked.join(spans, "chunk_id", "left"))
+    docs = hinted(hit.select("doc_id").dropna().distinct())
+    wanted = documents.join(docs, "doc_id", "left_semi").select("doc_id", "kb_id", "char_count")
+    held = checkpointed(
+        chunks.select("chunk_id", "doc_id", "kb_id", "content", "char_start", "char_end")
+        .join(docs, "doc_id", "left_semi").join(wanted, ["doc_id", "kb_id"], "left_semi")
+    )
+    whole = checkpointed(reconstruct(held, wanted))
+    units = checkpointed(unit_table(whole.filter(F.col("code").isNull()).select("doc_id", "text")))
+    placed = chunk_sections(units, held.select("chunk_id", "doc_id", "char_start", "char_end"))
+    located = (
+        hit.join(whole.select("doc_id", "code"), "doc_id", "left")
+        .join(placed.select("chunk_id", "section"), "chunk_id", "left")
+        .join(_sections(units, placed), ["doc_id", "section"], "left")
+    )
     problem = (
         F.when(F.col("char_start").isNull(), "anchor_missing")
         .when(F.col("code").isNotNull(), F.col("code"))
-        .when(F.col("section_start").isNull(), "crosses_sections")
+        .when(F.col("section").isNull(), "crosses_sections")
     )
     return (
         located.withColumn("problem", problem)

@@ -320,17 +320,17 @@ def latest_tasks(events: DataFrame, levels: int = 3) -> DataFrame:
     in; effects are then chained slice by slice, level by level. So no task gathers more
     than one slice, even if one document has most of the events.
     """
-    newest = events.groupBy("doc_id").agg(F.max("ingest_version").alias("ingest_version"))
-    # The newest versions are joined by key; AQE splits a document that dominates.
-    current = events.join(newest, ["doc_id", "ingest_version"], "left_semi")
     identity = F.array(*[_start_state(s) for s in _STARTS])
     key = ["doc_id", "ingest_version"]
-    slices = current.groupBy(*key, F.shiftright("seq", _SLICE_BITS).alias("slice")).agg(
+    slices = events.groupBy(*key, F.shiftright("seq", _SLICE_BITS).alias("slice")).agg(
         F.aggregate(
             F.array_sort(F.collect_list(F.struct("seq", "kind", "error_code"))), identity,
             lambda states, e: F.transform(states, lambda s: _apply_event(s, e)),
         ).alias("effects")
     )
+    # Versions are compared on slices, of which there are far fewer than events.
+    newest = slices.groupBy("doc_id").agg(F.max("ingest_version").alias("ingest_version"))
+    slices = slices.join(newest, key, "left_semi")
     for level in range(levels - 1):
         above = F.shiftright("slice", _SLICE_BITS) if level < levels - 2 else F.lit(0).cast("bigint")
         slices = slices.groupBy(*key, above.alias("_above")).agg(

@@ -465,7 +465,7 @@ def retrieve(
     else:
         raise ValueError("keyword_channel must be 'bm25' or 'trgm'")
     fused = fuse_rrf(vector_hits, keyword_hits).filter(F.col("rank") <= top_k)
-    # top_k rows per question of a batch that was itself measured: small by construction.
-    few = questions.limit(MAX_BROADCAST_QUESTIONS + 1).count() <= MAX_BROADCAST_QUESTIONS
     held = chunks.drop("kb_id", "embedding") if "kb_id" in chunks.columns else chunks.drop("embedding")
+    # top_k narrow rows per question: the hint holds while the measured batch is small.
+    few = questions.limit(MAX_BROADCAST_QUESTIONS + 1).count() <= MAX_BROADCAST_QUESTIONS
     return held.join(F.broadcast(fused) if few else fused, "chunk_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _LOCAL_ROOTS: dict[str, str] = {}
@@ -55,3 +56,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(checkpoint_root(df.sparkSession))
     return df.checkpoint()
+
+
+def hinted(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """``df`` with a broadcast hint if it is shown to have few rows, and as it is otherwise.
+
+    For narrow key tables whose size the optimizer cannot estimate. Counting stops after
+    ``max_rows``; without the hint the join shuffles and still gives the same rows.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,16 +12,23 @@ from noteloom.schemas import PACKAGE_MANIFEST, QUESTION_MANIFEST
 from noteloom.sources.intake import base_name
 
 
-def read_files(spark: SparkSession, folder: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
+def read_files(
+    spark: SparkSession, folder: str, glob: str | None = None, recursive: bool = True, since: datetime | None = None
+) -> DataFrame:
     """Files as (path, mtime_ns, size, content). Only the columns in use are read.
 
-    ``path`` is relative to ``folder``. Content is bytes, so line ends survive.
+    ``path`` is relative to ``folder``. Content is bytes, so line ends survive. With
+    ``since`` the source skips older files before it opens them, which is how a sync reads
+    the content of its suspects and of nothing else.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     root = folder.rstrip("/") + "/"
-    return reader.load(folder).select(
+    files = reader.load(folder)
+    if since is not None:
+        files = files.filter(F.col("modificationTime") >= F.lit(since))
+    return files.select(
         F.substring_index("path", root, -1).alias("path"),
         (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("length").alias("size"), "content",
     )

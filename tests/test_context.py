@@ -65,7 +65,7 @@ def test_gaps_conflicts_and_budgets(spark):
 def test_chosen_tiles_come_first_then_the_longest(spark):
     text = "第一句在此。第二句在此。第三句在此。"
     rows = [(1, 1, 1, text[0:6], 0, 6), (2, 1, 1, text[6:12], 6, 12), (3, 1, 1, text[6:18], 6, 18), (4, 1, 1, text[12:18], 12, 18)]
-    assert expand_rows(spark, text, rows, [1, 2]) == [(1, True, []), (2, True, []), (3, False, [])]
+    assert expand_rows(spark, text, rows, [1, 2]) == [(1, True, []), (2, True, [3]), (3, False, [2])]
     found = expand_rows(spark, text, rows, [1])
     assert found == [(1, True, []), (3, False, [])]
 
