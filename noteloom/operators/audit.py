@@ -68,6 +68,20 @@ def audit_answers(answers: DataFrame) -> DataFrame:
     }).drop("_cited", "_closure")
 
 
+def source_snapshots(found: DataFrame, documents: DataFrame) -> DataFrame:
+    """Citable records of retrieved chunks, with what identifies their document now.
+
+    Found: ``question_id, rank, chunk_id, doc_id, content, char_start, char_end``. Documents:
+    ``doc_id, kb_id, title, content_hash``. Chunks whose document is gone drop out.
+    """
+    d = documents.join(hinted(found.select("doc_id").distinct()), "doc_id", "left_semi").select(
+        "doc_id", "kb_id", F.col("title").alias("doc_title"), "content_hash"
+    )
+    return found.select(
+        "question_id", F.col("rank").alias("index"), "chunk_id", "doc_id", "content", "char_start", "char_end"
+    ).join(d, "doc_id")
+
+
 _SNAPSHOT_FIELDS = ("doc_id", "kb_id", "content", "char_start", "char_end", "content_hash")
 
 

@@ -25,22 +25,31 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def chunk_problems(chunks: DataFrame, documents: DataFrame, dimension: int | None = None) -> DataFrame:
     """Chunks that do not fit their document: (chunk_id, doc_id, code).
 
-    Documents: ``doc_id, kb_id, text``. One join on the document id; the first broken rule
-    of a chunk is reported.
+    Documents: ``doc_id, kb_id, text``. The chunks of a document meet its text in one row, so
+    a long text is not repeated for each of them. The first broken rule of a chunk counts.
     """
-    d = documents.select("doc_id", F.col("kb_id").alias("_kb"), F.col("text").alias("_text"), F.lit(True).alias("_known"))
-    start, end = F.col("char_start"), F.col("char_end")
-    code = (
-        F.when(F.col("_known").isNull(), "document_missing")
-        .when(~F.col("kb_id").eqNullSafe(F.col("_kb")), "kb_mismatch")
-        .when((start < 0) | (end <= start) | (end > F.length("_text")), "span_out_of_bounds")
-        .when(F.length("content") != end - start, "length_mismatch")
-        .when(F.substring("_text", start + 1, end - start) != F.col("content"), "content_mismatch")
+    fields = ["chunk_id", "kb_id", "content", "char_start", "char_end"] + (["embedding"] if dimension is not None else [])
+    held = chunks.groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias("_chunks"))
+    known = documents.select("doc_id", F.col("kb_id").alias("_kb"), F.col("text").alias("_text"), F.lit(True).alias("_known"))
+    joined = held.join(known, "doc_id", "left").withColumn("_length", F.length("_text"))
+
+    def judged(c: Column) -> Column:
+        start, end = c["char_start"], c["char_end"]
+        code = (
+            F.when(F.col("_known").isNull(), "document_missing")
+            .when(~c["kb_id"].eqNullSafe(F.col("_kb")), "kb_mismatch")
+            .when((start < 0) | (end <= start) | (end > F.col("_length")), "span_out_of_bounds")
+            .when(F.length(c["content"]) != end - start, "length_mismatch")
+            .when(F.substring(F.col("_text"), start + 1, end - start) != c["content"], "content_mismatch")
+        )
+        if dimension is not None:
+            code = code.when(~is_valid_vector(c["embedding"], dimension), "bad_vector")
+        return F.struct(c["chunk_id"].alias("chunk_id"), code.alias("code"))
+
+    broken = F.filter(F.transform("_chunks", judged), lambda x: x["code"].isNotNull())
+    return joined.select("doc_id", F.explode_outer(broken).alias("x")).filter(F.col("x").isNotNull()).select(
+        "x.chunk_id", "doc_id", "x.code"
     )
-    if dimension is not None:
-        code = code.when(~is_valid_vector(F.col("embedding"), dimension), "bad_vector")
-    joined = chunks.join(d, "doc_id", "left").withColumn("code", code)
-    return joined.filter(F.col("code").isNotNull()).select("chunk_id", "doc_id", "code")
 
 
 def index_problems(chunks: DataFrame, documents: DataFrame) -> DataFrame:

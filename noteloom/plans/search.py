@@ -10,7 +10,10 @@ from noteloom.operators import gate as gating
 from noteloom.operators import graph as G
 from noteloom.operators import retrieval as R
 from noteloom.operators.ann import build_cells, search_cells
+from noteloom.operators.audit import source_snapshots
+from noteloom.operators.lines import spanned_lines
 from noteloom.plans import inputs as I
+from noteloom.session import checkpointed, hinted
 
 # Letter profiles are much alike, so the gate needs higher thresholds than the defaults.
 REFUSE, ANSWER = 0.985, 0.99
@@ -93,6 +96,20 @@ def possible_sources(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def citation_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """The keyword hits of each question as citable records with the state of their document."""
+    chunks = spanned_lines(I.notes(spark, d))
+    hits = checkpointed(R.search_bm25(I.questions(spark, d), I.note_lines(spark, d)))
+    found = chunks.join(hinted(hits.withColumnRenamed("keyword_rank", "rank")), "chunk_id")
+    docs = I.table(spark, d, "documents").select(
+        "doc_id", F.col("source").alias("kb_id"), F.concat(F.lit("note-"), F.col("doc_id").cast("string")).alias("title"),
+        F.sha2("text", 256).alias("content_hash"),
+    )
+    return source_snapshots(found, docs).select(
+        "question_id", "index", "chunk_id", "doc_id", "kb_id", "doc_title", "content_hash", "char_start", "char_end"
+    )
+
+
 def _graph_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Labels are documents of three knowledge bases; every vector is a chunk."""
     return I.vectors(spark, d).select(
@@ -134,7 +151,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         vector_topk, lsh_topk, trigram_terms, bm25_topk, trgm_similarity_topk, rrf_fuse, hybrid_retrieve,
-        evidence_gate, possible_sources, graph_pool, graph_pairs, graph_edges, graph_nodes, graph_threshold_sweep,
+        evidence_gate, possible_sources, citation_snapshots, graph_pool, graph_pairs, graph_edges, graph_nodes, graph_threshold_sweep,
     )
 }
 
@@ -324,6 +341,14 @@ FROM gated""",
     "possible_sources": f"""WITH {HYBRID}, {GATED}
 SELECT question_id, rank, chunk_id, round(vector_similarity, 6) AS vector_similarity
 FROM fused WHERE rank <= 3 AND question_id IN (SELECT question_id FROM gated WHERE band = 'borderline')""",
+    "citation_snapshots": f"""WITH {LINES}, {ASKED}, {BM25},
+placed AS (
+  SELECT chunk_id, doc_id, sum(length(content) + 1) OVER (PARTITION BY doc_id ORDER BY chunk_index)::BIGINT AS after, length(content) + 1 AS n
+  FROM lines
+)
+SELECT question_id, keyword_rank AS index, chunk_id, p.doc_id, d.source AS kb_id, 'note-' || p.doc_id AS doc_title,
+       sha256(d.text) AS content_hash, p.after - p.n AS char_start, least(p.after, length(d.text)) AS char_end
+FROM keyword_hits JOIN placed p USING (chunk_id) JOIN documents d ON d.doc_id = p.doc_id""",
     "graph_pool": f"WITH {_GRAPH.format(size=100)} SELECT kb_id, doc_id, chunk_id, chunk_rank, pool_rank FROM pool",
     "graph_pairs": f"""WITH {_PAIRS}
 SELECT kb_id, source_chunk, target_chunk, source_doc, target_doc, round(similarity, 6) AS similarity

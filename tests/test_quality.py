@@ -122,3 +122,13 @@ def test_redaction_paths_and_schema(spark):
         raise AssertionError
     except SchemaMismatch as error:
         assert "extra=['p']" in str(error)
+
+
+def test_chunk_problems_with_vectors(spark):
+    docs = spark.createDataFrame([(1, 1, "héllo wörld")], "doc_id bigint, kb_id bigint, text string")
+    good = [0.5, 1.0]
+    rows = [(1, 1, 1, "héllo", 0, 5, good), (2, 1, 1, "wörld", 6, 11, [1.0]), (3, 1, 2, "h", 0, 1, good), (4, 9, 1, "h", 0, 1, good),
+            (5, 1, 1, "xx", 0, 2, good), (6, 1, 1, "h", 0, 2, good), (7, 1, 1, "d", 11, 12, good), (8, 1, 1, "h", 0, 1, [float("nan"), 1.0])]
+    chunks = spark.createDataFrame(rows, "chunk_id bigint, doc_id bigint, kb_id bigint, content string, char_start bigint, char_end bigint, embedding array<double>")
+    found = {r.chunk_id: r.code for r in Q.chunk_problems(chunks, docs, 2).collect()}
+    assert found == {2: "bad_vector", 3: "kb_mismatch", 4: "document_missing", 5: "content_mismatch", 6: "length_mismatch", 7: "span_out_of_bounds", 8: "bad_vector"}
