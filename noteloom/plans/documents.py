@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteloom import settings as S
@@ -131,6 +131,11 @@ def chunk_rejects(spark: SparkSession, d: str) -> DataFrame:
     return chunking.reject_rows(chunking.split_documents(I.notes(spark, d)), "kb_id")
 
 
+def _rest(column: str) -> Column:
+    """All elements but the first."""
+    return F.slice(F.col(column), F.lit(2), F.greatest(F.size(column) - 1, F.lit(0)))
+
+
 def sentence_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Chunks per document cover the whole text: kept with oversized sentences whole."""
     split = chunking.split_documents(I.notes(spark, d), on_oversize="keep")
@@ -138,7 +143,7 @@ def sentence_coverage(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", F.get("spans", F.lit(0))["start"].alias("first_char"),
         F.element_at("spans", -1)["end"].alias("last_char"),
         F.size(F.filter(
-            F.zip_with("spans", F.slice("spans", 2, 1_000_000), lambda a, b: b["start"] > a["end"]), lambda gap: gap
+            F.zip_with("spans", _rest("spans"), lambda a, b: b["start"] > a["end"]), lambda gap: gap
         )).cast("bigint").alias("gaps"),
     )
 
@@ -177,7 +182,7 @@ def reconstruct_source(spark: SparkSession, d: str) -> DataFrame:
     spans = lines.line_spans(F.col("text"))
     two = docs.select("doc_id", spans.alias("s")).select(
         "doc_id",
-        F.posexplode(F.zip_with("s", F.concat(F.slice(F.col("s"), 2, 1_000_000), F.array(F.lit(None).cast(
+        F.posexplode(F.zip_with("s", F.concat(_rest("s"), F.array(F.lit(None).cast(
             "struct<start:bigint,end:bigint,content:string>"))), lambda a, b: F.struct(
             a["start"].alias("start"), F.coalesce(b["end"], a["end"]).alias("end"),
             F.concat(a["content"], F.coalesce(b["content"], F.lit(""))).alias("content"),
