@@ -3,12 +3,33 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _LOCAL_ROOTS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Make this package importable in Python workers, once per application.
+
+    Arrow functions refer to their modules by name, and a worker does not share the import
+    path of the driver program.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        package = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="spark-", dir="/tmp")) / f"{package.name}.zip"
+        with zipfile.ZipFile(archive, "w") as target:
+            for source in sorted(package.rglob("*.py")):
+                target.write(source, source.relative_to(package.parent).as_posix())
+        spark.sparkContext.addPyFile(str(archive))
+        _SHIPPED.add(app)
+    return spark
 
 
 def get_spark(app_name: str = "noteloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -30,7 +51,7 @@ def get_spark(app_name: str = "noteloom", master: str | None = None, **conf: str
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
 
 
 def checkpoint_root(spark: SparkSession) -> str:
