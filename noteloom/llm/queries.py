@@ -4,17 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from noteloom.llm.common import read_table
+from noteloom.llm.common import read_table, stored
 from noteloom.llm.minimax_shards import shard_documents
+from noteloom.llm.pii import find_pii
+from noteloom.llm.risk_rules import apply_rules
+from noteloom.llm.segment_bpe import encode_texts
 
 
 def op5_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"), shards=24, law="bytes")
 
 
+def op7_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return apply_rules(docs, read_table(spark, sf_dir, "labels", "doc_id", "quality"), stored)
+
+
+def op9_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return encode_texts(read_table(spark, sf_dir, "documents", "doc_id", "text"), path, digests=True)
+
+
+def op10_offset_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_minimax_shards,)
+    f.__name__: f for f in (op5_minimax_shards, op7_risk_rules, op9_segment_tree_bpe, op10_offset_pii)
 }
 ORACLES: dict[str, str] = {}
