@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from noteloom.session import checkpoint_root
 
 #: The white space of the word definition, tab to carriage return and the space.
-SPACES = " \t\n\x0b\x0c\r"
-SPACE_CLASS = r"[\x20\x09-\x0D]"
+SPACE_CLASS, NO_SPACE = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

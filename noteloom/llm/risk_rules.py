@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import SPACE_CLASS, SPACES, let
+from noteloom.llm.common import NO_SPACE, SPACE_CLASS, let
 
 #: The characters that count as symbols, and the base rule's limits.
 SYMBOLS = "#*$%&|<>"
@@ -51,14 +51,6 @@ RULES = {
 }
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.length(F.translate(text, characters, ""))
-
-
-def _window_hash(words: Column, at: Column) -> Column:
-    return F.xxhash64(F.get(words, at), F.get(words, at + 1), F.get(words, at + 2))
-
-
 def _covered(starts: Column) -> Column:
     """Words in the windows of three that begin at the given sorted places."""
     return F.when(F.size(starts) == 0, F.lit(0)).otherwise(
@@ -90,15 +82,18 @@ def repeated_words(words: Column) -> Column:
         return F.sequence(F.lit(0), F.size(w) - 3)
 
     def by_code(w: Column) -> Column:
-        codes = F.sort_array(F.transform(
-            windows(w), lambda i: F.shiftleft(_window_hash(w, i), _POSITION_BITS).bitwiseOR(i.cast("long"))))
-        return let(codes, lambda c: let(
-            F.filter(c, lambda x, k: F.coalesce(like(x, F.get(c, k - 1)), F.lit(False)) | F.coalesce(like(x, F.get(c, k + 1)), F.lit(False))),
-            lambda twins: F.when(
-                F.exists(F.transform(twins, lambda x, k: (k > 0) & F.coalesce(like(x, F.get(twins, k - 1)), F.lit(False)) & ~same(
-                    w, place(x), F.coalesce(place(F.get(twins, k - 1)), F.lit(0)))), lambda b: b),
-                F.lit(None).cast("int"),
-            ).otherwise(_covered(F.sort_array(F.transform(twins, place))))))
+        codes = F.sort_array(F.transform(F.slice(w, 1, F.size(w) - 2), lambda x, i: F.shiftleft(
+            F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)), _POSITION_BITS).bitwiseOR(i.cast("long"))))
+        followed = lambda c: F.filter(c, lambda x, k: like(x, F.get(c, k + 1)))
+        return let(codes, lambda c: let(followed(c), lambda f: F.when(F.size(f) == 0, F.lit(0)).otherwise(twins_covered(w, c))))
+
+    def twins_covered(w: Column, c: Column) -> Column:
+        """The words covered by windows with an equal hash; null if such windows differ."""
+        twins = F.filter(c, lambda x, k: F.coalesce(like(x, F.get(c, k + 1)), F.lit(False)) | F.coalesce(like(x, F.get(c, k - 1)), F.lit(False)))
+        return let(twins, lambda t: F.when(
+            F.size(F.filter(t, lambda x, k: like(x, F.get(t, k + 1)) & ~same(w, place(x), place(F.get(t, k + 1))))) > 0,
+            F.lit(None).cast("int"),
+        ).otherwise(_covered(F.sort_array(F.transform(t, place)))))
 
     def by_words(w: Column) -> Column:
         windows_at = F.sort_array(F.transform(windows(w), lambda i: F.struct(
@@ -112,20 +107,23 @@ def repeated_words(words: Column) -> Column:
         F.coalesce(by_code(w), by_words(w)))).cast("long")
 
 
-def text_statistics(text: Column) -> dict[str, Column]:
-    """The statistics of a text; a null text has none of anything."""
+def text_statistics(text: Column) -> Column:
+    """The statistics of a text as a struct; a null text has none of anything."""
     text = F.coalesce(text, F.lit(""))
-    words = F.filter(F.split(text, f"{SPACE_CLASS}+"), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda line: F.length(F.translate(line, SPACES, "")) > 0)
-    return {
-        "n_words": F.size(words).cast("long"),
-        "word_chars": _without(text, SPACES).cast("long"),
-        "n_symbols": (F.length(text) - _without(text, SYMBOLS)).cast("long"),
-        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": repeated_words(words),
-        "n_lines": F.size(lines).cast("long"),
-        "n_capitals": (F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}", ""))).cast("long"),
-    }
+    words = F.array_remove(F.split(text, f"{SPACE_CLASS}+"), "")
+    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(NO_SPACE))
+
+    def dropped(pattern: str) -> Column:
+        return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("long")
+
+    return let(words, lambda w: let(lines, lambda x: F.struct(
+        F.size(w).cast("long").alias("n_words"),
+        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        dropped(f"[{SYMBOLS}]+").alias("n_symbols"),
+        (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        repeated_words(w).alias("n_repeat_words"),
+        F.size(x).cast("long").alias("n_lines"),
+        dropped(r"\p{Lu}+").alias("n_capitals"))))
 
 
 BASE_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -209,8 +207,8 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", str
     """The statistics of every document, with its stratum (a null stratum is one of its own)."""
     stratum = F.col(stratum_col).cast("string") if stratum_col else F.lit("all")
     return docs.select(
-        F.col(id_col).alias("doc_id"), stratum.alias("stratum"),
-        *[c.alias(n) for n, c in text_statistics(F.col(text_col)).items()])
+        F.col(id_col).alias("doc_id"), stratum.alias("stratum"), text_statistics(F.col(text_col)).alias("statistics"),
+    ).select("doc_id", "stratum", "statistics.*")
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
