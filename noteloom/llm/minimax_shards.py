@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from noteloom.llm.common import stored
 
-CELLS = 4096
+CELLS = 16_384
 #: The leading bits of a fingerprint that make the ranges in which running sums are taken.
 _RANGE_BITS = 12
 #: Slots of a shard are counted in so many parts.
@@ -131,8 +131,12 @@ def shard_bounds(groups: DataFrame, shards: int, cells: int = CELLS) -> tuple[li
 
     ``groups`` has one row per ``group`` (long) with its ``weight`` (long, positive).
     """
-    total = groups.agg(F.sum("weight")).first()[0] or 0
-    largest = [(r.group, r.weight) for r in groups.orderBy(F.desc("weight"), "group").limit(shards).collect()]
+    total, most = groups.agg(F.sum("weight"), F.max("weight")).first()
+    if not total:
+        return [], []
+    largest = [(None, most)]
+    if most * shards >= total:
+        largest = [(r.group, r.weight) for r in groups.orderBy(F.desc("weight"), "group").limit(shards).collect()]
     alone: list[int] = []
     while len(alone) < min(len(largest), shards - 1) and largest[len(alone)][1] * (shards - len(alone)) >= total > 0:
         total -= largest[len(alone)][1]
