@@ -10,8 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from noteloom.llm.common import read_table, stored
 from noteloom.llm.minimax_shards import shard_documents
 from noteloom.llm.pii import find_pii
+from noteloom.llm.probminhash import near_duplicates
 from noteloom.llm.risk_rules import apply_rules
 from noteloom.llm.segment_bpe import encode_texts
+from noteloom.llm.warc import archive_pages
+
+
+def op1_warc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = archive_pages(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return index.select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op5_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +45,20 @@ def op10_offset_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_minimax_shards, op7_risk_rules, op9_segment_tree_bpe, op10_offset_pii)
+    f.__name__: f for f in (
+        op1_warc_members, op3_probminhash, op5_minimax_shards, op7_risk_rules, op9_segment_tree_bpe, op10_offset_pii)
 }
-ORACLES: dict[str, str] = {}
+_WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, upper(sha1(html)) AS hex FROM p),
+f AS (SELECT hex, min(page_id) AS first_id FROM h GROUP BY hex),
+d AS (
+  SELECT hex, first_id, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(hex, 1 + 5 * (i // 4)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT, 1)), '') AS digest FROM f)
+SELECT page_id, payload_bytes, digest AS payload_digest,
+  CASE WHEN first_id IS NOT NULL AND first_id IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first_id IS DISTINCT FROM page_id THEN first_id END AS refers_to
+FROM h JOIN d USING (hex)
+"""
+
+ORACLES: dict[str, str] = {"op1_warc_members": _WARC_SQL}
