@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from noteloom.llm.collision_ann import nearest
 from noteloom.llm.common import read_table, stored
 from noteloom.llm.minimax_shards import shard_documents
 from noteloom.llm.pii import find_pii
@@ -26,6 +27,10 @@ def op3_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op4_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), lambda vec_id: vec_id % 20 == 0)
+
+
 def op5_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"), shards=24, law="bytes")
 
@@ -46,7 +51,7 @@ def op10_offset_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_warc_members, op3_probminhash, op5_minimax_shards, op7_risk_rules, op9_segment_tree_bpe, op10_offset_pii)
+        op1_warc_members, op3_probminhash, op4_collision_ann, op5_minimax_shards, op7_risk_rules, op9_segment_tree_bpe, op10_offset_pii)
 }
 _WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
