@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from noteloom.llm.collision_ann import nearest
 from noteloom.llm.common import read_table, stored
+from noteloom.llm.host_suffixes import extract
 from noteloom.llm.minimax_shards import shard_documents
 from noteloom.llm.pii import find_pii
 from noteloom.llm.probminhash import near_duplicates
@@ -40,6 +41,10 @@ def op7_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(docs, read_table(spark, sf_dir, "labels", "doc_id", "quality"), stored)
 
 
+def op8_host_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op9_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return encode_texts(read_table(spark, sf_dir, "documents", "doc_id", "text"), path, digests=True)
@@ -51,7 +56,7 @@ def op10_offset_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_warc_members, op3_probminhash, op4_collision_ann, op5_minimax_shards, op7_risk_rules, op9_segment_tree_bpe, op10_offset_pii)
+        op1_warc_members, op3_probminhash, op4_collision_ann, op5_minimax_shards, op7_risk_rules, op8_host_suffixes, op9_segment_tree_bpe, op10_offset_pii)
 }
 _WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
