@@ -14,6 +14,7 @@ from noteloom.llm.minimax_shards import shard_documents
 from noteloom.llm.pii import find_pii
 from noteloom.llm.probminhash import near_duplicates
 from noteloom.llm.risk_rules import apply_rules
+from noteloom.llm.rule_ensemble import score_documents
 from noteloom.llm.segment_bpe import encode_texts
 from noteloom.llm.warc import archive_pages
 
@@ -24,6 +25,11 @@ def op1_warc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return score_documents(docs, read_table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 def op3_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -56,7 +62,7 @@ def op10_offset_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_warc_members, op3_probminhash, op4_collision_ann, op5_minimax_shards, op7_risk_rules, op8_host_suffixes, op9_segment_tree_bpe, op10_offset_pii)
+        op1_warc_members, op2_rule_ensemble, op3_probminhash, op4_collision_ann, op5_minimax_shards, op7_risk_rules, op8_host_suffixes, op9_segment_tree_bpe, op10_offset_pii)
 }
 _WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
