@@ -56,7 +56,7 @@ _DISGUISE = re.compile(
     rf"|(?P<dot>(?<=[A-Za-z0-9]){_DOT}(?=[A-Za-z0-9]))"
     rf"|(?P<digits>\b(?:{_DIGIT})(?:[ \t-]{{1,2}}(?:{_DIGIT}))*\b)"
     rf"|(?P<plus>\bplus[ \t]{{1,2}}(?=[0-9]|(?:{_DIGIT})\b))"
-    rf"|(?P<hidden>[​-‍⁠﻿­]+)", re.IGNORECASE)
+    rf"|(?P<hidden>[\u200b-\u200d\u2060\ufeff\xad]+)", re.IGNORECASE)
 
 
 def _compatible(ranges: tuple[tuple[int, int], ...]) -> dict[int, str]:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from noteloom.llm.collision_ann import nearest
 from noteloom.llm.common import read_table, stored
+from noteloom.llm.grouping_pack import pack
 from noteloom.llm.host_suffixes import extract
 from noteloom.llm.minimax_shards import shard_documents
 from noteloom.llm.pii import find_pii
@@ -42,6 +43,11 @@ def op5_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"), shards=24, law="bytes")
 
 
+def op6_grouping_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return pack(read_table(spark, sf_dir, "documents", "doc_id", "text"), path, capacity=1024, end_id=2)
+
+
 def op7_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     return apply_rules(docs, read_table(spark, sf_dir, "labels", "doc_id", "quality"), stored)
@@ -62,7 +68,8 @@ def op10_offset_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_warc_members, op2_rule_ensemble, op3_probminhash, op4_collision_ann, op5_minimax_shards, op7_risk_rules, op8_host_suffixes, op9_segment_tree_bpe, op10_offset_pii)
+        op1_warc_members, op2_rule_ensemble, op3_probminhash, op4_collision_ann, op5_minimax_shards, op6_grouping_pack,
+        op7_risk_rules, op8_host_suffixes, op9_segment_tree_bpe, op10_offset_pii)
 }
 _WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
