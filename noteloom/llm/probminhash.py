@@ -1,16 +1,19 @@
 """Near duplicates by ProbMinHash signatures of weighted word shingles.
 
-A shingle is five consecutive words, its weight how often the text has it. Every shingle sends
+A shingle is five consecutive words; its weight is 1 for the first occurrence in a text and grows
+with the logarithm of their number, so that a line said a hundred times does not drown the rest of
+its text. Every shingle sends
 arrivals of a Poisson process whose rate is its weight; each arrival falls on a random register
 of the signature, and a register keeps the shingle that reached it first. A shingle stops when
 its next arrival is later than the latest register (early termination). Two signatures agree in
 a register with the probability Jaccard similarity of the texts, which for shingles that occur
 once is the plain Jaccard similarity.
 
-Bands of registers bring candidates together. Inside a bucket each text is compared with one
-centre only, with another centre in every round, and pairs already linked through a common
-neighbour are left out; rounds go on until one brings no new link. So a bucket of n texts costs
-n comparisons a round, never n * n. Every candidate pair is verified exactly on the whole texts.
+Bands of registers bring candidates together. Inside a bucket each text is compared with a few
+centres only, other ones in every round, and pairs that are linked already, directly or through
+others, are left out; rounds go on until one brings no new link. So a bucket of n texts costs a
+few times n comparisons a round, never n * n. Every candidate pair is verified exactly on the
+whole texts.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteloom.llm.common import byte_slices, stored
@@ -35,12 +38,16 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 @dataclass(frozen=True)
 class Settings:
-    """With 32 bands of 5 registers, a pair of similarity 0.8 shares no bucket with probability 3e-6."""
+    """With 32 bands of 5 registers, a pair of similarity 0.8 shares no bucket with probability 3e-6.
+
+    ``centres`` texts of a bucket are compared with its others in every round.
+    """
 
     words: int = 5
     threshold: float = 0.8
     bands: int = 32
     band_rows: int = 5
+    centres: int = 2
 
     @property
     def registers(self) -> int:
@@ -55,7 +62,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def weighted_shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, shingle hash and count of every distinct shingle, by text and hash.
+    """Text number, shingle hash and weight of every distinct shingle, by text and hash.
 
     Words are lower-cased and separated by white space. A text with fewer words than ``width``,
     but at least one, has a single shingle of them all.
@@ -88,7 +95,7 @@ def weighted_shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarr
     new = np.ones(len(value), dtype=bool)
     new[1:] = (doc_of[1:] != doc_of[:-1]) | (value[1:] != value[:-1])
     first = np.flatnonzero(new)
-    return doc_of[first], value[first], np.diff(np.append(first, len(value)))
+    return doc_of[first], value[first], 1.0 + np.log(np.diff(np.append(first, len(value))))
 
 
 def signatures(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, docs: int, registers: int) -> np.ndarray:
@@ -98,7 +105,7 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, docs: i
     sizes = np.bincount(doc, minlength=docs)
     alone = sizes[doc] == 1  # a single shingle reaches every register first
     found.reshape(docs, registers)[doc[alone]] = shingle[alone][:, None]
-    doc, shingle, rate = doc[~alone], shingle[~alone], weight[~alone].astype(np.float64)
+    doc, shingle, rate = doc[~alone], shingle[~alone], weight[~alone]
     time = np.zeros(len(doc))
     latest = np.full(docs, np.inf)
     turn = 0
@@ -135,7 +142,6 @@ def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarr
     common, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
     if not len(common):
         return 0.0
-    x, y = x.astype(np.float64), y.astype(np.float64)
     p, q = x[i], y[j]
     ratios, which = np.unique(p / q, return_inverse=True)
     only_x, only_y = x.sum() - p.sum(), y.sum() - q.sum()
@@ -156,13 +162,13 @@ def similarities(left: pa.Array, right: pa.Array, width: int) -> np.ndarray:
     """The exact similarity of the texts in each row."""
     coded = pc.dictionary_encode(pa.chunked_array([pc.fill_null(left, ""), pc.fill_null(right, "")])).unify_dictionaries().combine_chunks()
     coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
-    doc, value, count = weighted_shingles(coded.dictionary, width)
+    doc, value, weight = weighted_shingles(coded.dictionary, width)
     bounds = np.searchsorted(doc, np.arange(len(coded.dictionary) + 1))
     place = coded.indices.to_numpy(zero_copy_only=False)
     out = np.empty(len(left))
     for n, (i, j) in enumerate(zip(place[:len(left)], place[len(left):], strict=True)):
         s, t = slice(bounds[i], bounds[i + 1]), slice(bounds[j], bounds[j + 1])
-        out[n] = probability_jaccard(value[s], count[s], value[t], count[t])
+        out[n] = probability_jaccard(value[s], weight[s], value[t], weight[t])
     return out
 
 
@@ -174,8 +180,8 @@ def text_bands(docs: DataFrame, settings: Settings) -> DataFrame:
             for part in byte_slices(batch, "text"):
                 coded = pc.dictionary_encode(pc.fill_null(part.column("text"), ""))  # copies are signed once
                 texts = len(coded.dictionary)
-                doc, value, count = weighted_shingles(coded.dictionary, settings.words)
-                keys = band_keys(signatures(doc, value, count, texts, settings.registers), settings.bands)
+                doc, value, weight = weighted_shingles(coded.dictionary, settings.words)
+                keys = band_keys(signatures(doc, value, weight, texts, settings.registers), settings.bands)
                 place = coded.indices.to_numpy(zero_copy_only=False)
                 some = np.bincount(doc, minlength=texts)[place] > 0
                 rows = keys[place[some]]
@@ -210,14 +216,16 @@ def near_classes(docs: DataFrame, ids: DataFrame, settings: Settings = Settings(
     """
     bands = stored(text_bands(docs, settings).join(ids, "doc_id", "left_semi"), "bands")
     rows = bands.select("doc_id", F.explode("keys").alias("key"))
-    crowded = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    crowded = stored(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "crowded")
     shared = stored(rows.join(crowded, "key"), "buckets")
     texts = stored(docs.join(shared.select("doc_id").distinct(), "doc_id", "left_semi"), "candidates")
     links, classes, turn = None, None, 0
     while True:
-        order = F.xxhash64(F.col("doc_id"), F.lit(turn))
-        centres = shared.groupBy("key").agg(F.min(F.struct(order.alias("o"), "doc_id"))["doc_id"].alias("b"))
-        pairs = shared.join(centres, "key").select(F.col("doc_id").alias("a"), "b").where("a <> b").distinct()
+        orders = [F.xxhash64(F.col("doc_id"), F.lit(turn * settings.centres + k)) for k in range(settings.centres)]
+        centres = stored(shared.groupBy("key").agg(F.array_distinct(F.array(*[
+            F.min(F.struct(o.alias("o"), "doc_id"))["doc_id"] for o in orders])).alias("bs")), f"centres-{turn}")
+        pairs = shared.join(centres, "key").select(F.col("doc_id").alias("a"), F.explode("bs").alias("b")).where("a <> b").select(
+            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if classes is not None:
             for side in "ab":
                 pairs = pairs.join(classes.select(F.col("doc_id").alias(side), F.col("class_id").alias(f"of_{side}")), side, "left")
@@ -261,7 +269,8 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     text = F.col("text")
     print_of = F.struct(F.xxhash64(text).alias("x"), F.hash(text).alias("h"), F.octet_length(text).alias("n"))
     prints = rows.where("doc_id is not null").select("doc_id", print_of.alias("print"))
-    firsts = prints.groupBy("print").agg(F.min("doc_id").alias("copy_of"))
+    # Written first, so that a join on a text with very many copies can be split.
+    firsts = stored(prints.groupBy("print").agg(F.min("doc_id").alias("copy_of")), "firsts")
     members = stored(prints.join(firsts, "print").select("doc_id", "copy_of"), "copies")
     distinct = members.where("doc_id = copy_of").select("doc_id").distinct()
     classes = near_classes(rows.where("doc_id is not null"), distinct, settings)
@@ -269,3 +278,18 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
         "doc_id", "copy_of", F.coalesce("class_id", "copy_of").alias("class_id"))
     none = rows.where("doc_id is null").select("doc_id", F.lit(None).cast("bigint").alias("copy_of"), F.lit(None).cast("bigint").alias("class_id"))
     return found.unionAll(none)
+
+
+def drop_near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """One row of each class, that of the smallest id, all columns as they are.
+
+    Rows without an id belong to no class and stay.
+    """
+    first = near_duplicates(docs, settings).where("doc_id = class_id").select("doc_id").distinct()
+    number = "row number"
+    while number in docs.columns:
+        number += "_"
+    # Repeated rows of an id meet in the partition that the join has made anyway.
+    one = docs.join(first, "doc_id", "left_semi").withColumn(
+        number, F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).where(F.col(number) == 1).drop(number)
+    return one.unionByName(docs.where("doc_id is null"))

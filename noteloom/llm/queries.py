@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from noteloom.llm.collision_ann import nearest
-from noteloom.llm.common import read_table, stored
+from noteloom.llm.common import read_table
 from noteloom.llm.grouping_pack import pack
 from noteloom.llm.host_suffixes import extract
 from noteloom.llm.minimax_shards import shard_documents
@@ -50,7 +50,7 @@ def op6_grouping_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
-    return apply_rules(docs, read_table(spark, sf_dir, "labels", "doc_id", "quality"), stored)
+    return apply_rules(docs, read_table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
 def op8_host_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

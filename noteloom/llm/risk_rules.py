@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import NO_SPACE, SPACE_CLASS, let
+from noteloom.llm.common import NO_SPACE, SPACE_CLASS, let, stored
 
 #: The characters that count as symbols, and the base rule's limits.
 SYMBOLS = "#*$%&|<>"
@@ -129,13 +129,14 @@ def text_statistics(text: Column) -> Column:
 BASE_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
+def base_failed(of=F.col) -> Column:
+    """The base rule; ``of(name)`` gives a statistic's column."""
+    return (of("n_words") < MIN_WORDS) | (100 * of("n_repeat_words") > MAX_REPEATED_PERCENT * of("n_words"))
 
 
-def thousandths(rule: str) -> Column:
-    part, whole = RULES[rule]
-    return F.expr(f"CASE WHEN {whole} = 0 THEN 0 ELSE 1000 * {part} DIV {whole} END")
+def thousandths(rule: str, of=F.col) -> Column:
+    part, whole = (of(c) for c in RULES[rule])
+    return F.when(whole == 0, F.lit(0)).otherwise(F.floor(1000 * part / whole))
 
 
 def binomial_below(successes: int, trials: int, p: float) -> float:
@@ -172,13 +173,12 @@ def choose_cutoff(counts: list[tuple[int, int, int]], good: int, bad: int, share
     return found
 
 
-def fit_cutoffs(measured: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> tuple[dict, DataFrame]:
-    """Cutoffs by stratum and rule, and the same as a table (stratum and a column per rule).
+def fit_cutoffs(measured: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> dict[str | None, dict[str, int | None]]:
+    """The cutoff of each rule (or None) by stratum, for strata with enough labels for any.
 
     ``measured`` has doc_id, stratum and the statistics; ``labels`` has doc_id and quality (1
     good, 0 bad; others are not used). Labels of documents that fail the base rule do not count.
     """
-    spark = measured.sparkSession
     known = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", "quality")
     stats = [c for pair in RULES.values() for c in pair]
     joined = measured.where(~base_failed()).select("doc_id", "stratum", *sorted(set(stats))).join(known, "doc_id")
@@ -191,16 +191,11 @@ def fit_cutoffs(measured: DataFrame, labels: DataFrame, risk: Risk = Risk()) ->
     share = risk.share / len(RULES)
     error = (1 - risk.confidence) / (strata * len(RULES) * len(risk.cutoffs))
     least = math.ceil(math.log(error) / math.log1p(-share))  # below it, not even zero rejections prove anything
-    chosen = {
+    return {
         row.stratum: {
             rule: choose_cutoff([(c, row[f"{rule}_{c}_1"], row[f"{rule}_{c}_0"]) for c in risk.cutoffs], row.n1, row.n0, share, error)
             for rule in RULES}
         for row in counts.where(F.col("n1") >= least).collect()}
-    made = F.array(*[
-        F.struct(F.lit(s).cast("string").alias("stratum"), *[F.lit(cuts[r]).cast("int").alias(f"cut_{r}") for r in RULES])
-        for s, cuts in chosen.items()]) if chosen else None
-    table = spark.range(1 if chosen else 0).select(F.inline(made)) if chosen else spark.createDataFrame([], "stratum string, " + ", ".join(f"cut_{r} int" for r in RULES))
-    return chosen, table
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang") -> DataFrame:
@@ -211,24 +206,34 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", str
     ).select("doc_id", "stratum", "statistics.*")
 
 
-def judge(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """``base_failed`` and ``kept`` for measured documents."""
-    cuts = cutoffs.withColumnRenamed("stratum", "cut_stratum")
-    verdict = F.lit(True)
+def kept(cutoffs: dict[str | None, dict[str, int | None]], stratum: Column, of=F.col) -> Column:
+    """Whether a document passes the base rule and the cutoffs of its stratum."""
+    verdict = ~base_failed(of)
     for rule in RULES:
-        verdict = verdict & F.coalesce(thousandths(rule) <= F.col(f"cut_{rule}"), F.lit(True))
-    return measured.join(cuts, F.col("stratum").eqNullSafe(F.col("cut_stratum")), "left").withColumn(
-        "base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict)
+        over = F.lit(False)
+        for name, cuts in cutoffs.items():
+            if cuts[rule] is not None:
+                over = over | (stratum.eqNullSafe(F.lit(name).cast("string")) & (thousandths(rule, of) > cuts[rule]))
+        verdict = verdict & ~over
+    return verdict
 
 
-def apply_rules(docs: DataFrame, labels: DataFrame, stored_as, risk: Risk = Risk(), stratum_col: str | None = "lang") -> DataFrame:
+def apply_rules(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), stratum_col: str | None = "lang") -> DataFrame:
     """Statistics and verdict of every document of ``docs``, under cutoffs fitted on ``labels``.
 
-    ``stored_as`` writes the measured table once, so that texts are measured a single time.
-    Null and empty texts have no words and fail the base rule; repeated rows are judged alike,
-    each on its own row; with no or few labels only the base rule applies. An empty table gives
-    no rows.
+    The statistics are written once, so that texts are measured a single time. Null and empty
+    texts have no words and fail the base rule; repeated rows are judged alike, each on its own
+    row; with no or few labels only the base rule applies. An empty table gives no rows.
     """
-    measured = stored_as(measure(docs, stratum_col=stratum_col), "text-statistics")
-    _, cutoffs = fit_cutoffs(measured, labels, risk)
-    return judge(measured, cutoffs).select("doc_id", *BASE_COLUMNS, "base_failed", "kept")
+    measured = stored(measure(docs, stratum_col=stratum_col), "text-statistics")
+    cutoffs = fit_cutoffs(measured, labels, risk)
+    return measured.select(
+        "doc_id", *BASE_COLUMNS, base_failed().alias("base_failed"), kept(cutoffs, F.col("stratum")).alias("kept"))
+
+
+def keep_documents(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), stratum_col: str | None = "lang") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, all columns as they are, without a shuffle of texts."""
+    measured = measure(docs, stratum_col=stratum_col).select("doc_id", "stratum", *{c for pair in RULES.values() for c in pair})
+    cutoffs = fit_cutoffs(stored(measured, "text-statistics"), labels, risk)
+    stratum = F.col(stratum_col).cast("string") if stratum_col else F.lit("all")
+    return docs.where(let(text_statistics(F.col("text")), lambda s: kept(cutoffs, stratum, lambda name: s[name])))

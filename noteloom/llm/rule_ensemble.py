@@ -195,9 +195,9 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
     return fit_model(rows[:, :-1], rows[:, -1], fit) if len(rows) else Model(0.0, ())
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``quality_score``, in one pass."""
-    return docs.withColumn("quality_score", let(statistics(F.col(text_col)), lambda s: model.score(lambda name: s[name])))
+def quality(model: Model, text: Column) -> Column:
+    """The score of a text, as one expression."""
+    return let(statistics(text), lambda s: model.score(lambda name: s[name]))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, accept: float = 0.3, fit: Fit = Fit()) -> DataFrame:
@@ -208,7 +208,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, accept: float = 0.3, fit
     gives no rows.
     """
     rows = docs.select("doc_id", "text")
-    scored = score(rows, train(rows, labels, fit))
+    scored = rows.select("doc_id", quality(train(rows, labels, fit), F.col("text")).alias("score"))
     return scored.select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"),
-        (F.col("quality_score") >= accept).cast("int").alias("predicted"))
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"))
+
+
+def accept_documents(docs: DataFrame, labels: DataFrame, accept: float = 0.3, fit: Fit = Fit()) -> DataFrame:
+    """The rows of ``docs`` that score ``accept`` or more, all columns as they are."""
+    return docs.where(quality(train(docs, labels, fit), F.col("text")) >= accept)

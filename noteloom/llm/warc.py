@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteloom.llm.common import shared_path
+from noteloom.llm.common import shared_path, stored
 
 RECORD_END = "\r\n\r\n"
 #: Fixed value: a gzip member without content.
@@ -67,7 +67,8 @@ def records(pages: DataFrame, least_revisit_bytes: int = 0, date: str = "1970-01
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload")).select(
         "*", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("size"))
-    firsts = rows.where(F.col("size") >= least_revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"))
+    # Written first, so that a join on a payload with very many copies can be split.
+    firsts = stored(rows.where(F.col("size") >= least_revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id")), "firsts")
     first = F.col("first_id")
     revisit = first.isNotNull() & ~first.eqNullSafe(F.col("page_id")) & (F.col("size") >= least_revisit_bytes)
 
