@@ -40,7 +40,8 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 class Settings:
     """With 32 bands of 5 registers, a pair of similarity 0.8 shares no bucket with probability 3e-6.
 
-    ``centres`` texts of a bucket are compared with its others in every round.
+    ``centres`` texts of a bucket are compared with its others in every round; with one, twice the
+    rounds are needed, each with the same number of small jobs.
     """
 
     words: int = 5
