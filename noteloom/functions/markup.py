@@ -1,13 +1,16 @@
 """Where a note may be cut: sections, blocks and sentences of one text.
 
-Offsets are code points. A guard marks the characters inside fenced code, display
-formulas, tables, inline code, formulas, links and images: nothing is cut there.
+Offsets are code points. A text is described by a mask of its protected characters: fenced
+code, display formulas, tables, inline code, formulas, links and images. Whole-line structures
+come from columns over the table of its lines (what opens, what closes, what has bars), and
+all cuts are arrays of candidate positions from which the mask strikes some.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import pairwise
 from typing import NamedTuple
 
 import numpy as np
@@ -33,7 +36,10 @@ BRACKETS = {"（": "）", "(": ")", "[": "]", "【": "】", "“": "”", "‘":
 SHORT_WORD = re.compile(r"(?:[A-Za-z]\.)*[A-Za-z]{1,3}")
 
 _HEADING_LINE = re.compile(HEADING.pattern, re.M)
-_MARKS = re.compile("[" + re.escape(TERMINATORS + '."' + "".join(BRACKETS) + "".join(BRACKETS.values())) + "]")
+_EVENTS = re.compile("[" + re.escape(TERMINATORS + '."' + "".join(BRACKETS) + "".join(BRACKETS.values())) + "]")
+_CLOSING_MARKS = re.compile("[" + re.escape(TRAILERS) + "]*")
+_LAST_WORD = re.compile(r"\S*\Z")
+_BLANKS = re.compile(r"\s*")
 
 
 class Unit(NamedTuple):
@@ -42,76 +48,84 @@ class Unit(NamedTuple):
     prose: bool
 
 
+class Lines:
+    """A text as a table of lines: their bounds, and what each opens, closes or has."""
+
+    def __init__(self, text: str):
+        self.rows = text.splitlines(keepends=True)
+        self.bounds = np.concatenate([[0], np.cumsum([len(r) for r in self.rows], dtype=np.int64)])
+
+    def fences(self) -> Iterator[tuple[int, int]]:
+        """First and last line of each structure that a line opens and a later line closes.
+
+        Closing lines are listed by their sign and searched by line number; without one, the
+        structure reaches to the end.
+        """
+        closing: dict[str, list[tuple[int, int]]] = {}
+        for n, row in enumerate(self.rows):
+            sign = row.strip()
+            if sign in FORMULA_ENDS.values():
+                closing.setdefault(sign, []).append((n, 1))
+            elif sign[:1] in ("`", "~") and sign == sign[0] * len(sign):
+                closing.setdefault(sign[0], []).append((n, len(sign)))
+        free = 0
+        for n, row in enumerate(self.rows):
+            fence = FENCE.match(row)
+            sign, least = (fence[1][0], len(fence[1])) if fence else (FORMULA_ENDS.get(row.strip()), 1)
+            if sign is None or n < free:
+                continue
+            last = min((m for m, size in closing.get(sign, ()) if m > n and size >= least), default=len(self.rows) - 1)
+            free = last + 1
+            yield n, last
+
+    def tables(self) -> Iterator[tuple[int, int]]:
+        """First and last line of each table: a header with bars, a rule, and rows with bars."""
+        bars = np.array(["|" in r for r in self.rows], dtype=bool)
+        stops = np.append(np.flatnonzero(~bars), len(self.rows))
+        for rule in np.flatnonzero([bool(TABLE_RULE.match(r)) for r in self.rows]):
+            if rule and bars[rule - 1]:
+                yield int(rule) - 1, int(stops[np.searchsorted(stops, rule + 1)]) - 1
+
+    def spans(self) -> Iterator[tuple[int, int]]:
+        for first, last in (*self.fences(), *self.tables()):
+            yield int(self.bounds[first]), int(self.bounds[last + 1])
+
+
 class Guard:
     """Protected characters of a text, and the runs they form."""
 
     def __init__(self, text: str, extra: Iterable[tuple[int, int]] = ()):
-        self.flags = np.zeros(len(text) + 1, dtype=bool)
-        for start, end in [*extra, *_line_ranges(text), *_inline_ranges(text)]:
-            self.flags[start:end] = True
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], self.flags])))
-        self.starts, self.ends = edges[0::2], edges[1::2]
+        self.text = text
+        inline = (m.span() for pattern in INLINE for m in pattern.finditer(text))
+        ends = np.zeros(len(text) + 2, dtype=np.int64)
+        for start, end in (*extra, *Lines(text).spans(), *inline):
+            ends[start] += 1
+            ends[end] -= 1
+        self.flags = np.cumsum(ends[:-1]) > 0
+        self.starts = np.flatnonzero(np.diff(self.flags, prepend=False) & self.flags)
+        self.ends = np.flatnonzero(np.diff(self.flags, prepend=False) & ~self.flags)
 
     def holds(self, position: int) -> bool:
         return bool(self.flags[position])
 
     def splits(self, position: int) -> bool:
         """A cut here would fall inside a run."""
-        return position > 0 and bool(self.flags[position - 1] and self.flags[position])
+        return bool(self.inside(np.array([position]))[0])
 
-    def end_of_run(self, position: int) -> int:
-        return int(self.ends[np.searchsorted(self.ends, position, side="right")])
+    def inside(self, positions: np.ndarray) -> np.ndarray:
+        """Which positions have protected characters on both sides."""
+        return (positions > 0) & self.flags[np.maximum(positions, 1) - 1] & self.flags[positions]
 
     def encloses(self, start: int, end: int) -> bool:
         return bool(self.flags[start:end].all())
 
-    def runs_within(self, start: int, end: int) -> Iterator[tuple[int, int]]:
-        for a, b in zip(self.starts.tolist(), self.ends.tolist()):
-            if start <= a and b <= end:
-                yield a, b
-
-
-def _line_ranges(text: str) -> Iterator[tuple[int, int]]:
-    """Fenced code, display formulas and tables, found line by line."""
-    lines = text.splitlines(keepends=True)
-    at = np.concatenate([[0], np.cumsum([len(x) for x in lines])]).astype(int).tolist()
-    rows = _table_rows(lines)
-    i = 0
-    while i < len(lines):
-        closing = _closing_line(lines[i])
-        if closing is not None:
-            last = next((j for j in range(i + 1, len(lines)) if closing.fullmatch(lines[j].strip())), len(lines) - 1)
-            yield at[i], at[last + 1]
-            i = last
-        elif i in rows:
-            yield at[i], at[i + 1]
-        i += 1
-
-
-def _closing_line(line: str) -> re.Pattern | None:
-    """The pattern of the line that ends what this line opens, if it opens anything."""
-    fence = FENCE.match(line)
-    if fence:
-        return re.compile(f"{re.escape(fence[1][0])}{{{len(fence[1])},}}\\s*")
-    end = FORMULA_ENDS.get(line.strip())
-    return re.compile(re.escape(end)) if end else None
-
-
-def _table_rows(lines: list[str]) -> set[int]:
-    """Header, rule and body lines of all tables."""
-    rows: set[int] = set()
-    for rule in range(1, len(lines)):
-        if TABLE_RULE.match(lines[rule]) and "|" in lines[rule - 1]:
-            end = rule + 1
-            while end < len(lines) and "|" in lines[end] and lines[end].strip():
-                end += 1
-            rows.update(range(rule - 1, end))
-    return rows
-
-
-def _inline_ranges(text: str) -> Iterator[tuple[int, int]]:
-    for pattern in INLINE:
-        yield from (m.span() for m in pattern.finditer(text))
+    def line_runs(self, start: int, end: int) -> np.ndarray:
+        """Edges of the runs in a stretch that begin and end with a line."""
+        a, b = np.searchsorted(self.starts, start), np.searchsorted(self.ends, end, side="right")
+        runs = [
+            (s, e) for s, e in zip(self.starts[a:b].tolist(), self.ends[a:b].tolist(), strict=False)
+            if (s == 0 or self.text[s - 1] == "\n") and (e == len(self.text) or self.text[e - 1] == "\n")]
+        return np.array(runs, dtype=np.int64).ravel()
 
 
 def section_spans(text: str, guard: Guard) -> list[tuple[int, int]]:
@@ -125,100 +139,79 @@ def section_spans(text: str, guard: Guard) -> list[tuple[int, int]]:
 
 def block_units(text: str, start: int, end: int, guard: Guard) -> list[Unit]:
     """Blocks of a section, cut at blank lines, after headings and before list items."""
-    cuts = {start, end}
-    for m in BLOCK_CUT.finditer(text[start:end]):
-        place = start + m.end()
-        if start < place < end and not guard.splits(place):
-            cuts.add(place)
-    for a, b in guard.runs_within(start, end):
-        if (a == 0 or text[a - 1] == "\n") and (b == len(text) or text[b - 1] == "\n"):
-            cuts |= {a, b}
-    edges = sorted(cuts)
-    return [Unit(a, b, not guard.encloses(a, b)) for a, b in zip(edges, edges[1:])]
+    found = np.fromiter((start + m.end() for m in BLOCK_CUT.finditer(text[start:end])), dtype=np.int64)
+    edges = np.unique(np.concatenate([[start, end], found[~guard.inside(found)], guard.line_runs(start, end)]))
+    return [Unit(a, b, not guard.encloses(a, b)) for a, b in pairwise(edges.tolist())]
 
 
 def sentence_units(text: str, start: int, end: int, guard: Guard) -> list[Unit]:
     """Complete sentences of a block; open quotes and brackets hold a sentence together."""
-    units: list[Unit] = []
-    begin, position, stack = start, start, []
-    while (mark := _MARKS.search(text, position, end)) is not None:
-        position = mark.start()
-        if guard.holds(position):
-            position = min(end, guard.end_of_run(position))
+    events = np.fromiter((m.start() for m in _EVENTS.finditer(text, start, end)), dtype=np.int64)
+    cuts, awaited = [start], ""
+    for place in events[~guard.flags[events]].tolist():
+        if place < cuts[-1]:  # among the closing marks of the last sentence
             continue
-        char = text[position]
-        if stack and char == stack[-1]:
-            stack.pop()
-        elif char == '"':
-            if position == 0 or text[position - 1] != "\\":
-                stack.append(char)
-        elif char in BRACKETS:
-            stack.append(BRACKETS[char])
-        if char in TERMINATORS or (char == "." and _full_stop(text, begin, position, end)):
-            stop = _sentence_end(text, position + 1, end, guard, stack)
-            if stop is not None:
-                units.append(Unit(begin, stop, True))
-                begin, position, stack = stop, stop, []
-                continue
-        position += 1
-    if begin < end:
-        units.append(Unit(begin, end, True))
-    return units
-
-
-def _full_stop(text: str, begin: int, dot: int, end: int) -> bool:
-    """The dot ends a sentence: white space follows and no short word or URL precedes."""
-    if dot + 1 < end and not text[dot + 1].isspace():
-        return False
-    at = dot
-    while at > begin and not text[at - 1].isspace():
-        at -= 1
-    word = text[at:dot]
-    return "://" not in word and not SHORT_WORD.fullmatch(word)
-
-
-def _sentence_end(text: str, stop: int, end: int, guard: Guard, stack: list[str]) -> int | None:
-    """Where the sentence ends after its closing marks and blanks; None while something is open."""
-    open_marks = list(stack)
-    while stop < end and text[stop] in TRAILERS and not guard.holds(stop):
-        if open_marks and text[stop] == open_marks[-1]:
-            open_marks.pop()
-        stop += 1
-    if open_marks:
-        return None
-    while stop < end and text[stop].isspace():
-        stop += 1
-    return stop
+        awaited = _awaited(awaited, text, place)
+        if text[place] in TERMINATORS or text[place] == "." and _ends_word(text, cuts[-1], place, end):
+            marks = _closing_marks(text, place + 1, end, guard)
+            if not _settled(awaited, marks):
+                cuts.append(_BLANKS.match(text, place + 1 + len(marks), end).end())
+                awaited = ""
+    return [Unit(a, b, True) for a, b in pairwise([*cuts, end]) if a < b]
+
+
+def _awaited(awaited: str, text: str, place: int) -> str:
+    """The closing signs still awaited after the sign at ``place``, innermost last."""
+    sign = text[place]
+    if awaited.endswith(sign):
+        return awaited[:-1]
+    if sign == '"':
+        return awaited if place and text[place - 1] == "\\" else awaited + sign
+    return awaited + BRACKETS.get(sign, "")
+
+
+def _settled(awaited: str, marks: str) -> str:
+    """What is still awaited after some closing marks."""
+    for sign in marks:
+        awaited = awaited.removesuffix(sign)
+    return awaited
+
+
+def _closing_marks(text: str, at: int, end: int, guard: Guard) -> str:
+    """The run of closing marks at a place, up to the first protected one."""
+    marks = _CLOSING_MARKS.match(text, at, end)[0]
+    held = np.flatnonzero(guard.flags[at:at + len(marks)])
+    return marks[:held[0]] if len(held) else marks
+
+
+def _ends_word(text: str, begin: int, dot: int, end: int) -> bool:
+    """White space or the end follows, and what the dot ends is no short word and no URL."""
+    word = _LAST_WORD.search(text, max(begin, text.rfind("\n", begin, dot)), dot)[0]
+    follows = text[dot + 1 : min(dot + 2, end)]
+    return not follows.strip() and "://" not in word and not SHORT_WORD.fullmatch(word)
+
+
+def _units(text: str, start: int, end: int, guard: Guard, whole: Callable[[Unit, str], object]) -> list[Unit]:
+    """Blocks of a section; a prose block that is not to stay ``whole`` gives its sentences."""
+    return [
+        unit for block in block_units(text, start, end, guard)
+        for unit in ([block] if not block.prose or whole(block, text[block.start : block.end]) else sentence_units(text, block.start, block.end, guard))]
 
 
 def pack_units(text: str, start: int, end: int, guard: Guard, target: int) -> list[Unit]:
     """Blocks, with prose blocks above the target cut into sentences."""
-    out: list[Unit] = []
-    for block in block_units(text, start, end, guard):
-        whole = (
-            block.end - block.start <= target or not block.prose
-            or LIST_ITEM.match(text[block.start : block.end])
-        )
-        out += [block] if whole else sentence_units(text, block.start, block.end, guard)
-    return out
+    return _units(text, start, end, guard, lambda b, body: b.end - b.start <= target or LIST_ITEM.match(body))
 
 
 def reading_units(text: str, start: int, end: int, guard: Guard) -> list[Unit]:
     """Sentences, with structure, headings and list items kept whole."""
-    out: list[Unit] = []
-    for block in block_units(text, start, end, guard):
-        body = text[block.start : block.end]
-        whole = not block.prose or HEADING.match(body) or LIST_ITEM.match(body)
-        out += [block] if whole else sentence_units(text, block.start, block.end, guard)
-    return out
+    return _units(text, start, end, guard, lambda _, body: HEADING.match(body) or LIST_ITEM.match(body))
 
 
 def check_spans(text: str, spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Protected spans given by the caller: in bounds, not empty, not overlapping."""
-    ordered = sorted((int(a), int(b)) for a, b in spans)
-    previous = 0
-    for a, b in ordered:
-        if a < previous or b <= a or b > len(text):
-            raise ValueError("protected spans must be valid, non-overlapping source ranges")
-        previous = b
-    return ordered
+    """Protected spans given by the caller, sorted: inside the text, not empty and apart."""
+    table = np.array(sorted(spans), dtype=np.int64).reshape(-1, 2)
+    edges = np.concatenate([[0], table.ravel(), [len(text)]])
+    if (np.diff(edges) < 0).any() or (table[:, 0] == table[:, 1]).any():
+        raise ValueError("spans to protect overlap, are empty or leave the text")
+    return [(int(a), int(b)) for a, b in table]

@@ -67,82 +67,100 @@ def _sections(units: DataFrame, placed: DataFrame) -> DataFrame:
     return u.join(c, ["doc_id", "section"])
 
 
-class _Incomplete(Exception):
-    pass
-
-
-def _grow(section: dict, start: int, end: int, neighbours: int) -> tuple[int, int, int, int]:
-    """Required and wanted spans around a chunk of a section."""
-    units = section["units"]
-    base = units[0]["unit"]
-    first = next(i for i, u in enumerate(units) if u["char_start"] <= start < u["char_end"])
-    last = next(i for i, u in enumerate(units) if u["char_start"] < end <= u["char_end"])
-    if units[first]["headless"]:
-        raise _Incomplete("dependency_missing")
-    first, last = units[first]["head"] - base, units[last]["tail"] - base
-    required = units[first]["char_start"], units[last]["char_end"]
-    for _ in range(neighbours):
-        if first > 0 and not units[first - 1]["heading"]:
-            first -= 1
-        if last + 1 < len(units) and not units[last + 1]["heading"]:
-            last += 1
-    return *required, units[first]["char_start"], units[last]["char_end"]
-
-
-def _tiles(section: dict, start: int, end: int, chosen: dict) -> list[dict]:
-    """Chunks that cover a span: those already chosen first, then the furthest reaching."""
-    out = []
-    while start < end:
-        covering = [c for c in section["chunks"] if c["char_start"] <= start < c["char_end"]]
-        if not covering:
-            raise _Incomplete("not_covered")
-        out.append(max(covering, key=lambda c: (c["chunk_id"] in chosen, c["char_end"])))
-        start = out[-1]["char_end"]
-    return out
+class _Section:
+    """A section as sorted arrays: bounds of its units and of the chunks inside it."""
+
+    def __init__(self, units: list[dict], chunks: list[dict]):
+        self.unit_start, self.unit_end, head, tail = (
+            np.array([u[k] for u in units]) for k in ("char_start", "char_end", "head", "tail"))
+        self.headings = np.flatnonzero([bool(u["heading"]) for u in units])
+        self.headless = [bool(u["headless"]) for u in units]
+        base = units[0]["unit"]
+        # Chains of units without an independent start have no head.
+        self.head = np.array([-1 if h is None or h != h else h - base for h in head.tolist()], dtype=np.int64)
+        self.tail = tail - base
+        self.start, self.end, self.ids = (np.array([c[k] for c in chunks]) for k in ("char_start", "char_end", "chunk_id"))
+
+    def reach(self, start: int, end: int, neighbours: int) -> np.ndarray | None:
+        """Bounds of what a span requires and of what is wanted with it; None if its chain has no start."""
+        first = int(np.searchsorted(self.unit_start, start, side="right")) - 1
+        last = int(np.searchsorted(self.unit_end, end))
+        if self.headless[first]:
+            return None
+        first, last = int(self.head[first]), int(self.tail[last])
+        before, after = np.searchsorted(self.headings, [first, last + 1])
+        floor = self.headings[before - 1] + 1 if before else 0
+        ceiling = (self.headings[after] if after < len(self.headings) else len(self.unit_end)) - 1
+        wide_first, wide_last = min(first, max(first - neighbours, floor)), max(last, min(last + neighbours, ceiling))
+        return np.array([self.unit_start[first], self.unit_end[last], self.unit_start[wide_first], self.unit_end[wide_last]])
+
+    def cover(self, start: int, end: int, preferred: set[int]) -> list[int] | None:
+        """Places of the chunks that cover a span, preferred ones first and then those that reach furthest."""
+        picked: list[int] = []
+        while start < end:
+            here = np.flatnonzero((self.start <= start) & (self.end > start))
+            if not len(here):
+                return None
+            liked = np.array([c in preferred for c in self.ids[here].tolist()])
+            picked.append(int(here[np.argmax(np.where(liked, self.end[here] + self.end.max(), self.end[here]))]))
+            start = self.end[picked[-1]]
+        return picked
+
+
+def _completed(anchors: pd.DataFrame, max_chars: int, neighbour_chars: int, neighbour_units: int):
+    """The chunks of one question in order with what each requires, or the reason why there are none.
+
+    Chunks are worked off level by level: the anchors, then the chunks that they brought in,
+    and so on, until a level brings in nothing.
+    """
+    refused = anchors["problem"].dropna()
+    if len(refused):
+        return refused.iloc[0], None
+    sections: dict[int, _Section] = {}
+    spans: dict[int, tuple[int, int, _Section]] = {}
+    for row in anchors.itertuples():
+        key = (row.units[0]["unit"], row.units[0]["char_start"], row.doc_id)
+        section = sections.setdefault(key, _Section(list(row.units), list(row.chunks)))
+        spans[row.chunk_id] = (row.char_start, row.char_end, section)
+    links: set[tuple[int, int]] = set()
+    level, depth = list(spans), 0
+    while level:
+        arrived: list[int] = []
+        for chunk in level:
+            a, b, section = spans[chunk]
+            bounds = section.reach(a, b, neighbour_units if depth == 0 else 0)
+            if bounds is None:
+                return "dependency_missing", None
+            need_from, need_to, from_, to = bounds.tolist()
+            picked = section.cover(from_, to, spans.keys())
+            if picked is None:
+                return "not_covered", None
+            ids, starts, ends = (x[picked].tolist() for x in (section.ids, section.start, section.end))
+            extra = {i: e - s for i, s, e in zip(ids, starts, ends, strict=True) if i != chunk}
+            if sum(extra.values()) > neighbour_chars:
+                return "neighbour_budget", None
+            for i, s, e in zip(ids, starts, ends, strict=True):
+                if i not in spans:
+                    spans[i] = (s, e, section)
+                    arrived.append(i)
+            needed = {i for i, s, e in zip(ids, starts, ends, strict=True) if s < need_to and e > need_from} | {chunk}
+            links |= {(i, j) for i in needed for j in needed if i != j}
+        level, depth = arrived, depth + 1
+    if sum(b - a for a, b, _ in spans.values()) > max_chars:
+        return "total_budget", None
+    return None, [(c, sorted(j for i, j in links if i == c)) for c in spans]
 
 
 def _expand_group(max_chars: int, neighbour_chars: int, neighbour_units: int):
     def expand(frame: pd.DataFrame) -> pd.DataFrame:
         anchors = frame.sort_values("rank")
-        question = anchors["question_id"].iloc[0]
-        chosen: dict[int, tuple[dict, int, int]] = {}
-        needs: dict[int, set[int]] = {}
-        try:
-            for row in anchors.to_dict("records"):
-                if row["problem"] is not None:
-                    raise _Incomplete(row["problem"])
-                chosen[row["chunk_id"]] = (row, row["char_start"], row["char_end"])
-            originals = set(chosen)
-            waiting = list(chosen)
-            for chunk in waiting:
-                section, a, b = chosen[chunk]
-                need_a, need_b, want_a, want_b = _grow(section, a, b, neighbour_units if chunk in originals else 0)
-                included, required = {}, {chunk}
-                for tile in _tiles(section, want_a, want_b, chosen):
-                    tile_id = tile["chunk_id"]
-                    if tile_id not in chosen:
-                        chosen[tile_id] = (section, tile["char_start"], tile["char_end"])
-                        waiting.append(tile_id)
-                    if tile_id != chunk:
-                        included[tile_id] = tile["char_end"] - tile["char_start"]
-                    if tile["char_start"] < need_b and tile["char_end"] > need_a:
-                        required.add(tile_id)
-                if sum(included.values()) > neighbour_chars:
-                    raise _Incomplete("neighbour_budget")
-                for c in required:
-                    needs.setdefault(c, set()).update(required - {c})
-            if sum(b - a for _, a, b in chosen.values()) > max_chars:
-                raise _Incomplete("total_budget")
-        except _Incomplete as reason:
-            return pd.DataFrame(
-                {"question_id": [question], "place": [0], "chunk_id": [None], "is_anchor": [None],
-                 "context_chunk_ids": [None], "problem": [str(reason)]}
-            )
-        return pd.DataFrame({
-            "question_id": question, "place": np.arange(1, len(chosen) + 1), "chunk_id": list(chosen),
-            "is_anchor": [c in originals for c in chosen],
-            "context_chunk_ids": [sorted(needs.get(c, ())) for c in chosen], "problem": None,
-        })
+        problem, found = _completed(anchors, max_chars, neighbour_chars, neighbour_units)
+        hits = set(anchors["chunk_id"])
+        rows = [(0, None, None, None, problem)] if problem is not None else [
+            (n, chunk, chunk in hits, needed, None) for n, (chunk, needed) in enumerate(found, start=1)]
+        out = pd.DataFrame(rows, columns=["place", "chunk_id", "is_anchor", "context_chunk_ids", "problem"])
+        out.insert(0, "question_id", anchors["question_id"].iloc[0])
+        return out
 
     return expand
 
@@ -191,7 +209,7 @@ def expand_evidence(
     )
     return (
         located.withColumn("problem", problem)
-        .select("question_id", "rank", "chunk_id", "char_start", "char_end", "units", "chunks", "problem")
+        .select("question_id", "rank", "chunk_id", "doc_id", "char_start", "char_end", "units", "chunks", "problem")
         .groupBy("question_id")
         .applyInPandas(_expand_group(max_chars, neighbour_chars, neighbour_units), EXPANDED)
     )
