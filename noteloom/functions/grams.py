@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from noteloom.functions.binding import let
-from noteloom.settings import MAX_QUERY_GRAMS
 
 # The characters that Unicode counts as white space.
 BLANK_GRAM = (
@@ -27,14 +26,16 @@ def sliding_grams(text: Column) -> Column:
     return let(F.split(text, ""), windows)
 
 
-def query_grams(text: Column, limit: int = MAX_QUERY_GRAMS) -> Column:
-    """Distinct trigrams of a question in first-seen order, evenly sampled to ``limit``.
+def query_grams(text: Column, limit: int | None = None) -> Column:
+    """Distinct trigrams of a question in first-seen order, all or evenly sampled to ``limit``.
 
     Windows that hold only white space or contain NUL are left out. Sampling keeps
     the first and the last gram; positions between round half to even.
     """
-    last = float(limit - 1)
     kept = F.array_distinct(F.filter(sliding_grams(text), lambda g: ~g.rlike(BLANK_GRAM) & ~g.contains("\0")))
+    if limit is None:
+        return kept
+    last = float(limit - 1)
     sample = lambda grams: F.transform(
         F.sequence(F.lit(0), F.lit(limit - 1)),
         lambda i: F.get(grams, F.rint(i * (F.size(grams) - 1).cast("double") / F.lit(last)).cast("int")),

@@ -1,14 +1,16 @@
 """Approximate vector search: random hyperplane cells, probed instead of a full scan.
 
 A chunk lies in the cell given by the signs of ``bits`` projections. A question probes
-the cells that differ from its own in the least certain signs. Stored partitioned by
-``cell``, a search reads only the probed cells.
+the cells that differ from its own in the least certain signs; all cells are the exact
+search. Stored partitioned by ``cell``, a search reads only the probed partitions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from dataclasses import dataclass
+from heapq import heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,32 +26,53 @@ from noteloom.operators.scoring import merge_top, score_all
 _SEED = 7
 
 
-def _planes(dimension: int, bits: int) -> np.ndarray:
-    return np.random.default_rng(_SEED).standard_normal((dimension, bits))
+@dataclass(frozen=True)
+class CellShape:
+    """What an index was built with; keep it beside the table."""
 
+    dimension: int
+    bits: int = 12
 
-def build_cells(chunks: DataFrame, dimension: int, bits: int = 12) -> DataFrame:
+    def planes(self) -> np.ndarray:
+        return np.random.default_rng(_SEED).standard_normal((self.dimension, self.bits))
+
+
+def build_cells(chunks: DataFrame, shape: CellShape) -> DataFrame:
     """``chunks`` with their ``cell``. Write it partitioned by ``cell`` to prune scans."""
-    planes = _planes(dimension, bits)
+    planes = shape.planes()
     schema = T.StructType([*chunks.schema.fields, T.StructField("cell", T.LongType(), False)])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = 1 << np.arange(bits, dtype=np.int64)
+        powers = 1 << np.arange(shape.bits, dtype=np.int64)
         for batch in batches:
             vectors = _matrix(batch.column("embedding"), "chunks")
             cell = ((vectors @ planes > 0) @ powers) if len(vectors) else np.zeros(0, dtype=np.int64)
             yield batch.append_column("cell", pa.array(cell, pa.int64()))
 
-    return chunks.mapInArrow(assign, schema).withMetadata("cell", {"bits": bits, "dimension": dimension})
+    return chunks.mapInArrow(assign, schema)
+
+
+def _flips(margin: np.ndarray) -> Iterator[int]:
+    """Sets of signs to flip, as bits, by the margin that they give up, the empty set first.
 
+    From each set two follow: its last sign joined by the next one, or replaced by it.
+    """
+    order = np.argsort(margin, kind="stable")
+    yield 0
+    waiting = [(float(margin[order[0]]), 0, 1 << int(order[0]))]
+    while waiting:
+        cost, last, flips = heappop(waiting)
+        yield flips
+        if last + 1 < len(order):
+            bit, more = 1 << int(order[last + 1]), float(margin[order[last + 1]])
+            heappush(waiting, (cost + more, last + 1, flips | bit))
+            heappush(waiting, (cost + more - float(margin[order[last]]), last + 1, flips ^ (1 << int(order[last])) | bit))
 
-def _probed(projection: np.ndarray, probes: int) -> list[int]:
-    """The cells to visit: flip sets of signs in order of the margin they give up."""
+
+def probed_cells(projection: np.ndarray, probes: int) -> list[int]:
+    """The ``probes`` cells nearest to a question, or all there are."""
     own = sum(1 << i for i, p in enumerate(projection) if p > 0)
-    margin = np.abs(projection)
-    flips = [()] + [c for size in (1, 2, 3) for c in combinations(np.argsort(margin), size)]
-    flips.sort(key=lambda c: sum(margin[list(c)]) if c else 0.0)
-    return [own ^ sum(1 << int(i) for i in c) for c in flips[:probes]]
+    return [own ^ f for f in islice(_flips(np.abs(projection)), probes)]
 
 
 def _cell_kernel(planes: np.ndarray, probes: int, top_n: int):
@@ -59,7 +82,7 @@ def _cell_kernel(planes: np.ndarray, probes: int, top_n: int):
         norms = np.sqrt((query * query).sum(axis=1))
         askers: dict[int, list[int]] = {}
         for q, projection in enumerate(query @ planes):
-            for cell in _probed(projection, probes):
+            for cell in probed_cells(projection, probes):
                 askers.setdefault(cell, []).append(q)
         best = RunningTopK(len(ids), top_n)
         for batch in batches:
@@ -87,13 +110,22 @@ def _cell_kernel(planes: np.ndarray, probes: int, top_n: int):
 
 
 def search_cells(
-    questions: DataFrame, cells: DataFrame, top_n: int = S.VECTOR_TOP_N, probes: int = 16
+    questions: DataFrame, cells: DataFrame, shape: CellShape, top_n: int = S.VECTOR_TOP_N, probes: int = 16
 ) -> DataFrame:
     """Approximate cosine top-N: (question_id, chunk_id, similarity, vector_rank)."""
-    shape = cells.schema["cell"].metadata
-    planes = _planes(shape["dimension"], shape["bits"])
+    planes = shape.planes()
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = _matrix(batch.column("embedding"), "questions") if batch.num_rows else np.zeros((0, len(planes)))
+            found = {c for p in vectors @ planes for c in probed_cells(p, probes)}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int64())], ["cell"])
+
+    # At most 2^bits numbers. As values of a filter they choose the partitions that are read.
+    wanted = [r.cell for r in questions.select("embedding").mapInArrow(probe, "cell bigint").distinct().collect()]
     scored = score_all(
-        questions.select("question_id", "embedding"), cells.select("chunk_id", "cell", "embedding"),
+        questions.select("question_id", "embedding"),
+        cells.where(F.col("cell").isin(wanted)).select("chunk_id", F.col("cell").cast("bigint"), "embedding"),
         _cell_kernel(planes, probes, top_n),
     )
     return merge_top(scored, top_n, "vector_rank").withColumnRenamed("score", "similarity")

@@ -15,19 +15,19 @@ from noteloom import settings as S
 from noteloom.operators.retrieval import SCORE_DIGITS, _matrix
 
 
-def _pool_size(max_chunks: int) -> int:
-    if max_chunks <= 0:
+def _checked(max_chunks: int | None) -> int | None:
+    if max_chunks is not None and max_chunks <= 0:
         raise ValueError("max_chunks must be greater than zero")
-    return min(max_chunks, S.GRAPH_POOL_CHUNKS)
+    return max_chunks
 
 
-def chunk_pool(chunks: DataFrame, max_chunks: int = S.GRAPH_POOL_CHUNKS) -> DataFrame:
+def chunk_pool(chunks: DataFrame, max_chunks: int) -> DataFrame:
     """Round-robin sample per knowledge base: first chunks of all documents, then second ones.
 
     Only the first ``max_chunks`` ranks of a document can enter the pool, so both
     windows keep a bounded number of rows per group before they shuffle.
     """
-    size = _pool_size(max_chunks)
+    size = _checked(max_chunks)
     in_document = Window.partitionBy("kb_id", "doc_id").orderBy("chunk_index", "chunk_id")
     in_base = Window.partitionBy("kb_id").orderBy("chunk_rank", "doc_id")
     return (
@@ -38,66 +38,68 @@ def chunk_pool(chunks: DataFrame, max_chunks: int = S.GRAPH_POOL_CHUNKS) -> Data
     )
 
 
-def _nearest(top_k: int, min_similarity: float, kb_type: pa.DataType):
-    names = ["kb_id", "source_chunk", "target_chunk", "source_doc", "target_doc", "similarity"]
-
-    def nearest(pool: pa.Table) -> pa.Table:
-        ids = pool["chunk_id"].to_numpy()
-        docs = pool["doc_id"].to_numpy()
-        vectors = _matrix(pool["embedding"], "pool")
-        squared = (vectors * vectors).sum(axis=1)
-        norms = np.sqrt(np.outer(squared, squared))
-        products = vectors @ vectors.T
-        similarity = np.divide(products, norms, out=np.zeros_like(products), where=norms > 0)
-        similarity = np.round(np.clip(similarity, -1.0, 1.0), SCORE_DIGITS)
-        found = []
-        for i in range(len(ids)):
-            others = np.flatnonzero(docs != docs[i])
-            best = others[np.lexsort((ids[others], -similarity[i, others]))[:top_k]]
-            found += [(i, j) for j in best if similarity[i, j] >= min_similarity]
-        s = np.array([i for i, _ in found], dtype=np.int64)
-        t = np.array([j for _, j in found], dtype=np.int64)
-        kb = pa.array([pool["kb_id"][0].as_py()] * len(found), kb_type)
-        return pa.Table.from_arrays(
-            [kb, pa.array(ids[s]), pa.array(ids[t]), pa.array(docs[s]), pa.array(docs[t]), pa.array(similarity[s, t])],
-            names=names,
-        )
+def _nearest(top_k: int):
+    names = ["source_chunk", "target_chunk", "source_doc", "target_doc", "similarity"]
+
+    def nearest(sources: pa.Table, targets: pa.Table) -> pa.Table:
+        (a, of_a, x), (b, of_b, y) = (
+            (t["chunk_id"].to_numpy(), t["doc_id"].to_numpy(), _matrix(t["embedding"], "graph") if t.num_rows else np.zeros((0, 0))) for t in (sources, targets))
+        picked: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        norm = np.sqrt((y * y).sum(axis=1)) if len(b) else None
+        for i in range(len(a) if len(b) else 0):
+            scale = norm * np.sqrt((x[i] * x[i]).sum())
+            value = np.round(np.clip(np.divide(y @ x[i], scale, out=np.zeros(len(b)), where=scale > 0), -1.0, 1.0), SCORE_DIGITS)
+            others = np.flatnonzero(of_b != of_a[i])
+            best = others[np.lexsort((b[others], -value[others]))[:top_k]]
+            picked.append((np.full(len(best), i), best, value[best]))
+        s, t, v = (np.concatenate(c) for c in zip(*picked)) if picked else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        return pa.Table.from_arrays([pa.array(c) for c in (a[s], b[t], of_a[s], of_b[t], v)], names=names)
 
     return nearest
 
 
 def graph_pairs(
     chunks: DataFrame, top_k: int = S.GRAPH_TOP_K, min_similarity: float = S.GRAPH_MIN_SIMILARITY,
-    max_chunks: int = S.GRAPH_POOL_CHUNKS,
+    max_chunks: int | None = None, block_rows: int = 2048,
 ) -> DataFrame:
-    """Nearest pool chunks of other documents; the threshold applies after the top-k.
+    """Nearest chunks of other documents of the same base; the threshold applies after the top-k.
 
-    A group is one pool, at most 400 chunks whatever the size of its knowledge base.
+    All chunks take part, or the pool of ``max_chunks`` per base. Each base is dealt into blocks
+    of about ``block_rows``; a task compares one block with one other and keeps ``top_k`` of
+    each chunk, and the best of all blocks are kept at the end. The search is exact, so its
+    work grows with the square of a base; use :mod:`ann` cells where that is too much.
     """
-    pool = chunk_pool(chunks, max_chunks).select("kb_id", "chunk_id", "doc_id", "embedding")
-    kb = pool.schema["kb_id"].dataType
-    kb_arrow = pa.string() if kb.simpleString() == "string" else pa.int64()
-    if kb.simpleString() == "int":
-        pool = pool.withColumn("kb_id", F.col("kb_id").cast("bigint"))
-    kind = "string" if kb_arrow == pa.string() else "bigint"
-    return pool.groupBy("kb_id").applyInArrow(
-        _nearest(top_k, min_similarity, kb_arrow),
-        f"kb_id {kind}, source_chunk bigint, target_chunk bigint, source_doc bigint, target_doc bigint, similarity double",
-    )
-
-
-def graph_nodes(documents: DataFrame, chunks: DataFrame, max_chunks: int = S.GRAPH_POOL_CHUNKS) -> DataFrame:
-    """Documents with their number of chunks; ``truncated`` when the base exceeds the pool.
+    if block_rows <= 0:
+        raise ValueError("block_rows must be greater than zero")
+    pool = chunks if _checked(max_chunks) is None else chunk_pool(chunks, max_chunks)
+    pool = pool.select("kb_id", "chunk_id", "doc_id", "embedding")
+    blocks = pool.groupBy("kb_id").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+    dealt = pool.join(blocks, "kb_id").withColumn("own", F.pmod(F.xxhash64("chunk_id"), F.col("blocks")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = ["kb_id", "chunk_id", "doc_id", "embedding"]
+    # Renamed, as both sides of the cogroup come from one table.
+    sources = dealt.select(*[F.col(c).alias(c) for c in rows], F.col("own").alias("a"), F.col("other").alias("b"))
+    targets = dealt.select(*[F.col(c).alias(c) for c in rows], F.col("other").alias("a"), F.col("own").alias("b"))
+    found = sources.groupBy("kb_id", "a", "b").cogroup(targets.groupBy("kb_id", "a", "b")).applyInArrow(
+        _nearest(top_k), "source_chunk bigint, target_chunk bigint, source_doc bigint, target_doc bigint, similarity double")
+    best = Window.partitionBy("source_chunk").orderBy(F.desc("similarity"), "target_chunk")
+    kept = found.withColumn("_rank", F.row_number().over(best)).where((F.col("_rank") <= top_k) & (F.col("similarity") >= min_similarity))
+    return kept.join(pool.select(F.col("chunk_id").alias("source_chunk"), "kb_id"), "source_chunk").select(
+        "kb_id", "source_chunk", "target_chunk", "source_doc", "target_doc", "similarity")
+
+
+def graph_nodes(documents: DataFrame, chunks: DataFrame, max_chunks: int | None = None) -> DataFrame:
+    """Documents with their number of chunks; ``truncated`` when the base exceeds ``max_chunks``.
 
     Chunks are counted per document before the join.
     """
-    size = _pool_size(max_chunks)
+    size = _checked(max_chunks)
     counted = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"))
     nodes = documents.join(counted, "doc_id", "left").select(
         "kb_id", "doc_id", "title", F.coalesce("chunks", F.lit(0)).cast("bigint").alias("chunks"),
         F.col("char_count").alias("chars"),
     )
-    totals = nodes.groupBy("kb_id").agg((F.sum("chunks") > size).alias("truncated"))
+    totals = nodes.groupBy("kb_id").agg((F.lit(False) if size is None else F.sum("chunks") > size).alias("truncated"))
     return nodes.join(totals, "kb_id")
 
 
@@ -111,9 +113,9 @@ def graph_edges(pairs: DataFrame) -> DataFrame:
         F.greatest("source_doc", "target_doc").alias("target"),
     ).agg(F.count(F.lit(1)).alias("links"), F.avg("similarity").alias("similarity"))
     raw = edge.withColumn("raw", F.col("similarity") * F.least(F.lit(1.0), F.col("links") / 2))
-    # A pool has at most 400 chunks, so a base has at most 400 * top_k edges here.
-    top = F.max("raw").over(Window.partitionBy("kb_id"))
-    return raw.select(
+    strongest = raw.groupBy("kb_id").agg(F.max("raw").alias("top"))
+    top = F.col("top")
+    return raw.join(strongest, "kb_id").select(
         "kb_id", "source", "target",
         F.bround(F.col("raw") / F.coalesce(F.nullif(top, F.lit(0.0)), F.lit(1.0)), 4).alias("weight"),
         "links", F.bround("similarity", 4).alias("similarity"),
@@ -122,7 +124,7 @@ def graph_edges(pairs: DataFrame) -> DataFrame:
 
 def build_graph(
     documents: DataFrame, chunks: DataFrame, top_k: int = S.GRAPH_TOP_K,
-    min_similarity: float = S.GRAPH_MIN_SIMILARITY, max_chunks: int = S.GRAPH_POOL_CHUNKS,
+    min_similarity: float = S.GRAPH_MIN_SIMILARITY, max_chunks: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of every knowledge base. A base with one document has no edges."""
     return (
@@ -133,7 +135,7 @@ def build_graph(
 
 def edge_counts(
     chunks: DataFrame, thresholds: tuple[float, ...] = S.GRAPH_THRESHOLD_PRESETS,
-    top_k: int = S.GRAPH_TOP_K, max_chunks: int = S.GRAPH_POOL_CHUNKS,
+    top_k: int = S.GRAPH_TOP_K, max_chunks: int | None = None,
 ) -> DataFrame:
     """Edges per threshold, and whether the number fell strictly against the threshold before.
 

@@ -7,7 +7,18 @@ from pyspark.sql import functions as F
 
 from noteloom.functions.binding import let
 
-LINE_ID_BITS = 20
+#: A line id holds the document id above so many bits of the line number.
+LINE_ID_BITS = 27
+
+
+def line_id(doc_id: Column, line: Column) -> Column:
+    """One number for a document and a line; an error, never a collision, where they do not fit.
+
+    Ids below 2^36 and lines below 2^27 fit; a text of the intake limit has fewer lines.
+    """
+    fits = doc_id.between(0, (1 << 63 - LINE_ID_BITS) - 1) & line.between(0, (1 << LINE_ID_BITS) - 1)
+    packed = F.shiftleft(doc_id.cast("bigint"), LINE_ID_BITS).bitwiseOR(line.cast("bigint"))
+    return F.when(doc_id.isNull() | fits, packed).otherwise(F.raise_error(F.lit("document id or line number too large for a line id")))
 
 
 def line_chunks(documents: DataFrame, *carry: str) -> DataFrame:
@@ -19,7 +30,7 @@ def line_chunks(documents: DataFrame, *carry: str) -> DataFrame:
     return documents.filter(F.col("text").isNotNull()).select(
         "doc_id", *carry, F.posexplode_outer(F.split("text", "\n")).alias("chunk_index", "content")
     ).select(
-        F.shiftleft("doc_id", LINE_ID_BITS).bitwiseOR(F.col("chunk_index")).alias("chunk_id"),
+        line_id(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"),
         "doc_id", *carry, F.col("chunk_index").cast("bigint").alias("chunk_index"), "content",
     )
 
@@ -51,7 +62,7 @@ def spanned_lines(documents: DataFrame, *carry: str) -> DataFrame:
     return documents.select(
         "doc_id", *carry, F.posexplode_outer(line_spans(F.col("text"))).alias("chunk_index", "s")
     ).filter(F.col("chunk_index").isNotNull()).select(
-        F.shiftleft("doc_id", LINE_ID_BITS).bitwiseOR(F.col("chunk_index")).alias("chunk_id"),
+        line_id(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"),
         "doc_id", *carry, F.col("chunk_index").cast("bigint").alias("chunk_index"),
         F.col("s.content").alias("content"),
         F.col("s.start").alias("char_start"), F.col("s.end").alias("char_end"),

@@ -20,6 +20,7 @@ from noteloom import settings as S
 from noteloom.functions import grams as G
 from noteloom.functions.binding import let
 from noteloom.functions.topk import RunningTopK
+from noteloom.session import checkpointed
 from noteloom.operators.scoring import MAX_BROADCAST_QUESTIONS, STRIPE_ROWS, merge_top, score_all
 
 # Scores are compared after rounding to this many digits, so that equal texts and
@@ -275,11 +276,11 @@ def _bm25_questions(questions: DataFrame, statistics: DataFrame) -> tuple[DataFr
     terms = asked.select("question_id", F.explode_outer(counted).alias("t")).select(
         "question_id", "t.gram", "t.times"
     ).filter(F.col("gram").isNotNull())
-    # Only counts that some question needs are kept: at most 64 per question.
-    needed = statistics.join(
+    # Only counts that some question needs are kept, and written, as they are used twice.
+    needed = checkpointed(statistics.join(
         terms.select("gram").distinct().unionByName(statistics.sparkSession.range(1).select(F.lit("").alias("gram"))),
         "gram", "left_semi",
-    ).persist()
+    ))
     totals = needed.filter(F.col("gram") == "").select("df", "tokens").first()
     rows, tokens = (totals["df"], totals["tokens"]) if totals else (0, 0)
     n, df = F.lit(float(rows)), F.col("df").cast("double")

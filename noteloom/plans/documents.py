@@ -202,7 +202,7 @@ def expanded_context(spark: SparkSession, d: str) -> DataFrame:
     """Context of the eight best keyword hits per question, over chunks that cut sentences."""
     docs = I.notes(spark, d)
     chunks = chunking.chunk_rows(chunking.split_documents(docs, on_oversize="keep"), "kb_id").withColumn(
-        "chunk_id", F.shiftleft("doc_id", lines.LINE_ID_BITS).bitwiseOR(F.col("chunk_index").cast("int"))
+        "chunk_id", lines.line_id(F.col("doc_id"), F.col("chunk_index"))
     )
     chunks = checkpointed(chunks)  # read five times below; a real index is a stored table
     hits = search_bm25(I.questions(spark, d), chunks, S.RETRIEVE_TOP_K).withColumnRenamed("keyword_rank", "rank")
@@ -394,7 +394,7 @@ damaged AS (
          CASE WHEN id % 83 = 0 THEN 'elsewhere' ELSE kb_id END AS kb_id, char_start,
          CASE WHEN id % 89 = 0 THEN char_end + 1000000 WHEN id % 79 = 0 THEN char_end - 1 ELSE char_end END AS char_end,
          CASE WHEN id % 97 = 0 THEN reverse(content) ELSE content END AS content
-  FROM (SELECT *, (doc_id << 20) | chunk_index AS id FROM spans)
+  FROM (SELECT *, (doc_id << 27) | chunk_index AS id FROM spans)
 ),
 judged AS (
   SELECT c.chunk_id, c.doc_id, CASE WHEN d.doc_id IS NULL THEN 'document_missing' WHEN c.kb_id <> d.source THEN 'kb_mismatch'

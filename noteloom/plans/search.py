@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noteloom import settings as S
 from noteloom.functions.grams import query_grams
 from noteloom.operators import gate as gating
 from noteloom.operators import graph as G
 from noteloom.operators import retrieval as R
-from noteloom.operators.ann import build_cells, search_cells
+from noteloom.operators.ann import CellShape, build_cells, search_cells
 from noteloom.operators.audit import source_snapshots
 from noteloom.operators.lines import spanned_lines
 from noteloom.plans import inputs as I
@@ -19,6 +20,7 @@ from noteloom.session import checkpointed, hinted
 REFUSE, ANSWER = 0.985, 0.99
 # Best similarities between different labels lie between 0.27 and 0.60 here.
 GRAPH_FLOOR = 0.35
+LSH = CellShape(dimension=64, bits=5)
 GRAPH_PRESETS = (0.30, 0.35, 0.40, 0.45)
 
 
@@ -37,13 +39,13 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
 def lsh_topk(spark: SparkSession, d: str) -> DataFrame:
     chunks = I.vectors(spark, d)
     asked = chunks.select(F.col("chunk_id").alias("question_id"), "embedding")
-    cells = build_cells(chunks, dimension=64, bits=5)
-    return search_cells(asked, cells, probes=8)
+    cells = build_cells(chunks, LSH)
+    return search_cells(asked, cells, LSH, probes=8)
 
 
 def trigram_terms(spark: SparkSession, d: str) -> DataFrame:
     return I.questions(spark, d).select(
-        "question_id", F.posexplode(query_grams(F.col("text"))).alias("place", "gram")
+        "question_id", F.posexplode(query_grams(F.col("text"), S.MAX_QUERY_GRAMS)).alias("place", "gram")
     ).select("question_id", F.col("place").cast("bigint").alias("place"), "gram")
 
 
@@ -140,7 +142,7 @@ def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
         F.col("source").alias("kb_id"), "doc_id", F.concat(F.lit("note-"), F.col("doc_id")).alias("title"),
         F.col("n_chars").alias("char_count"),
     )
-    return G.graph_nodes(docs, I.note_lines(spark, d))
+    return G.graph_nodes(docs, I.note_lines(spark, d), S.GRAPH_POOL_CHUNKS)
 
 
 def graph_threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
@@ -159,7 +161,7 @@ QUERIES = {
 
 LINES = """
 lines AS (
-  SELECT (doc_id << 20) | i AS chunk_id, doc_id, kb_id, i AS chunk_index, content
+  SELECT (doc_id << 27) | i AS chunk_id, doc_id, kb_id, i AS chunk_index, content
   FROM (
     SELECT doc_id, kb_id, unnest(l) AS content, unnest(range(len(l))) AS i
     FROM (SELECT doc_id, source AS kb_id, string_split(text, chr(10)) AS l FROM documents)
@@ -193,7 +195,7 @@ terms AS (
    AND o.p = CASE WHEN a.n > 64 THEN round_even(a.place * (a.n - 1)::DOUBLE / 63.0, 0)::BIGINT ELSE a.place END
 )"""
 
-BM25 = TERMS + """,
+BM25 = TERMS[: TERMS.index("places AS")] + """terms AS (SELECT question_id, p AS place, gram FROM ordered),
 folded AS (SELECT question_id, lower(gram) AS gram, count(*) AS times FROM terms GROUP BY 1, 2),
 postings AS (
   SELECT chunk_id, kb_id, dl, gram, count(*) AS tf FROM (
@@ -278,7 +280,7 @@ pool AS (
   SELECT *, row_number() OVER (PARTITION BY kb_id ORDER BY chunk_rank, doc_id) AS pool_rank FROM ranked
   QUALIFY pool_rank <= {size}
 )"""
-_PAIRS = _GRAPH.format(size=400) + """,
+_PAIRS = _GRAPH.format(size=2**62) + """,
 near AS (
   SELECT *, row_number() OVER (PARTITION BY source_chunk ORDER BY similarity DESC, target_chunk) AS r
   FROM (

@@ -191,8 +191,8 @@ def usable_history(spark: SparkSession, d: str) -> DataFrame:
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
     """Conversation turns as answers, with citation markers set by their number."""
-    answer_id = F.col("conv_id") * 100 + F.col("turn")
-    m = answer_id % 8
+    answer_id = F.col("conv_id") * 1_000_000 + F.col("turn")
+    m = (F.col("conv_id") * 100 + F.col("turn")) % 8
     content = (
         F.when(m == 0, F.concat("text", F.lit(" [1]"))).when(m == 1, F.concat(F.lit("[2] "), "text", F.lit(" [1][2]")))
         .when(m == 2, F.concat("text", F.lit(" [9] [1]"))).when(m == 3, F.col("text"))
@@ -230,7 +230,7 @@ def citation_audit(spark: SparkSession, d: str) -> DataFrame:
 
 def citation_renumber(spark: SparkSession, d: str) -> DataFrame:
     """Conversations as workflows: each turn is a step that cites up to three chunks."""
-    step_id = F.col("conv_id") * 100 + F.col("turn")
+    step_id = F.col("conv_id") * 1_000_000 + F.col("turn")
     cite = lambda i: F.struct(
         F.lit(i).cast("bigint").alias("index"), ((step_id * 7 + i * 3) % 10).alias("chunk_id"),
         F.when(step_id % 11 == 0, F.lit(5)).otherwise(F.lit(1)).cast("bigint").alias("doc_id"),
@@ -333,7 +333,7 @@ tasks AS (SELECT * FROM run QUALIFY r = max(r) OVER (PARTITION BY doc_id))"""
 
 _ANSWER = """
 a AS (
-  SELECT conv_id * 100 + turn AS answer_id, (conv_id * 100 + turn) % 8 AS m, text FROM conversations
+  SELECT conv_id * 1000000 + turn AS answer_id, (conv_id * 100 + turn) % 8 AS m, text FROM conversations
 )"""
 
 ORACLES = {
@@ -438,7 +438,7 @@ SELECT answer_id, reason, CASE reason WHEN 'none' THEN 'answered' WHEN 'source_c
        CASE WHEN reason <> 'none' THEN '' WHEN m = 7 THEN '2' ELSE '1,2' END AS cited, CASE WHEN m = 2 THEN '9' ELSE '' END AS out_of_range FROM r""",
     "citation_renumber": """
 WITH s AS (
-  SELECT conv_id AS w, turn AS step, conv_id * 100 + turn AS id, role <> 'system' AND (conv_id * 100 + turn) % 9 <> 0 AS maybe FROM conversations
+  SELECT conv_id AS w, turn AS step, conv_id * 1000000 + turn AS id, role <> 'system' AND (conv_id * 1000000 + turn) % 9 <> 0 AS maybe FROM conversations
 ),
 c AS (SELECT w, step, id, maybe, i, (id * 7 + i * 3) % 10 AS chunk, CASE WHEN id % 11 = 0 THEN 5 ELSE 1 END AS doc FROM s, (SELECT unnest([1, 2, 3]) AS i)),
 steps AS (SELECT w, row_number() OVER (PARTITION BY w ORDER BY step) AS k, step, id, maybe FROM s),
@@ -465,7 +465,7 @@ SELECT r.w AS workflow_id, r.step::INT AS step, r.valid,
 FROM run r JOIN steps t ON t.w = r.w AND t.k = r.k JOIN last l ON l.w = r.w WHERE r.k > 0""".replace("WITH s AS", "WITH RECURSIVE s AS", 1),
     "stale_sources": """
 WITH l AS (
-  SELECT (doc_id << 20) | i AS chunk_id, doc_id, source, CASE WHEN i < n - 1 THEN c || chr(10) ELSE c END AS content
+  SELECT (doc_id << 27) | i AS chunk_id, doc_id, source, CASE WHEN i < n - 1 THEN c || chr(10) ELSE c END AS content
   FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS c, unnest(range(len(string_split(text, chr(10))))) AS i,
                len(string_split(text, chr(10))) AS n FROM documents)
 )

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,8 +121,17 @@ def test_pool_takes_turns(spark):
 def test_truncation_flag(spark, sizes, flag):
     docs = spark.createDataFrame([(i + 1, 1, f"d{i}", 10) for i in range(len(sizes))] or [], "doc_id bigint, kb_id bigint, title string, char_count bigint")
     chunks, _ = pool_counts(spark, sizes, 400)
-    rows = GR.graph_nodes(docs, chunks, 900).collect()
-    assert {r.truncated for r in rows} == (set() if flag is None else {flag})
+    for limit, want in ((400, flag), (401, flag and False), (None, flag and False)):
+        rows = GR.graph_nodes(docs, chunks, limit).collect()
+        assert {r.truncated for r in rows} == (set() if flag is None else {want})
+
+
+def test_pairs_do_not_depend_on_the_blocks(spark):
+    rng = random.Random(2)
+    rows = [(i, i // 3, i % 2, i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(60)]
+    chunks = spark.createDataFrame(rows, "chunk_id bigint, doc_id bigint, kb_id bigint, chunk_index bigint, embedding array<double>")
+    whole = sorted(map(tuple, GR.graph_pairs(chunks, 3, 0.2).collect()))
+    assert whole and whole == sorted(map(tuple, GR.graph_pairs(chunks, 3, 0.2, block_rows=7).collect()))
 
 
 def test_edges(spark):
@@ -134,3 +145,14 @@ def test_edges(spark):
     assert nodes.count() == 4
     falling = GR.edge_counts(chunks, (0.1, 0.5, 0.9999)).filter("kb_id = 1").orderBy("threshold").collect()
     assert [(r.edges, r.strictly_fewer) for r in falling] == [(2, True), (1, True), (0, True)]
+
+
+def test_first_document_with_short_and_long_passages(spark):
+    from noteloom.operators.labels import first_document_with
+
+    words = [f"w{i}" for i in range(40)]
+    docs = [(5, "x " + " ".join(words[:20])), (3, "pre" + " ".join(words[:20]) + "post"), (9, " ".join(words[20:])), (1, "a\tb c")]
+    asked = [(1, " ".join(words[:20])), (2, " ".join(words[21:30])), (3, "b c"), (4, "not there at all in any of these texts"), (5, " ".join(words[20:28]) + "x")]
+    found = first_document_with(
+        spark.createDataFrame(asked, "question_id bigint, text string"), spark.createDataFrame(docs, "doc_id bigint, text string"))
+    assert {r.question_id: r.doc_id for r in found.collect()} == {1: 3, 2: 9, 3: 1}

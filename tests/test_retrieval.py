@@ -1,6 +1,8 @@
 import math
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,20 +121,20 @@ def test_trgm_kernel_agrees_with_the_expression(spark):
 def test_query_grams_are_sampled_evenly(spark):
     long = "".join(chr(0x4E00 + i) for i in range(150))
     texts = ["ab", "abcabc", "a   b", long, "a\0bcd"]
-    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(query_grams(F.col("t")).alias("g")).collect()
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(query_grams(F.col("t"), 64).alias("g"), query_grams(F.col("t")).alias("all")).collect()
     assert rows[0].g == [] and rows[1].g == ["abc", "bca", "cab"]
     assert rows[2].g == ["a  ", "  b"] and rows[4].g == ["bcd"]
     all_grams = [long[i : i + 3] for i in range(148)]
     assert rows[3].g == [all_grams[round(i * 147 / 63)] for i in range(64)]
+    assert rows[3].all == all_grams and all(r.all == r.g for r in rows[:3])
 
 
 @pytest.mark.parametrize(
     "vector, keyword, want",
     [
-        ([10, 20, 30], [], [(10, 1, None), (20, 2, None), (30, 3, None)]),
-        ([1, 2, 3], [3, 4], [(3, 3, 1), (1, 1, None), (2, 2, None), (4, None, 2)]),
-        ([7], [7, 8], [(7, 1, 1), (8, None, 2)]),
-        ([5, 6], [9, 8], [(5, 1, None), (9, None, 1), (6, 2, None), (8, None, 2)]),
+        ([], [44, 41], [(44, None, 1), (41, None, 2)]),
+        ([61, 17, 52], [17, 90, 61], [(17, 2, 1), (61, 1, 3), (90, None, 2), (52, 3, None)]),
+        ([300, 8], [12], [(300, 1, None), (12, None, 1), (8, 2, None)]),
     ],
 )
 def test_fusion_order(spark, vector, keyword, want):
@@ -154,16 +156,28 @@ def test_retrieve_drops_ids_that_are_gone(spark, chunks):
         R.retrieve(ask, chunks, keyword_channel="other")
 
 
-def test_cells_find_most_neighbours(spark, sf_dir):
+def test_cells_find_most_neighbours(spark, sf_dir, tmp_path):
     from noteloom.plans import inputs as I
 
     table = I.vectors(spark, sf_dir)
     ask = table.select(F.col("chunk_id").alias("question_id"), "embedding")
     exact = R.search_vector(ask, table, 5)
-    found = ann.search_cells(ask, ann.build_cells(table, 64, bits=4), 5, probes=8)
+    found = ann.search_cells(ask, ann.build_cells(table, ann.CellShape(64, 4)), ann.CellShape(64, 4), 5, probes=8)
     assert ann.recall(found, exact).first().recall > 0.75
-    everything = ann.search_cells(ask, ann.build_cells(table, 64, bits=2), 5, probes=4)
+    shape, place = ann.CellShape(64, 5), str(tmp_path / "cells")
+    ann.build_cells(table, shape).write.partitionBy("cell").parquet(place)
+    everything = ann.search_cells(ask, spark.read.parquet(place), shape, 5, probes=32)
     assert sorted(everything.collect()) == sorted(exact.collect())
+    one = ann.search_cells(ask.limit(1), spark.read.parquet(place), shape, 5, probes=1)
+    assert re.search(r"PartitionFilters: \[[^\]]*cell#", one._jdf.queryExecution().toString())
+
+
+def test_probes_visit_every_cell_once_nearest_first():
+    projection = np.random.default_rng(1).standard_normal(8)
+    cells = ann.probed_cells(projection, 1000)
+    assert sorted(cells) == list(range(256))
+    margin = [sum(abs(p) for i, p in enumerate(projection) if (c >> i & 1) != (p > 0)) for c in cells]
+    assert margin == pytest.approx(sorted(margin))
 
 
 def test_embedding_contract(spark):
