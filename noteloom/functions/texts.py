@@ -66,9 +66,9 @@ def question_error(text: Column, limit: int = MAX_QUESTION_CHARS) -> Column:
 
 
 def citation_numbers(text: Column) -> Column:
-    """Numbers of the ``[n]`` markers in first-seen order."""
+    """Numbers of the ``[n]`` markers in first-seen order; one too long for a long counts as its largest."""
     found = F.regexp_extract_all(text, F.lit(CITATION_PATTERN), F.lit(1))
-    return F.array_distinct(F.transform(found, lambda n: n.cast("decimal(38,0)").cast("long")))
+    return F.array_distinct(F.transform(found, lambda n: F.coalesce(n.try_cast("bigint"), F.lit((1 << 63) - 1))))
 
 
 def out_of_range_citations(text: Column, provided: Column) -> Column:

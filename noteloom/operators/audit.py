@@ -126,9 +126,15 @@ _JUDGEMENTS = (
     "struct<judgments:array<struct<unit_id:bigint,verdict:string,"
     "evidence:array<struct<source_index:bigint,quote:string>>>>>"
 )
+_JUDGEMENT_FIELDS, _EVIDENCE_FIELDS = ("evidence", "unit_id", "verdict"), ("quote", "source_index")
 _VERDICTS = ("supported", "unsupported", "contradicted")
 
 
+def _has_only(objects: Column, fields: tuple[str, ...]) -> Column:
+    """Every object, a map, has just the given fields."""
+    return F.coalesce(F.forall(objects, lambda o: F.array_sort(F.map_keys(o)) == F.array(*map(F.lit, sorted(fields)))), F.lit(False))
+
+
 def answer_units(content: Column, citations: Column) -> Column:
     """Non-blank lines of an answer with the sources each may rely on.
 
@@ -165,7 +171,11 @@ def support_audit(answers: DataFrame) -> DataFrame:
         "_units": answer_units(F.col("content"), F.col("citations")),
         "_keys": F.map_keys(F.from_json("judgement", "map<string,string>")),
         "_j": F.from_json("judgement", _JUDGEMENTS)["judgments"],
+        "_objects": F.from_json("judgement", "struct<judgments:array<map<string,string>>>")["judgments"],
+        "_cited": F.flatten(F.filter(F.from_json(
+            "judgement", "struct<judgments:array<struct<evidence:array<map<string,string>>>>>")["judgments"]["evidence"], lambda e: e.isNotNull())),
     })
+    exact = _has_only(F.col("_objects"), _JUDGEMENT_FIELDS) & _has_only(F.col("_cited"), _EVIDENCE_FIELDS)
     # One call normalises all quotes of a row, another all sources; NUL keeps them apart.
     quotes = F.flatten(F.transform("_j", lambda j: F.transform(
         F.coalesce(j["evidence"], F.array().cast("array<struct<source_index:bigint,quote:string>>")), lambda e: e["quote"])))
@@ -205,7 +215,7 @@ def support_audit(answers: DataFrame) -> DataFrame:
     some = lambda test: F.coalesce(F.exists("_j", test), F.lit(False))
     problem = (
         F.when(F.col("_keys").isNull(), "not_json")
-        .when((F.size("_keys") != 1) | (F.get("_keys", F.lit(0)) != "judgments") | F.col("_j").isNull(), "bad_fields")
+        .when((F.size("_keys") != 1) | (F.get("_keys", F.lit(0)) != "judgments") | F.col("_j").isNull() | ~exact, "bad_fields")
         .when((n == 0) | (F.size("_j") != n), "not_covered")
         .when(
             some(lambda j: ~F.coalesce(j["unit_id"].between(1, n), F.lit(False))) | (F.size(F.array_distinct(ids)) != n), "bad_unit"
@@ -217,11 +227,12 @@ def support_audit(answers: DataFrame) -> DataFrame:
     )
     return ready.withColumn("problem", problem).withColumn(
         "supported", F.when(F.col("problem").isNull(), F.forall("_j", lambda j: j["verdict"] == "supported"))
-    ).drop("_units", "_keys", "_j", "_quotes", "_sources", "_raw", "_source_text", "_quote_text")
+    ).drop("_units", "_keys", "_j", "_objects", "_cited", "_quotes", "_sources", "_raw", "_source_text", "_quote_text")
 
 
 # ---------------------------------------------------------------- source selection
 
+_SELECTION_FIELDS = ("quote", "source_index", "subject")
 _SELECTION = "struct<source_matches:array<struct<source_index:bigint,subject:string,quote:string>>>"
 
 
@@ -236,6 +247,7 @@ def selection_audit(requests: DataFrame) -> DataFrame:
     parsed = requests.withColumns({
         "_keys": F.map_keys(F.from_json(raw, "map<string,string>")),
         "_m": F.from_json(raw, _SELECTION)["source_matches"],
+        "_objects": F.from_json(raw, "struct<source_matches:array<map<string,string>>>")["source_matches"],
         "_question": nfkc_squash(F.col("question")),
         "_sources": F.split(nfkc_squash(F.array_join(F.transform("citations", lambda c: c["chunk_text"]), _NUL, "")), _NUL),
     })
@@ -259,7 +271,8 @@ def selection_audit(requests: DataFrame) -> DataFrame:
 
     problem = (
         F.when(F.col("_keys").isNull(), "not_json")
-        .when((F.size("_keys") != 1) | (F.get("_keys", F.lit(0)) != "source_matches") | F.col("_m").isNull(), "bad_fields")
+        .when((F.size("_keys") != 1) | (F.get("_keys", F.lit(0)) != "source_matches") | F.col("_m").isNull()
+              | ~_has_only(F.col("_objects"), _SELECTION_FIELDS), "bad_fields")
         .when(F.exists(F.transform("_m", bad), lambda b: b), "bad_match")
     )
     chosen = F.array_distinct(F.flatten(F.transform("_m", lambda m: F.concat(
@@ -268,7 +281,7 @@ def selection_audit(requests: DataFrame) -> DataFrame:
     ))))
     return ready.withColumn("problem", problem).withColumn(
         "selected", F.when(F.col("problem").isNull(), chosen)
-    ).drop("_keys", "_m", "_question", "_sources", "_said")
+    ).drop("_keys", "_m", "_objects", "_question", "_sources", "_said")
 
 
 # ---------------------------------------------------------------- source listings
