@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noteloom.operators.maintenance import decide_reupload
@@ -28,15 +28,37 @@ def accepted_uploads(files: DataFrame, lateness: str = "1 hour") -> DataFrame:
     )
 
 
+def rejected_uploads(files: DataFrame) -> DataFrame:
+    """Files that do not become documents, with the reason."""
+    return intake(files).filter(F.col("reason").isNotNull()).select("path", "title", "reason", "modificationTime")
+
+
+def new_documents(documents: DataFrame, latest: DataFrame) -> DataFrame:
+    """Rows for titles without a document, waiting for their first processing.
+
+    Ids follow the largest one in the order of the titles; only the new titles of one batch
+    are numbered. Columns that an upload does not tell are null.
+    """
+    fresh = latest.join(documents.select("title"), "title", "left_anti")
+    top = documents.agg(F.coalesce(F.max("doc_id"), F.lit(0)).alias("top"))
+    number = F.row_number().over(Window.orderBy("title"))
+    named = fresh.withColumn("number", number).join(F.broadcast(top)).withColumn("doc_id", (F.col("top") + F.col("number")).cast("bigint"))
+    known = {
+        "doc_id": F.col("doc_id"), "title": F.col("title"), "status": F.lit("pending"), "ingest_version": F.lit(1), "chunk_count": F.lit(0),
+        "pending_file_path": F.concat(F.lit("candidates/"), F.col("doc_id").cast("string"), F.lit("-v1")),
+        "pending_content_hash": F.col("u.content_hash"), "pending_char_count": F.col("u.char_count"),
+    }
+    return named.select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in documents.schema])
+
+
 def apply_uploads(documents: DataFrame, uploads: DataFrame) -> DataFrame:
     """Document rows after a batch of uploads; the last upload of a document counts.
 
-    Documents need the columns of :func:`decide_reupload` and ``title``. New titles are not
-    registered here: they have no document yet.
+    Documents need the columns of :func:`decide_reupload` and ``title``. A new title becomes a
+    new document.
     """
-    latest = uploads.groupBy("title").agg(
-        F.max_by(F.struct("content_hash", "char_count"), "modificationTime").alias("u")
-    ).join(documents.select("title", "doc_id"), "title").select(
+    by_title = uploads.groupBy("title").agg(F.max_by(F.struct("content_hash", "char_count"), "modificationTime").alias("u"))
+    latest = by_title.join(documents.select("title", "doc_id"), "title").select(
         "doc_id", F.col("u.content_hash").alias("new_hash"), F.col("u.char_count").alias("new_chars")
     )
     decided = decide_reupload(latest, documents).select(
@@ -56,7 +78,14 @@ def apply_uploads(documents: DataFrame, uploads: DataFrame) -> DataFrame:
         "pending_content_hash": pending("pending_content_hash", F.col("new_hash")),
         "pending_char_count": pending("pending_char_count", F.col("new_chars")),
     }
-    return j.select(*[changed.get(c, F.col(c)) for c in documents.columns])
+    return j.select(*[changed.get(c, F.col(c)) for c in documents.columns]).unionByName(new_documents(documents, by_title))
+
+
+def run_rejects(files: DataFrame, rejects: str, checkpoint: str | None = None):
+    """Append every rejected file of a stream to the table at ``rejects``, once."""
+    place = checkpoint or f"{checkpoint_root(files.sparkSession)}/rejects"
+    return rejected_uploads(files).writeStream.format("parquet").option("path", rejects).option(
+        "checkpointLocation", place).trigger(availableNow=True).start()
 
 
 def run_uploads(files: DataFrame, table: str, checkpoint: str | None = None, on_batch: Callable[[DataFrame], None] | None = None):

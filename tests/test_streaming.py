@@ -77,9 +77,13 @@ def test_uploads_are_applied_once(spark, folder):
     def go():
         SU.run_uploads(SU.file_stream(spark, f"{folder}/in"), f"{folder}/docs", f"{folder}/cp").awaitTermination(120)
         return {r.doc_id: (r.status, r.ingest_version, r.pending_file_path, r.pending_content_hash) for r in SN.read_current(spark, f"{folder}/docs").collect()}
-    want = {1: ("pending", 2, "candidates/1-v2", sha("new text")), 2: ("pending", 5, "f2", sha("bb")), 3: ("ready", 1, None, None)}
+    want = {1: ("pending", 2, "candidates/1-v2", sha("new text")), 2: ("pending", 5, "f2", sha("bb")), 3: ("ready", 1, None, None), 4: ("pending", 1, "candidates/4-v1", sha("unknown"))}
+    put("empty.md", "  "), put("y.exe", "no")
     assert go() == want
     assert go() == want
+    for _ in range(2):
+        SU.run_rejects(SU.file_stream(spark, f"{folder}/in", "*"), f"{folder}/rejects", f"{folder}/cp2").awaitTermination(120)
+    assert sorted((r.title, r.reason) for r in spark.read.parquet(f"{folder}/rejects").collect()) == [("empty.md", "empty"), ("y.exe", "unsupported_type")]
     uploads = spark.createDataFrame([("a.md", sha("new text"), 8, dt.datetime(2024, 1, 1))], "title string, content_hash string, char_count bigint, modificationTime timestamp")
     again = SU.apply_uploads(SN.read_current(spark, f"{folder}/docs"), uploads)
-    assert {r.doc_id: r.ingest_version for r in again.collect()} == {1: 2, 2: 5, 3: 1}
+    assert {r.doc_id: r.ingest_version for r in again.collect()} == {1: 2, 2: 5, 3: 1, 4: 1}
