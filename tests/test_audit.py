@@ -1,5 +1,7 @@
 import json
 
+from pyspark.sql import functions as F
+
 from noteloom.operators import audit as A, maintenance as M, sessions as SE
 from noteloom.streaming.tasks import advance
 
@@ -25,10 +27,18 @@ def test_support_audit(spark):
     cites = [(1, 11, "第一条 原文内容在这里说明。", [12]), (2, 12, "补充的上下文内容说明。", []), (3, 13, "短文", [])]
     content = "结论甲。[1]\n\n---\n结论乙。[3]"
     ok1, ok3 = (1, "原文内容在这里"), (3, "短 文")
+    def more(where):
+        """A sound judgement with a field too many."""
+        sound = json.loads(judge(j(1, "supported", (1, "第一条原文内容在这里")), j(2), j(3, "supported", ok3)))
+        (sound["judgments"][0] if where == "judgments" else sound["judgments"][2]["evidence"][0])["note"] = "x"
+        return json.dumps(sound)
+
     cases = [
         (judge(j(1, "supported", (1, "第一条原文内容在这里")), j(2), j(3, "supported", ok3)), None, True),
         (judge(j(1, "supported", (2, "补充的上下文内容")), j(2), j(3, "unsupported")), None, False),
         ("no json", "not_json", None),
+        (more("judgments"), "bad_fields", None),
+        (more("evidence"), "bad_fields", None),
         (json.dumps({"judgments": [], "more": 1}), "bad_fields", None),
         (judge(j(1, "supported", (1, "第一条原文内容在这里"))), "not_covered", None),
         (judge(j(1, "unsupported"), j(1, "unsupported"), j(3, "unsupported")), "bad_unit", None),
@@ -54,6 +64,7 @@ def test_selection_audit(spark):
         (pick((1, "函数极限", "函数极限")), "bad_match", None),
         ("[]", "not_json", None),
         (json.dumps({"other": 1}), "bad_fields", None),
+        (pick((2, "函数极限", "判别依据写在这里")).replace('"subject"', '"extra": 1, "subject"'), "bad_fields", None),
     ]
     df = spark.createDataFrame([(i, "请给出函 数极限的出处", c[0], cites) for i, c in enumerate(cases)], f"request_id bigint, question string, selection string, citations {CITE}")
     rows = {r.request_id: (r.problem, r.selected) for r in A.selection_audit(df).collect()}
@@ -111,3 +122,11 @@ def test_history(spark):
     kept = SE.usable_history(df).orderBy("turn").collect()
     assert [r.turn for r in kept] == [2, 3, 4, 5, 6, 9] and len(kept[-1].answer) == 1500
     assert [len(r.answer) for r in SE.rewrite_history(df).orderBy("turn").collect()] == [2, 2, 200]
+
+
+def test_endless_citation_numbers_are_out_of_range(spark):
+    from noteloom.functions import texts as T
+
+    rows = spark.createDataFrame([(f"a [2] [{'9' * 20}] [{'1' * 40}] [2]",)], "t string").select(
+        T.citation_numbers(F.col("t")).alias("n"), T.out_of_range_citations(F.col("t"), F.lit(3)).alias("bad")).first()
+    assert rows.n == [2, 2**63 - 1] and rows.bad == [2**63 - 1]
