@@ -16,6 +16,7 @@ and the k best of all blocks are kept.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,11 +37,11 @@ class Search:
 
     k: int = 20
     projections: int = 64
-    threshold: float = 0.875
-    window: float = 1.0
-    growth: float = 1.15
-    spare: int = 10
-    enough: float = 0.1
+    threshold: float = 0.9
+    window: float = 1.3
+    growth: float = 1.1
+    spare: int = 15
+    enough: float = 0.13
     block_rows: int = 16_384
     slice_rows: int = 2_048
     seed: int = 7
@@ -61,43 +62,51 @@ class CollisionIndex:
         directions = np.random.default_rng(search.seed).standard_normal((vectors.shape[1] + 1, search.projections))
         self.directions, self.search, self.norm = directions, search, norm
         places = np.column_stack([vectors, rest]) @ directions
-        self.order = np.argsort(places, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(places, self.order, axis=0)
+        self.order = np.ascontiguousarray(np.argsort(places, axis=0, kind="stable").T)
+        self.sorted = np.ascontiguousarray(np.sort(places, axis=0).T)
         self.vectors = vectors
         self.needed = max(1, int(np.ceil(search.threshold * search.projections)))
 
-    def candidates(self, query: np.ndarray) -> np.ndarray:
-        """Places of the vectors that collide often enough, windows widened until there are enough."""
+    def candidates(self, queries: np.ndarray, together: int = 128) -> Iterator[np.ndarray]:
+        """For each query the places of the vectors that collide often enough.
+
+        Windows are widened until there are enough. Most of an array lies inside the window, so
+        what is counted is the rest: first the two tails outside, then what each round gains.
+        """
         s, n = self.search, len(self.vectors)
-        at = query @ self.directions[:-1]
-        half = s.window * self.norm
         wanted = min(n, s.spare * s.k + int(s.enough * n))
-        counts = np.zeros(n, dtype=np.int16)
-        low = high = None
-        while True:
-            a = np.array([np.searchsorted(self.sorted[:, j], x - half, "left") for j, x in enumerate(at)])
-            b = np.array([np.searchsorted(self.sorted[:, j], x + half, "right") for j, x in enumerate(at)])
-            new = []
-            for j in range(s.projections):
-                if low is None:
-                    new.append(self.order[a[j]:b[j], j])
-                else:  # only what the window has gained on either side
-                    new += [self.order[a[j]:low[j], j], self.order[high[j]:b[j], j]]
-            gained = np.concatenate(new)
-            counts += np.bincount(gained, minlength=n).astype(np.int16)
-            low, high = a, b
-            found = np.flatnonzero(counts >= self.needed)
-            if len(found) >= wanted or bool((b - a == n).all()):
-                return found
-            half *= s.growth
+        for first in range(0, len(queries), together):
+            at = queries[first:first + together] @ self.directions[:-1]
+            found: list[np.ndarray | None] = [None] * len(at)
+            misses = np.zeros((len(at), n), dtype=np.int16)
+            low, high = np.zeros(at.shape, dtype=np.int64), np.zeros(at.shape, dtype=np.int64)
+            open_, half, new = np.arange(len(at)), s.window * self.norm, True
+            while len(open_):
+                a, b = np.empty((len(open_), s.projections), dtype=np.int64), np.empty((len(open_), s.projections), dtype=np.int64)
+                for j in range(s.projections):
+                    a[:, j] = np.searchsorted(self.sorted[j], at[open_, j] - half, "left")
+                    b[:, j] = np.searchsorted(self.sorted[j], at[open_, j] + half, "right")
+                for i, q in enumerate(open_):
+                    if new:
+                        parts = [x for j, o in enumerate(self.order) for x in (o[:a[i, j]], o[b[i, j]:])]
+                    else:
+                        parts = [x for j, o in enumerate(self.order) for x in (o[a[i, j]:low[q, j]], o[high[q, j]:b[i, j]])]
+                    count = np.bincount(np.concatenate(parts), minlength=n)
+                    misses[q] += count.astype(np.int16) if new else -count.astype(np.int16)
+                    near = np.flatnonzero(misses[q] <= s.projections - self.needed)
+                    if len(near) >= wanted or (b[i] - a[i] == n).all():
+                        found[q] = near
+                low[open_], high[open_] = a, b
+                open_ = np.array([q for q in open_ if found[q] is None], dtype=np.int64)
+                half, new = half * s.growth, False
+            yield from found
 
 
 def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, norm: float, search: Search) -> pd.DataFrame:
     """The nearest found of one block for each query: query_id, vec_id, score."""
     index = CollisionIndex(vectors, norm, search)
     out = []
-    for q, query in zip(query_ids, queries, strict=True):
-        found = index.candidates(query)
+    for q, query, found in zip(query_ids, queries, index.candidates(queries), strict=True):
         found = found[ids[found] != q]
         score = vectors[found] @ query
         if len(found) > search.k:  # ties with the last one stay until ids decide

@@ -35,7 +35,7 @@ def test_recall_and_exact_scores(spark):
 def test_windows_widen_until_all_rows_collide():
     vectors = np.random.default_rng(2).standard_normal((50, 8))
     index = CollisionIndex(vectors, 10.0, Search(k=50, spare=10))
-    assert len(index.candidates(vectors[0])) == 50
+    assert [len(c) for c in index.candidates(vectors[:3], together=2)] == [50] * 3
 
 
 def test_odd_vectors(spark):
