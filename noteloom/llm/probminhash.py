@@ -9,11 +9,13 @@ its next arrival is later than the latest register (early termination). Two sign
 a register with the probability Jaccard similarity of the texts, which for shingles that occur
 once is the plain Jaccard similarity.
 
-Bands of registers bring candidates together. Inside a bucket each text is compared with a few
-centres only, other ones in every round, and pairs that are linked already, directly or through
-others, are left out; rounds go on until one brings no new link. So a bucket of n texts costs a
-few times n comparisons a round, never n * n. Every candidate pair is verified exactly on the
-whole texts.
+Bands of registers bring candidates together. First, each text of a bucket is compared with a few
+centres in every round, other ones each time, so that large classes grow together at a cost of a
+few times n comparisons for a bucket of n texts; pairs that are linked already, directly or through
+others, are left out. When a round brings no new link, all other pairs of a bucket whose texts are
+in different classes are settled in cells of two blocks: a product of matrices bounds the
+similarity of all pairs of a cell from above. Every pair that the bound leaves is verified exactly
+on the whole texts, so two texts that share a bucket are compared or are in one class.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -41,7 +44,8 @@ class Settings:
     """With 32 bands of 5 registers, a pair of similarity 0.8 shares no bucket with probability 3e-6.
 
     ``centres`` texts of a bucket are compared with its others in every round; with one, twice the
-    rounds are needed, each with the same number of small jobs.
+    rounds are needed, each with the same number of small jobs. A block of a crowded bucket holds
+    about ``block_rows`` texts, fewer if they are long: ``row_bytes`` of text count as one row.
     """
 
     words: int = 5
@@ -49,6 +53,8 @@ class Settings:
     bands: int = 32
     band_rows: int = 5
     centres: int = 2
+    block_rows: int = 512
+    row_bytes: int = 16_384
 
     @property
     def registers(self) -> int:
@@ -232,10 +238,124 @@ def near_classes(docs: DataFrame, ids: DataFrame, settings: Settings = Settings(
                 pairs = pairs.join(classes.select(F.col("doc_id").alias(side), F.col("class_id").alias(f"of_{side}")), side, "left")
             pairs = pairs.where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
         found = stored(verified(pairs, texts, settings), f"links-{turn}")
-        if links is not None and found.isEmpty():
-            return classes
+        new = links is None or not found.isEmpty()
         links, turn = found if links is None else links.unionAll(found), turn + 1
-        classes = components(links)
+        classes = components(links) if new else classes
+        shared = unsettled(shared, centres, classes)
+        if shared.isEmpty():
+            return classes
+        if not new:
+            break
+    return components(links.select("a", "b").unionAll(crowded_links(shared, texts, settings)))
+
+
+def unsettled(shared: DataFrame, centres: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, doc_id, class_id) of the texts of each bucket that are still to be compared.
+
+    A centre was compared with all others of its bucket, and a bucket whose other texts are all
+    in one class is settled. Of several buckets with the same texts one is kept.
+    """
+    done = centres.select("key", F.explode("bs").alias("doc_id"))
+    rest = stored(
+        shared.select("key", "doc_id").join(done, ["key", "doc_id"], "left_anti").join(classes, "doc_id", "left")
+        .select("key", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id")), "rest")
+    sums = [F.sum(F.xxhash64("doc_id", F.lit(k)).cast("decimal(20,0)")).alias(f"s{k}") for k in range(2)]
+    open_ = rest.groupBy("key").agg(F.count("*").alias("n"), *sums, F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low < high")
+    kept = stored(open_.groupBy("n", "s0", "s1").agg(F.min("key").alias("key")).select("key"), "open")
+    return stored(rest.join(kept, "key"), "unsettled")
+
+
+def crowded_links(members: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+    """Links (a, b) that join all similar texts of each bucket that are in different classes.
+
+    The largest class of a bucket is dealt out in blocks of its own, which never meet each other;
+    any other two blocks of the bucket meet in one cell.
+    """
+    sized = stored(members.join(texts.select("doc_id", (F.octet_length("text") / settings.row_bytes).alias("size")).dropDuplicates(["doc_id"]), "doc_id").select(
+        "key", "doc_id", "class_id", F.greatest(F.lit(1.0), "size").alias("size")), "sized")
+    sums = stored(sized.groupBy("key", "class_id").agg(F.sum("size").alias("size")), "class-sizes")
+    blocks = lambda size: F.ceil(size / settings.block_rows).cast("int")
+    plan = sums.groupBy("key").agg(F.max(F.struct("size", "class_id")).alias("top"), F.sum("size").alias("all")).select(
+        "key", F.col("top.class_id").alias("top"), F.greatest(F.lit(1), blocks(F.col("all") - F.col("top.size"))).alias("others"), blocks(F.col("top.size")).alias("tops"))
+    plan = stored(plan, "plan")
+    dealt = sized.join(plan, "key").withColumn("is_top", F.col("class_id") == F.col("top")).withColumn(
+        "block", F.when(F.col("is_top"), F.col("others") + F.pmod(F.xxhash64("doc_id"), F.col("tops"))).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("others"))).cast("int"))
+    last = F.when(F.col("is_top"), F.col("others")).otherwise(F.col("others") + F.col("tops")) - 1
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last))).select(
+        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "class_id")
+
+    def settle(cell: pd.DataFrame) -> pd.DataFrame:
+        rows = cell_links(cell["doc_id"].to_numpy(), cell["class_id"].to_numpy(), cell["block"].to_numpy(), pa.array(cell["text"], pa.string()), settings)
+        return pd.DataFrame(rows, columns=["a", "b"], dtype="int64")
+
+    # Texts under one id count as one document.
+    one = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
+    return stored(cells.join(one, "doc_id").groupBy("key", "i", "j").applyInPandas(settle, "a bigint, b bigint").distinct(), "crowded-links")
+
+
+def shares_in_common(doc: np.ndarray, value: np.ndarray, weight: np.ndarray, left: np.ndarray, right: np.ndarray, docs: int, together: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """For each text of ``left`` and each of ``right``, the shares of their weights on common shingles."""
+    _, column = np.unique(value, return_inverse=True)
+    share = weight / np.bincount(doc, weights=weight, minlength=docs)[doc]
+    width = int(column.max(initial=-1)) + 1
+    sides = []
+    for side in (left, right):
+        place = np.full(docs, -1)
+        place[side] = np.arange(len(side))
+        sides.append((place[doc], np.bincount(column[place[doc] >= 0], minlength=width)))
+    # Shingles that only one text has, or only one side, are common to no pair.
+    common = (sides[0][1] > 0) & (sides[1][1] > 0) & (np.bincount(column, minlength=width) > 1)
+    number = np.cumsum(common) - 1
+    used = common[column]
+    column, share = number[column[used]], share[used]
+    places = [s[0][used] for s in sides]
+    order = np.argsort(column, kind="stable")
+    column, share, places = column[order], share[order], [x[order] for x in places]
+    p, q = np.zeros((len(left), len(right))), np.zeros((len(left), len(right)))
+    for first in range(0, int(common.sum()), together):
+        part = slice(*np.searchsorted(column, [first, first + together]))
+        tables = []
+        for place, side in zip(places, (left, right), strict=True):
+            has = place[part] >= 0
+            dense = np.zeros((len(side), together))
+            dense[place[part][has], column[part][has] - first] = share[part][has]
+            tables.append(dense)
+        p += tables[0] @ (tables[1] > 0).T.astype(float)
+        q += (tables[0] > 0).astype(float) @ tables[1].T
+    return p, q
+
+
+def cell_links(ids: np.ndarray, classes: np.ndarray, block: np.ndarray, texts: pa.Array, settings: Settings) -> list[tuple[int, int]]:
+    """The links between texts of two blocks, or inside one, that join different classes.
+
+    With P and Q the shares of two texts' weights that lie on common shingles, the similarity is
+    at most 1 / (1 / P + 1 / Q - 1), by Jensen's inequality; without repeated shingles it is equal.
+    """
+    doc, value, weight = weighted_shingles(texts, settings.words)
+    bounds = np.searchsorted(doc, np.arange(len(ids) + 1))
+    left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+    p, q = shares_in_common(doc, value, weight, left, right, len(ids))
+    with np.errstate(divide="ignore"):
+        most = 1.0 / (1.0 / p + 1.0 / q - 1.0)
+    near = (most >= settings.threshold - _ROUNDING) & (classes[left][:, None] != classes[right][None, :])
+    parent = {c: c for c in classes.tolist()}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    found = []
+    for x, y in np.argwhere(near).tolist():
+        i, j = left[x], right[y]
+        a, b = root(int(classes[i])), root(int(classes[j]))
+        if a == b:
+            continue
+        s, t = slice(bounds[i], bounds[i + 1]), slice(bounds[j], bounds[j + 1])
+        if probability_jaccard(value[s], weight[s], value[t], weight[t]) >= settings.threshold - _ROUNDING:
+            parent[a] = b
+            found.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:

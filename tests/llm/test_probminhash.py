@@ -6,7 +6,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from noteloom.llm.probminhash import drop_near_duplicates, near_duplicates, signatures, similarities, weighted_shingles
+from noteloom.llm.probminhash import (
+    Settings, cell_links, drop_near_duplicates, near_duplicates, shares_in_common, signatures, similarities, weighted_shingles)
 
 
 def shingles(text, width=5):
@@ -80,3 +81,42 @@ def test_classes_against_brute_force(spark, texts):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({root(i) for i in range(len(texts))})
     assert kept.where("doc_id is null").count() == 1
     assert near_duplicates(docs.limit(0)).count() == 0
+
+
+def crowd(rng, count, pairs):
+    """Texts of 0.75 to 0.79 with each other, and ``pairs`` planted pairs of more than 0.8."""
+    shared = [f"c{i}" for i in range(180)]
+    tail = lambda n: [f"u{rng.getrandbits(60)}" for _ in range(n)]
+    out = [shared + tail(25 + i % 3) for i in range(count)]
+    near = rng.sample(range(count), 2 * pairs)
+    for i, j in zip(near[::2], near[1::2], strict=True):
+        out[j] = out[i][:-6] + tail(6)
+    return [" ".join(t) for t in out], {tuple(sorted(p)) for p in zip(near[::2], near[1::2], strict=True)}
+
+
+@pytest.mark.parametrize("block_rows", [512, 40])
+def test_crowded_bucket_against_brute_force(spark, block_rows):
+    texts, planted = crowd(random.Random(6), 240, 40)
+    i, j = np.triu_indices(len(texts), 1)
+    value = similarities(pa.array([texts[x] for x in i]), pa.array([texts[x] for x in j]), 5)
+    near = {(a, b) for a, b, v in zip(i.tolist(), j.tolist(), value.tolist(), strict=True) if v >= 0.8}
+    assert near == planted and 0.75 <= value[value < 0.8].min() and np.quantile(value, 0.9) < 0.8
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_duplicates(docs, Settings(block_rows=block_rows)).collect()}
+    assert got == {x: x for x in range(len(texts))} | {b: a for a, b in planted}
+
+
+def test_cells_bound_and_verify(texts):
+    ids = np.arange(len(texts))
+    array = pa.array([t or "" for t in texts])
+    doc, value, weight = weighted_shingles(array, 5)
+    p, q = shares_in_common(doc, value, weight, ids, ids, len(ids), together=64)
+    i, j = np.triu_indices(len(texts), 1)
+    exact = similarities(array.take(pa.array(i)), array.take(pa.array(j)), 5)
+    with np.errstate(divide="ignore"):
+        assert (1 / (1 / p + 1 / q - 1))[i, j].min() >= 0 and ((1 / (1 / p + 1 / q - 1))[i, j] >= exact - 1e-9).all()
+    for block in (ids * 0, ids % 2):
+        links = cell_links(ids, ids, block, array, Settings())
+        kept = (exact >= 0.8 - 1e-9) & ((block[i] != block[j]) | (block.max() == 0))
+        assert set(links) <= set(zip(i[kept].tolist(), j[kept].tolist(), strict=True))
+        assert len({x for l in links for x in l}) == len({x for x in (*i[kept], *j[kept])})
