@@ -4,7 +4,8 @@ Two transducers normalise a text: one replaces look-alike characters one for one
 rewrites disguised signs (``[at]``, `` dot ``), spelled digits and invisible characters, and
 keeps the source range of everything it rewrites. The detectors run over the source, whose
 findings always stay, and over the normalised text, whose findings are mapped back to source
-ranges and added where they do not overlap one of the source's own.
+ranges and added, also where they overlap one of the source's own: that may be the plain
+remainder of a disguised identifier. Only what a finding of the same kind covers is left out.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -177,25 +179,42 @@ def normalise(text: str) -> Rewritten | None:
     return out
 
 
-def find_spans(text: str) -> tuple[list[Span], list[Span]]:
-    """The spans of the text as it stands, and all spans with the disguised ones."""
-    base = detect(text)
+def _disguised(text: str, base: list[Span]) -> set[Span]:
+    """The spans that the normalised text adds: all that no span of ``base`` of the same kind covers."""
     normal = normalise(text)
     if normal is None:
-        return base, base
-    taken = sorted((s.start, s.end) for s in base)
-    reach, ends = 0, []
-    for _, e in taken:
-        reach = max(reach, e)
-        ends.append(reach)
-    starts = [s for s, _ in taken]
-    added = []
+        return set()
+    covers: list[list[Span]] = [[] for _ in KINDS]
+    for span in base:  # those of one kind do not overlap
+        covers[span.kind].append(span)
+    starts = [[s.start for s in spans] for spans in covers]
+    added = set()
     for span in detect("".join(normal.parts)):
         a, b = normal.back(span.start, span.end)
-        before = bisect_right(starts, b - 1)
-        if not before or ends[before - 1] <= a:
-            added.append(Span(a, span.kind, b))
-    return base, sorted(base + added)
+        before = bisect_right(starts[span.kind], a)
+        if not before or covers[span.kind][before - 1].end < b:
+            added.add(Span(a, span.kind, b))
+    return added
+
+
+def whole_spans(text: str) -> tuple[list[Span], list[Span]]:
+    """The spans of the text as it stands, and these with all disguised ones, which may overlap them."""
+    base = detect(text)
+    return base, sorted({*base, *_disguised(text, base)})
+
+
+def find_spans(text: str) -> tuple[list[Span], list[Span]]:
+    """The spans of the text as it stands, and these with the disguised ones that stand apart from them."""
+    base = detect(text)
+    taken = sorted((s.start, s.end) for s in base)
+    ends = list(accumulate((e for _, e in taken), max))
+    starts = [s for s, _ in taken]
+    apart = []
+    for span in _disguised(text, base):
+        before = bisect_right(starts, span.end - 1)
+        if not before or ends[before - 1] <= span.start:
+            apart.append(span)
+    return base, sorted(base + apart)
 
 
 def _joined(spans: list[Span]) -> str:
@@ -210,7 +229,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Personal data of every whole text.
 
     Returns doc_id, n_email, n_ip, n_card, n_phone (all spans of the kind, disguised ones
-    too), base_sha256 (of the spans of the text as it stands) and spans (all, as
+    too, also if they overlap a plain one), base_sha256 (of the spans of the text as it stands) and spans (all, as
     kind:start:end in code points, end exclusive, by start and then kind). A null text is
     treated as empty and has no spans; repeated rows give repeated results; other columns are
     not looked at. Each text is searched where it is read, without a shuffle.
@@ -221,7 +240,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for batch in batches:
             for part in byte_slices(batch, "text"):
                 texts = part.column("text")
-                found = [find_spans(t.as_py()) if look else ([], []) for t, look in zip(texts, worth_a_look(texts), strict=True)]
+                found = [whole_spans(t.as_py()) if look else ([], []) for t, look in zip(texts, worth_a_look(texts), strict=True)]
                 counts = [pa.array([sum(s.kind == k for s in every) for _, every in found], pa.int64()) for k in range(len(KINDS))]
                 base = pa.array([hashlib.sha256(_joined(b).encode()).hexdigest() for b, _ in found], pa.string())
                 spans = pa.array([_joined(every) for _, every in found], pa.string())
@@ -236,7 +255,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def masked(text: str) -> str:
     """The text with every span replaced by its kind in brackets; overlapping spans are masked as one."""
     out, done, open_kind, open_end = [], 0, None, 0
-    for span in find_spans(text)[1]:
+    for span in whole_spans(text)[1]:
         if open_kind is not None and span.start < open_end:
             open_end = max(open_end, span.end)
             continue

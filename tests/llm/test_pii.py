@@ -5,7 +5,7 @@ import re
 import pyarrow as pa
 import pytest
 
-from noteloom.llm.pii import Span, detect, find_pii, find_spans, luhn, mask_pii, masked, worth_a_look
+from noteloom.llm.pii import Span, detect, find_pii, find_spans, luhn, mask_pii, masked, whole_spans, worth_a_look
 
 PATTERNS = (
     r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -80,3 +80,21 @@ def test_tables(spark):
     assert out[0].text == "[EMAIL] [IP]" and out[0].n_chars == 12 and out[0].spans == "u"
     assert out[1].text is None and out[5].text == "plain" and out[5].n_chars == 99
     assert mask_pii(df).columns == df.columns and mask_pii(df.limit(0)).count() == 0
+
+
+PARTLY = {
+    "to jоhn.smith@example.com now": ("email:3:25,email:5:25", "to [EMAIL] now"),
+    "to jo\u200bhn@example.com now": ("email:3:20,email:6:20", "to [EMAIL] now"),
+    "to user@mail.example dot com now": ("email:3:20,email:3:28", "to [EMAIL] now"),
+    "to bob [at] 10.0.0.1 now": ("email:3:20,ip:12:20", "to [EMAIL] now"),
+    "to a@b.cd or x (at) y.org": ("email:3:9,email:13:25", "to [EMAIL] or [EMAIL]"),
+}
+
+
+@pytest.mark.parametrize("text", PARTLY)
+def test_partly_disguised_identifiers_are_whole(spark, text):
+    base, spans = whole_spans(text)
+    assert (",".join(map(str, spans)), masked(text)) == PARTLY[text]
+    assert set(base) <= set(spans)
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert find_pii(df).first().spans == PARTLY[text][0] and mask_pii(df).first().text == PARTLY[text][1]
