@@ -6,8 +6,10 @@ with the query there; vectors that collide in enough arrays are candidates and a
 with their exact inner product. Virtual rehashing widens all windows by a constant factor until
 enough candidates are found and the radius that the windows stand for covers the k-th of them.
 
-The largest inner product becomes the smallest distance by one more component: all vectors are
-lengthened to the norm of the longest one, and queries have a zero there.
+The largest inner product becomes the smallest distance by one more component: vectors are
+lengthened to the norm of the longest one, and queries have a zero there and are scaled to that
+norm, which leaves their order of products as it is. So that the added component stays small, each
+range of norms is an index of its own, whose longest vector sets the norm; every query meets all ranges.
 
 The indexed vectors are dealt out in blocks and the queries in slices, so a task holds one
 block and one slice, whatever the number of either. Each cell returns at most k rows a query,
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -31,8 +34,10 @@ class Search:
 
     ``projections`` arrays of which a vector must collide in ``threshold`` (a share of them).
     ``window`` is the half width of the first window and ``growth`` its factor per round, both
-    relative to the norm that all vectors are lengthened to. A query stops as soon as it has
-    ``spare`` candidates for each of the k wanted ones and ``enough``, a share of the block, besides.
+    relative to the norm that the vectors are lengthened to. A query stops as soon as it has
+    ``spare`` candidates for each of the k wanted ones and ``enough``, a share of the block, besides,
+    and the windows cover the k-th of them: a vector at its distance is expected to collide in the
+    needed share of the arrays. Norms of one range differ by the factor ``norm_ratio`` at most.
     """
 
     k: int = 20
@@ -42,6 +47,7 @@ class Search:
     growth: float = 1.1
     spare: int = 15
     enough: float = 0.13
+    norm_ratio: float = 1.1
     block_rows: int = 16_384
     slice_rows: int = 2_048
     seed: int = 7
@@ -66,6 +72,16 @@ class CollisionIndex:
         self.sorted = np.ascontiguousarray(np.sort(places, axis=0).T)
         self.vectors = vectors
         self.needed = max(1, int(np.ceil(search.threshold * search.projections)))
+        #: Half width of a window, relative to a distance, in which a vector so far away lies with the probability ``threshold``.
+        self.cover = NormalDist().inv_cdf((1 + min(search.threshold, 0.999)) / 2)
+
+    def covered(self, near: np.ndarray, query: np.ndarray, half: float) -> bool:
+        """Whether windows of the half width cover the k-th best of the candidates, the query's own vector not counted."""
+        k = min(self.search.k + 1, len(self.vectors))
+        if len(near) < k:
+            return False
+        kth = np.partition(self.vectors[near] @ query, len(near) - k)[len(near) - k]
+        return half >= self.cover * np.sqrt(max(0.0, 2 * self.norm**2 - 2 * kth))
 
     def candidates(self, queries: np.ndarray, together: int = 128) -> Iterator[np.ndarray]:
         """For each query the places of the vectors that collide often enough.
@@ -75,6 +91,8 @@ class CollisionIndex:
         """
         s, n = self.search, len(self.vectors)
         wanted = min(n, s.spare * s.k + int(s.enough * n))
+        length = np.linalg.norm(queries, axis=1, keepdims=True)
+        queries = queries * (self.norm / np.where(length > 0, length, 1.0))
         for first in range(0, len(queries), together):
             at = queries[first:first + together] @ self.directions[:-1]
             found: list[np.ndarray | None] = [None] * len(at)
@@ -94,7 +112,7 @@ class CollisionIndex:
                     count = np.bincount(np.concatenate(parts), minlength=n)
                     misses[q] += count.astype(np.int16) if new else -count.astype(np.int16)
                     near = np.flatnonzero(misses[q] <= s.projections - self.needed)
-                    if len(near) >= wanted or (b[i] - a[i] == n).all():
+                    if (b[i] - a[i] == n).all() or len(near) >= wanted and (len(near) == n or self.covered(near, queries[first + q], half)):
                         found[q] = near
                 low[open_], high[open_] = a, b
                 open_ = np.array([q for q in open_ if found[q] is None], dtype=np.int64)
@@ -132,24 +150,32 @@ def nearest(vectors: DataFrame, is_query, search: Search = Search(), id_col: str
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where(
         F.col("vec_id").isNotNull() & usable("v")).dropDuplicates()
     squared = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    count, most = rows.agg(F.count("*"), F.max(F.sqrt(squared))).first()
+    # Ranges are centred on the powers of the ratio, so that unit vectors that are rounded share one.
+    rows = rows.withColumn("norm", F.sqrt(squared)).withColumn(
+        "range", F.floor(F.log(F.greatest("norm", F.lit(1e-300))) / F.lit(float(np.log(search.norm_ratio))) + 0.5).cast("int"))
+    sizes = rows.groupBy("range").agg(F.count("*").alias("n"), F.max("norm").alias("norm")).collect()
+    norms = {r["range"]: float(r["norm"]) or 1.0 for r in sizes}
     asked = rows.where(is_query(F.col("vec_id")))
-    blocks = max(1, -(-(count or 0) // search.block_rows))
+    parts = [(r["range"], b) for r in sizes for b in range(-(-r["n"] // search.block_rows))]
+    blocks = {r["range"]: -(-r["n"] // search.block_rows) for r in sizes}
     slices = max(1, -(-asked.count() // search.slice_rows))
-    norm = float(most or 1.0)
+    if not parts:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
 
     def cell(key: tuple, block: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(block) or not len(queries):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         return search_block(
             block["vec_id"].to_numpy(), np.stack(block["v"].to_numpy()), queries["vec_id"].to_numpy(),
-            np.stack(queries["v"].to_numpy()), norm, search)
+            np.stack(queries["v"].to_numpy()), norms[key[1]], search)
 
     length = F.size("v").alias("length")
-    dealt = rows.select("vec_id", "v", length, F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
-    spread = asked.select("vec_id", "v", length, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(slices)).cast("int").alias("slice"))
-    dealt = dealt.withColumn("block", F.col("block").cast("int"))
-    keys = ["block", "slice", "length"]
+    number = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair])
+    dealt = rows.select("vec_id", "v", length, "range", F.pmod(F.xxhash64("vec_id"), number[F.col("range")]).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    places = F.array(*[F.struct(F.lit(r).alias("range"), F.lit(b).alias("block")) for r, b in parts])
+    spread = asked.select("vec_id", "v", length, F.explode(places).alias("place"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(slices)).cast("int").alias("slice")).select(
+        "vec_id", "v", "length", "place.range", "place.block", "slice")
+    keys = ["block", "range", "slice", "length"]
     found = dealt.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(cell, "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= search.k).select(

@@ -1,4 +1,6 @@
 import numpy as np
+import pandas as pd
+import pytest
 
 from noteloom.llm.collision_ann import CollisionIndex, Search, nearest, recall
 
@@ -46,3 +48,27 @@ def test_odd_vectors(spark):
     got = [tuple(r) for r in nearest(df, QUERY).orderBy("query_id", "rank").collect()]
     assert got == [(20, 1, 1, 1.0), (20, 2, 2, 1.0), (60, 1, 43, 6.0)]
     assert nearest(df.limit(0), QUERY).count() == 0
+
+
+@pytest.mark.parametrize("case", ["unit", "outlier", "lognormal"])
+def test_recall_with_varied_norms(spark, case):
+    rng = np.random.default_rng(3)
+    vectors = rng.standard_normal((8000, 64))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    if case == "outlier":
+        vectors[17] *= 3
+    elif case == "lognormal":
+        vectors *= rng.lognormal(0, 0.5, (8000, 1))
+    rows = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(8000), "embedding": list(vectors)}), "vec_id long, embedding array<double>")
+    asked = lambda vec_id: vec_id % 200 == 0
+    got = {(r.query_id, r.vec_id) for r in nearest(rows, asked).collect()}
+    best = {(q, v) for q, _, v, _ in exact(np.arange(8000), vectors, 20) if q % 200 == 0}
+    assert len(got & best) / len(best) >= 0.9
+
+
+def test_windows_cover_the_kth_candidate():
+    vectors = np.random.default_rng(4).standard_normal((2000, 64))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    index = CollisionIndex(vectors, 1.0, Search(spare=1, enough=0.0))
+    hits = [len(set(np.argsort(-(vectors @ q))[:21]) & set(found)) for q, found in zip(vectors[:50], index.candidates(vectors[:50]), strict=True)]
+    assert sum(hits) / (21 * 50) >= 0.75
