@@ -14,6 +14,7 @@ from noteloom.llm.host_suffixes import extract
 from noteloom.llm.minimax_shards import shard_documents
 from noteloom.llm.pii import find_pii
 from noteloom.llm.probminhash import near_duplicates
+from noteloom.llm.rank_index_fim import fill_in_middle_digests
 from noteloom.llm.risk_rules import apply_rules
 from noteloom.llm.rule_ensemble import score_documents
 from noteloom.llm.segment_bpe import encode_texts
@@ -66,10 +67,16 @@ def op10_offset_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op12_rank_index_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return fill_in_middle_digests(docs, seed=7, fim_percent=100, spm_percent=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_warc_members, op2_rule_ensemble, op3_probminhash, op4_collision_ann, op5_minimax_shards, op6_grouping_pack,
-        op7_risk_rules, op8_host_suffixes, op9_segment_tree_bpe, op10_offset_pii)
+        op7_risk_rules, op8_host_suffixes, op9_segment_tree_bpe, op10_offset_pii,
+        op12_rank_index_fim)
 }
 _WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -84,4 +91,28 @@ SELECT page_id, payload_bytes, digest AS payload_digest,
 FROM h JOIN d USING (hex)
 """
 
-ORACLES: dict[str, str] = {"op1_warc_members": _WARC_SQL}
+_FIM_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || doc_id) AS h,
+    regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS lines
+  FROM documents),
+x AS (
+  SELECT *, len(lines)::BIGINT AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+    ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d),
+c AS (
+  SELECT doc_id, text, n,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain'
+      WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+    array_to_string(lines[1:least(h1 % (n + 1), h2 % (n + 1))], '') AS p,
+    array_to_string(lines[1 + least(h1 % (n + 1), h2 % (n + 1)):greatest(h1 % (n + 1), h2 % (n + 1))], '') AS m,
+    array_to_string(lines[1 + greatest(h1 % (n + 1), h2 % (n + 1)):], '') AS s
+  FROM x)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN text ELSE p || m || s END) AS restored_sha256
+FROM c
+"""
+
+ORACLES: dict[str, str] = {"op1_warc_members": _WARC_SQL, "op12_rank_index_fim": _FIM_SQL}
