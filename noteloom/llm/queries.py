@@ -12,6 +12,7 @@ from noteloom.llm.common import read_table
 from noteloom.llm.grouping_pack import pack
 from noteloom.llm.host_suffixes import extract
 from noteloom.llm.minimax_shards import shard_documents
+from noteloom.llm.nested_secrets import find_secrets
 from noteloom.llm.pii import find_pii
 from noteloom.llm.probminhash import near_duplicates
 from noteloom.llm.rank_index_fim import fill_in_middle_digests
@@ -72,11 +73,15 @@ def op12_rank_index_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle_digests(docs, seed=7, fim_percent=100, spm_percent=50)
 
 
+def op13_nested_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_warc_members, op2_rule_ensemble, op3_probminhash, op4_collision_ann, op5_minimax_shards, op6_grouping_pack,
         op7_risk_rules, op8_host_suffixes, op9_segment_tree_bpe, op10_offset_pii,
-        op12_rank_index_fim)
+        op12_rank_index_fim, op13_nested_secrets)
 }
 _WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
