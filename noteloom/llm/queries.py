@@ -14,6 +14,7 @@ from noteloom.llm.host_suffixes import extract
 from noteloom.llm.minimax_shards import shard_documents
 from noteloom.llm.nested_secrets import find_secrets
 from noteloom.llm.pii import find_pii
+from noteloom.llm.pivotal_variants import spelling_variants
 from noteloom.llm.probminhash import near_duplicates
 from noteloom.llm.rank_index_fim import fill_in_middle_digests
 from noteloom.llm.risk_rules import apply_rules
@@ -68,6 +69,10 @@ def op10_offset_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_pivotal_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read_table(spark, sf_dir, "documents", "doc_id", "text"), delete_every=31)
+
+
 def op12_rank_index_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return fill_in_middle_digests(docs, seed=7, fim_percent=100, spm_percent=50)
@@ -81,7 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_warc_members, op2_rule_ensemble, op3_probminhash, op4_collision_ann, op5_minimax_shards, op6_grouping_pack,
         op7_risk_rules, op8_host_suffixes, op9_segment_tree_bpe, op10_offset_pii,
-        op12_rank_index_fim, op13_nested_secrets)
+        op11_pivotal_variants, op12_rank_index_fim, op13_nested_secrets)
 }
 _WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -120,4 +125,41 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_c
 FROM c
 """
 
-ORACLES: dict[str, str] = {"op1_warc_members": _WARC_SQL, "op12_rank_index_fim": _FIM_SQL}
+# The checksum is computed from its definition: every byte is mixed in and then shifted out bit by bit.
+_VARIANTS_SQL = r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL),
+hexed AS (SELECT *, hex(encode(doc_id || ':' || run)) AS x FROM runs),
+summed AS (
+  SELECT run, n, xor(list_reduce(
+    list_prepend(4294967295::BIGINT, flatten(list_transform(range(len(x) // 2), lambda i:
+      [('0x' || substr(x, 2 * i::INT + 1, 2))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END),
+    4294967295::BIGINT) AS h FROM hexed),
+words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n
+    FROM summed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+holes AS (SELECT word, n, i, substr(word, 1, i - 1) AS head, substr(word, i + 1) AS tail FROM (
+  SELECT word, n, unnest(range(1, length(word) + 1))::INT AS i FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM holes a JOIN holes b ON a.i = b.i AND a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM holes a JOIN words b ON a.head || a.tail = b.word
+  UNION SELECT b.word, a.word, a.n FROM holes a JOIN words b ON a.head || a.tail = b.word),
+near AS (SELECT word, count(*) AS n_near, max(near_n) AS most FROM pairs GROUP BY word),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, min(near) AS form, any_value(near_n) AS form_n
+  FROM words w LEFT JOIN near USING (word)
+  LEFT JOIN pairs p ON p.word = w.word AND near_n = most AND most >= 10 * w.n GROUP BY ALL),
+steps AS (
+  SELECT word, word AS root FROM forms
+  UNION ALL SELECT s.word, f.form FROM steps s JOIN forms f ON f.word = s.root WHERE f.form IS NOT NULL),
+roots AS (SELECT s.word, s.root FROM steps s JOIN forms f ON f.word = s.root WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_warc_members": _WARC_SQL, "op11_pivotal_variants": _VARIANTS_SQL, "op12_rank_index_fim": _FIM_SQL}
