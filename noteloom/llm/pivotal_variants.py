@@ -84,10 +84,16 @@ def gram_ranks(words: DataFrame) -> dict[str, int]:
 
     There are at most as many as pairs of letters of the alphabet, 90 squared.
     """
-    at = F.explode(F.expr("sequence(1, length(word) - 1)")).alias("at")
-    grams = words.select("word", at).select(F.expr("substring(word, at, 2)").alias("gram"))
-    counts = sorted((r["count"], r.gram) for r in grams.groupBy("gram").count().collect())
-    return {gram: rank for rank, (_, gram) in enumerate(counts)}
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[str] = Counter()  # bounded like the result
+        for batch in batches:
+            for word in batch.column("word"):
+                text = word.as_py()
+                held.update({text[i : i + 2] for i in range(len(text) - 1)})
+        yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["gram", "n"])
+
+    grams = words.select("word").mapInArrow(count, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    return {gram: rank for rank, (_, gram) in enumerate(sorted((r.n, r.gram) for r in grams.collect()))}
 
 
 def prefix_places(word: str, ranks: dict[str, int]) -> tuple[int, list[int], list[int]]:
@@ -167,6 +173,19 @@ def _pivots(index: DataFrame) -> DataFrame:
     return grams.withColumn("best", best).select("word", "n", "last", "bits", "best.first", "best.second")
 
 
+#: Above this length the edit distance, whose time grows with the square, gives way to a linear comparison.
+LONG_CHARS = 128
+
+
+def _one_edit(a: Column, b: Column) -> Column:
+    """Whether two different words are one edit apart: behind the first letter that differs the rest is equal."""
+    at = F.array_position(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: ~x.eqNullSafe(y)), F.lit(True)).cast("int")
+    more = F.length(a) - F.length(b)
+    rest = F.substr(a, at + (more >= 0).cast("int")) == F.substr(b, at + (more <= 0).cast("int"))
+    short = (F.length(a) <= LONG_CHARS) & (F.length(b) <= LONG_CHARS)
+    return F.when(short, F.levenshtein(a, b, 1) == 1).otherwise((a != b) & (F.abs(more) <= 1) & rest)
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """All pairs of words at edit distance one, in both orders and each once: word, n, near, near_n.
 
@@ -186,7 +205,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     asking = asking.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
     found = asking.join(index, ["key", "part"]).filter(
         (F.col("last") <= F.col("near_last")) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("near_bits"))) <= 2)
-        & (F.levenshtein("word", "near", 1) == 1))
+        & _one_edit(F.col("word"), F.col("near")))
     both = F.explode(F.array(
         F.struct("word", "n", "near", "near_n"),
         F.struct(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n"))))
