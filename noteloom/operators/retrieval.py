@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,19 +18,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteloom import settings as S
-from noteloom.functions import grams as G
-from noteloom.functions.binding import let
 from noteloom.functions.topk import RunningTopK
+from noteloom.operators.postings import Postings, bm25_hits, build_postings, folded_grams, posting_rows, word_hits
 from noteloom.session import checkpointed
 from noteloom.operators.scoring import MAX_BROADCAST_QUESTIONS, STRIPE_ROWS, merge_top, score_all
 
 # Scores are compared after rounding to this many digits, so that equal texts and
 # equal vectors tie exactly and the id decides, whatever order sums were taken in.
 SCORE_DIGITS = 9
-_SCALE = 10**SCORE_DIGITS
-_BLOCK_ROWS = 512
-_DENSE_CELLS = 2_000_000
-_MERGE_AT = 2_000_000
 
 
 def _in_scope(questions: pa.Table, batch: pa.RecordBatch) -> np.ndarray:
@@ -103,318 +99,86 @@ def search_vector(
     return merge_top(scored, top_n, "vector_rank").withColumnRenamed("score", "similarity")
 
 
-def _code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts as code points, each followed by NUL; and the row of each position."""
-    joined = "\0".join(texts) + "\0"
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-    row = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
-    return points, row
-
-
-def _window_keys(points: np.ndarray) -> np.ndarray:
-    """Each window of three code points as one number."""
-    return (points[:-2] << 42) | (points[1:-1] << 21) | points[2:]
-
-
-def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values in order and how often each occurs."""
-    ordered = np.sort(values)
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, dtype=np.int64)
-    return ordered[first], np.diff(np.append(first, len(ordered)))
-
-
-def _distinct_grams(points: np.ndarray, row: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each trigram of each row once, as (row, key); ``inside`` marks the windows that count.
-
-    Code points are renumbered to the few in use, so a row and a trigram fit one number.
-    """
-    used = np.zeros(int(points.max(initial=0)) + 1, dtype=bool)
-    used[points] = True
-    alphabet = np.flatnonzero(used)
-    code = np.cumsum(used) - 1
-    small, n = code[points], len(alphabet)
-    gram = (small[:-2] * n + small[1:-1]) * n + small[2:]
-    pair, _ = _runs(row[:-2][inside] * n**3 + gram[inside])
-    rows, gram = pair // n**3, pair % n**3
-    key = (alphabet[gram // n**2] << 42) | (alphabet[gram // n % n] << 21) | alphabet[gram % n]
-    return rows, key
-
-
-def _gram_key(gram: str) -> int:
-    a, b, c = (ord(x) for x in gram)
-    return (a << 42) | (b << 21) | c
-
-
-class _Vocabulary:
-    """The trigrams of a question batch, and which question asks for each how often."""
-
-    def __init__(self, grams: list[str], owner: list[int], weight: list[float]):
-        keys = np.array([_gram_key(g) for g in grams], dtype=np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.owner = np.array(owner, dtype=np.int64)[order]
-        self.weight = np.array(weight, dtype=np.float64)[order]
-        self.keys, first = np.unique(keys[order], return_index=True)
-        self.start = np.append(first, len(keys))
-        self.matrix: np.ndarray | None = None
-
-    def locate(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place of each key in the vocabulary, and whether it is there at all."""
-        if len(self.keys) == 0:
-            return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
-        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return place, self.keys[place] == keys
-
-    def spread(self, row, gram, value, rows: int, questions: int) -> np.ndarray:
-        """Sum ``value`` times the question's weight into ``[row, question]``.
-
-        Values and weights are whole numbers, so both ways give exactly the same sums: a
-        matrix product while the weights fit a small matrix, and the sparse lists beyond.
-        """
-        if len(self.keys) * questions <= _DENSE_CELLS:
-            if self.matrix is None:
-                self.matrix = np.zeros((len(self.keys), questions))
-                self.matrix[np.repeat(np.arange(len(self.keys)), np.diff(self.start)), self.owner] = self.weight
-            block = np.zeros((rows, len(self.keys)))
-            block[row, gram] = value
-            return block @ self.matrix
-        degree = self.start[gram + 1] - self.start[gram]
-        within = np.arange(degree.sum()) - np.repeat(np.cumsum(degree) - degree, degree)
-        slot = np.repeat(self.start[gram], degree) + within
-        total = np.bincount(
-            np.repeat(row, degree) * questions + self.owner[slot],
-            weights=np.repeat(value, degree) * self.weight[slot],
-            minlength=rows * questions,
-        )
-        return total.reshape(rows, questions)
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], rows: int = _BLOCK_ROWS) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
-
-
-def _contents(batch: pa.RecordBatch) -> list[str]:
-    return [t or "" for t in batch.column("content").to_pylist()]
+# ---------------------------------------------------------------- keyword search
 
 
 def _ascii_lower(text: str) -> str:
     return re.sub("[A-Z]+", lambda m: m[0].lower(), text)
 
 
-# ---------------------------------------------------------------- BM25 over trigrams
-
-
-def _gram_text(keys: np.ndarray) -> list[str]:
-    mask = (1 << 21) - 1
-    return [chr(k >> 42) + chr((k >> 21) & mask) + chr(k & mask) for k in keys.tolist()]
-
-
-def _merge_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([k for k, _ in parts])
-    order = np.argsort(keys, kind="stable")
-    distinct, counts = _runs(keys)
-    ends = np.cumsum(counts)
-    total = np.concatenate([[0], np.cumsum(np.concatenate([c for _, c in parts])[order])])
-    return distinct, total[ends] - total[ends - counts]
-
+def _literal_kernel(top_n: int):
+    def kernel(questions: pa.Table, batches: Iterator[pa.RecordBatch]):
+        ids = questions["question_id"].to_numpy()
+        needles = [_ascii_lower(t) for t in questions["literal"].to_pylist()]
+        best = RunningTopK(len(ids), top_n)
+        for batch in batches:
+            texts = [_ascii_lower(t or "") for t in batch.column("content").to_pylist()]
+            matched = np.array([[n in t for n in needles] for t in texts], dtype=bool).reshape(len(texts), len(needles))
+            best.update(np.zeros(matched.shape), batch.column("chunk_id").to_numpy(), matched & _in_scope(questions, batch))
+        q, chunk, score = best.rows()
+        yield ids[q], chunk, score
 
-def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task: chunks per trigram, and the row with the totals."""
-    rows = tokens = 0
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    return kernel
 
-    def emit(grams, df, tokens):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(grams, pa.string()), pa.array(df, pa.int64()), pa.array(tokens, pa.int64())],
-            names=["gram", "df", "tokens"],
-        )
 
-    for batch in _blocks(batches, 1024):
-        texts = [t.lower() for t in _contents(batch)]
-        rows += len(texts)
-        tokens += sum(max(0, len(t) - 2) for t in texts)
-        points, row = _code_points(texts)
-        _, keys = _distinct_grams(points, row, row[:-2] == row[2:])
-        held.append(_runs(keys))
-        if sum(len(k) for k, _ in held) > _MERGE_AT:
-            held = [_merge_counts(held)]
-            if len(held[0][0]) > _MERGE_AT:
-                yield emit(_gram_text(held[0][0]), held[0][1], np.zeros(len(held[0][0]), dtype=np.int64))
-                held = []
-    if held:
-        keys, df = _merge_counts(held)
-        yield emit(_gram_text(keys), df, np.zeros(len(keys), dtype=np.int64))
-    yield emit([""], [rows], [tokens])
+def search_literal(questions: DataFrame, chunks: DataFrame, top_n: int = S.KEYWORD_TOP_N) -> DataFrame | None:
+    """Chunks that hold a question too short for a trigram (ASCII case ignored), by id; None if no question is so short."""
+    scope_q = ["kb_id"] if "kb_id" in questions.columns else []
+    scope_c = ["kb_id"] if "kb_id" in chunks.columns else []
+    short = questions.filter(F.size(folded_grams(F.col("text"))) == 0).select("question_id", *scope_q, F.trim("text").alias("literal"))
+    short = checkpointed(short.filter(F.col("literal") != ""))
+    if short.isEmpty():
+        return None
+    scored = score_all(short, chunks.select("chunk_id", *scope_c, "content"), _literal_kernel(top_n))
+    return merge_top(scored, top_n, "keyword_rank")
 
 
 def keyword_statistics(chunks: DataFrame) -> DataFrame:
     """Index-wide counts for BM25: (gram, df, tokens).
 
     One row per trigram with the number of chunks that hold it. The row whose gram is
-    the empty string has the number of chunks as ``df`` and all trigrams as ``tokens``.
-    Tasks count before the shuffle, so a trigram that occurs everywhere costs one row per
-    task. Write the result next to a snapshot to reuse it.
+    the empty string has the number of chunks as ``df`` and all trigrams as ``tokens``. An index
+    of postings has these counts beside it.
     """
-    counted = chunks.select("content").mapInArrow(_count_grams, "gram string, df bigint, tokens bigint")
-    return counted.groupBy("gram").agg(F.sum("df").alias("df"), F.sum("tokens").alias("tokens"))
-
-
-def _bm25_questions(questions: DataFrame, statistics: DataFrame) -> tuple[DataFrame, float]:
-    """Questions with their weighted trigrams, and the mean chunk length in trigrams."""
-    asked = questions.withColumn("grams", G.query_grams(F.col("text")))
-    # Trigrams that only differ in case fold to one and count as often as they were asked.
-    counted = let(
-        F.transform("grams", F.lower),
-        lambda grams: F.transform(
-            F.array_distinct(grams),
-            lambda g: F.struct(
-                g.alias("gram"), F.size(F.filter(grams, lambda x: x == g)).cast("bigint").alias("times")
-            ),
-        ),
-    )
-    terms = asked.select("question_id", F.explode_outer(counted).alias("t")).select(
-        "question_id", "t.gram", "t.times"
-    ).filter(F.col("gram").isNotNull())
-    # Only counts that some question needs are kept, and written, as they are used twice.
-    needed = checkpointed(statistics.join(
-        terms.select("gram").distinct().unionByName(statistics.sparkSession.range(1).select(F.lit("").alias("gram"))),
-        "gram", "left_semi",
-    ))
-    totals = needed.filter(F.col("gram") == "").select("df", "tokens").first()
-    rows, tokens = (totals["df"], totals["tokens"]) if totals else (0, 0)
-    n, df = F.lit(float(rows)), F.col("df").cast("double")
-    raw = F.log((n - df + 0.5) / (df + 0.5))
-    weighted = (
-        terms.join(needed, "gram")
-        .withColumn("idf", F.when(raw <= 0, F.lit(S.BM25_IDF_FLOOR)).otherwise(raw))
-        .groupBy("question_id")
-        .agg(F.collect_list(F.struct("gram", "times", "idf")).alias("terms"))
-    )
-    scope = ["kb_id"] if "kb_id" in questions.columns else []
-    out = asked.join(weighted, "question_id", "left").select(
-        "question_id", *scope, "terms",
-        F.when(F.size("grams") == 0, F.trim(F.col("text"))).alias("literal"),
-    )
-    return out, (tokens / rows if rows else 0.0)
+    rows = posting_rows(chunks.select("chunk_id", "content"), "text", chunks.sparkSession.sparkContext.defaultParallelism)
+    return rows.groupBy("gram").agg(F.count("*").alias("df"), F.sum("length").alias("tokens"))
 
 
-def _bm25_kernel(top_n: int, mean_length: float):
-    k1, b = S.BM25_K1, S.BM25_B
-
-    def kernel(questions: pa.Table, batches: Iterator[pa.RecordBatch]):
-        ids = questions["question_id"].to_numpy()
-        terms = [(q, t) for q, row in enumerate(questions["terms"].to_pylist()) for t in row or ()]
-        vocabulary = _Vocabulary(
-            [t["gram"] for _, t in terms], [q for q, _ in terms], [t["times"] for _, t in terms]
-        )
-        idf_of = {_gram_key(t["gram"]): t["idf"] for _, t in terms}
-        idf = np.array([idf_of[k] for k in vocabulary.keys.tolist()])
-        literals = [
-            (q, _ascii_lower(t)) for q, t in enumerate(questions["literal"].to_pylist()) if t
-        ]
-        best = RunningTopK(len(ids), top_n)
-        for batch in _blocks(batches):
-            texts = _contents(batch)
-            lowered = [t.lower() for t in texts]
-            points, row = _code_points(lowered)
-            n = len(texts)
-            keys = _window_keys(points)
-            place, known = vocabulary.locate(keys)
-            hit = known & (row[:-2] == row[2:])
-            width = max(len(vocabulary.keys), 1)
-            pair, tf = _runs(row[:-2][hit] * width + place[hit])
-            r, g = pair // width, pair % width
-            length = np.array([max(0, len(t) - 2) for t in lowered], dtype=np.float64)
-            part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[r] / mean_length))
-            value = np.rint(idf[g] * part * _SCALE)
-            total = vocabulary.spread(r, g, value, n, len(ids))
-            # A match can be worth nothing after rounding and is still a match.
-            matched = (total if value.all() else vocabulary.spread(r, g, np.ones(len(g)), n, len(ids))) > 0
-            for q, needle in literals:
-                matched[:, q] = [needle in _ascii_lower(t) for t in texts]
-            best.update(
-                total / _SCALE, batch.column("chunk_id").to_numpy(), matched & _in_scope(questions, batch)
-            )
-        q, chunk, score = best.rows()
-        yield ids[q], chunk, score
-
-    return kernel
+def _in_slices(questions: DataFrame, max_questions: int, search) -> DataFrame:
+    """The hits of a batch, searched slice by slice if it has more than ``max_questions``."""
+    n = questions.count()
+    if n <= max_questions:
+        return search(questions)
+    slices = -(-n // max_questions)
+    parts = [search(questions.filter(F.pmod(F.xxhash64("question_id"), F.lit(slices)) == i)) for i in range(slices)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def search_bm25(
-    questions: DataFrame, chunks: DataFrame, top_n: int = S.KEYWORD_TOP_N,
-    statistics: DataFrame | None = None,
+    questions: DataFrame, chunks: DataFrame, top_n: int = S.KEYWORD_TOP_N, postings: Postings | None = None,
     max_questions: int = MAX_BROADCAST_QUESTIONS, stripe_rows: int = STRIPE_ROWS,
 ) -> DataFrame:
     """Trigram keyword search: (question_id, chunk_id, score, keyword_rank).
 
-    A question matches chunks that hold any of its sampled trigrams; BM25 with
-    statistics of the whole index orders them. Questions too short for a trigram match
-    literally (ASCII case ignored) and are ordered by id.
+    A question matches chunks that hold any of its trigrams; BM25 with statistics of the whole
+    index orders them. Questions too short for a trigram match literally (ASCII case ignored)
+    and are ordered by id. Only these read texts; all others read ``postings``, an index of
+    ``chunks``, which is written first if none is given.
     """
-    stats = keyword_statistics(chunks) if statistics is None else statistics
-    asked, mean_length = _bm25_questions(questions, stats)
-    scope = ["kb_id"] if "kb_id" in chunks.columns else []
-    scored = score_all(
-        asked, chunks.select("chunk_id", *scope, "content"),
-        _bm25_kernel(top_n, mean_length), max_questions, stripe_rows,
-    )
-    return merge_top(scored, top_n, "keyword_rank")
-
-
-# ---------------------------------------------------------------- word trigram similarity
-
-
-def _trgm_kernel(top_n: int, min_similarity: float):
-    word = re.compile(r"[^\W_]+")
-
-    def kernel(questions: pa.Table, batches: Iterator[pa.RecordBatch]):
-        ids = questions["question_id"].to_numpy()
-        grams_of = questions["grams"].to_pylist()
-        asked = np.array([len(g) for g in grams_of], dtype=np.float64)
-        vocabulary = _Vocabulary(
-            [g for grams in grams_of for g in grams],
-            [q for q, grams in enumerate(grams_of) for _ in grams],
-            [1.0 for grams in grams_of for _ in grams],
-        )
-        best = RunningTopK(len(ids), top_n)
-        for batch in _blocks(batches):
-            padded = [
-                "\0".join(f"  {w} " for w in dict.fromkeys(word.findall(t.lower()))) for t in _contents(batch)
-            ]
-            points, row = _code_points(padded)
-            r, key = _distinct_grams(points, row, (points[:-2] > 0) & (points[1:-1] > 0) & (points[2:] > 0))
-            n = batch.num_rows
-            have = np.bincount(r, minlength=n)[:, None]
-            place, known = vocabulary.locate(key)
-            shared = vocabulary.spread(r[known], place[known], np.ones(known.sum()), n, len(ids))
-            union = have + asked[None, :] - shared
-            similarity = np.divide(shared, union, out=np.zeros_like(shared), where=union > 0)
-            best.update(
-                similarity, batch.column("chunk_id").to_numpy(),
-                (similarity >= min_similarity) & (shared > 0) & _in_scope(questions, batch),
-            )
-        q, chunk, score = best.rows()
-        yield ids[q], chunk, score
-
-    return kernel
+    index = postings or build_postings(chunks, "text")
+    hits = _in_slices(questions, max_questions, lambda part: bm25_hits(part, index, top_n))
+    literal = search_literal(questions, chunks, top_n)
+    return hits if literal is None else hits.unionByName(literal)
 
 
 def search_trgm(
     questions: DataFrame, chunks: DataFrame, top_n: int = S.KEYWORD_TOP_N,
-    min_similarity: float = S.TRGM_MIN_SIMILARITY,
+    min_similarity: float = S.TRGM_MIN_SIMILARITY, postings: Postings | None = None,
     max_questions: int = MAX_BROADCAST_QUESTIONS, stripe_rows: int = STRIPE_ROWS,
 ) -> DataFrame:
-    """Word-trigram similarity search: (question_id, chunk_id, score, keyword_rank)."""
-    scope_q = ["kb_id"] if "kb_id" in questions.columns else []
-    scope_c = ["kb_id"] if "kb_id" in chunks.columns else []
-    scored = score_all(
-        questions.select("question_id", *scope_q, G.word_grams(F.col("text")).alias("grams")),
-        chunks.select("chunk_id", *scope_c, "content"),
-        _trgm_kernel(top_n, min_similarity), max_questions, stripe_rows,
-    )
-    return merge_top(scored, top_n, "keyword_rank")
+    """Word-trigram similarity search over ``postings`` of kind words: (question_id, chunk_id, score, keyword_rank)."""
+    index = postings or build_postings(chunks, "words")
+    return _in_slices(questions, max_questions, lambda part: word_hits(part, index, top_n, min_similarity))
 
 
 # ---------------------------------------------------------------- fusion
@@ -455,14 +219,17 @@ def rehydrate(fused: DataFrame, chunks: DataFrame) -> DataFrame:
 def retrieve(
     questions: DataFrame, chunks: DataFrame, top_k: int = S.RETRIEVE_TOP_K,
     vector_top_n: int = S.VECTOR_TOP_N, keyword_top_n: int = S.KEYWORD_TOP_N,
-    keyword_channel: str = "bm25", statistics: DataFrame | None = None,
+    keyword_channel: str = "bm25", postings: Postings | None = None,
 ) -> DataFrame:
-    """Hybrid search of all questions in one plan; ``top_k`` is cut before rehydration."""
+    """Hybrid search of all questions in one plan; ``top_k`` is cut before rehydration.
+
+    With ``postings`` of the keyword channel's kind, chunk texts are read at rehydration only.
+    """
     vector_hits = search_vector(questions, chunks, vector_top_n)
     if keyword_channel == "bm25":
-        keyword_hits = search_bm25(questions, chunks, keyword_top_n, statistics)
+        keyword_hits = search_bm25(questions, chunks, keyword_top_n, postings)
     elif keyword_channel == "trgm":
-        keyword_hits = search_trgm(questions, chunks, keyword_top_n)
+        keyword_hits = search_trgm(questions, chunks, keyword_top_n, postings=postings)
     else:
         raise ValueError("keyword_channel must be 'bm25' or 'trgm'")
     fused = fuse_rrf(vector_hits, keyword_hits).filter(F.col("rank") <= top_k)

@@ -48,7 +48,7 @@ def _titled(found: DataFrame) -> DataFrame:
 def _setup(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Items and their hybrid candidates, each computed once."""
     labelled = checkpointed(items(spark, d))
-    found = checkpointed(_titled(R.retrieve(_asked(labelled), I.embedded_lines(spark, d))))
+    found = checkpointed(_titled(R.retrieve(_asked(labelled), I.stored_lines(spark, d), postings=I.line_postings(spark, d))))
     return labelled, found
 
 
@@ -113,7 +113,7 @@ def regression_gate(spark: SparkSession, d: str) -> DataFrame:
     labelled, found = _setup(spark, d)
     asked = labelled.select("question_id", F.col("library").alias("kb_id"), "text")
     lines = I.note_lines(spark, d)
-    hits = R.search_bm25(asked, lines, S.RETRIEVE_TOP_K).withColumnRenamed("keyword_rank", "rank")
+    hits = R.search_bm25(asked, lines, S.RETRIEVE_TOP_K, postings=I.line_postings(spark, d)).withColumnRenamed("keyword_rank", "rank")
     alone = checkpointed(_titled(
         hits.join(lines.select("chunk_id", "doc_id", "content"), "chunk_id").withColumn("vector_similarity", F.lit(None).cast("double"))
     ))

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteloom.operators.embedding import embed, letter_profile
 from noteloom.operators.lines import line_chunks
+from noteloom.operators.postings import Postings, build_postings
+from noteloom.session import checkpoint_root
 
 LETTERS = 26
+_DERIVED: dict[tuple, Any] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +41,32 @@ def note_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks(notes(spark, sf_dir), "kb_id")
 
 
+def _once(spark: SparkSession, sf_dir: str, what: str, make: Callable[[], Any]) -> Any:
+    """What an index job derives from the documents: made once for an application, and again when their files change."""
+    meta = table(spark, sf_dir, "documents").select(
+        "_metadata.file_path", "_metadata.file_size", F.col("_metadata.file_modification_time").cast("string").alias("at"))
+    files = meta.distinct().agg(F.sum(F.xxhash64("file_path", "file_size", "at").cast("decimal(38,0)")).alias("files")).first()
+    key = (spark.sparkContext.applicationId, what, sf_dir, files.files)
+    if key not in _DERIVED:
+        _DERIVED[key] = make()
+    return _DERIVED[key]
+
+
+def stored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document lines with their vectors as a chunk table: a search reads the columns it needs."""
+    def make() -> str:
+        path = f"{checkpoint_root(spark)}/lines-{uuid4().hex}"
+        embedded_lines(spark, sf_dir).write.parquet(path)
+        return path
+
+    return spark.read.parquet(_once(spark, sf_dir, "lines", make))
+
+
+def line_postings(spark: SparkSession, sf_dir: str, kind: str = "text") -> Postings:
+    """The inverted file of the document lines."""
+    return _once(spark, sf_dir, f"postings of {kind}", lambda: build_postings(note_lines(spark, sf_dir), kind))
+
+
 def embedded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document lines with their vectors."""
     return embed(note_lines(spark, sf_dir), "content", letter_profile, LETTERS, batch_size=4096)

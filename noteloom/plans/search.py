@@ -50,25 +50,29 @@ def trigram_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    hits = R.search_bm25(I.scoped_questions(spark, d), I.note_lines(spark, d))
+    hits = R.search_bm25(I.scoped_questions(spark, d), I.note_lines(spark, d), postings=I.line_postings(spark, d))
     return hits.select("question_id", "chunk_id", "keyword_rank", F.round("score", 6).alias("score"))
 
 
 def trgm_similarity_topk(spark: SparkSession, d: str) -> DataFrame:
-    hits = R.search_trgm(I.scoped_questions(spark, d), I.note_lines(spark, d))
+    hits = R.search_trgm(I.scoped_questions(spark, d), I.note_lines(spark, d), postings=I.line_postings(spark, d, "words"))
     return hits.select("question_id", "chunk_id", "keyword_rank", F.round("score", 6).alias("similarity"))
 
 
 def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
-    asked, lines = I.embedded_questions(spark, d), I.embedded_lines(spark, d)
-    fused = R.fuse_rrf(R.search_vector(asked, lines), R.search_bm25(asked, lines))
+    asked, lines = I.embedded_questions(spark, d), I.stored_lines(spark, d)
+    fused = R.fuse_rrf(R.search_vector(asked, lines), R.search_bm25(asked, lines, postings=I.line_postings(spark, d)))
     return fused.select(
         "question_id", "chunk_id", "vector_rank", "keyword_rank", F.round("rrf_score", 6).alias("rrf_score"), "rank"
     )
 
 
+def _retrieved(spark: SparkSession, d: str, asked: DataFrame) -> DataFrame:
+    return R.retrieve(asked, I.stored_lines(spark, d), postings=I.line_postings(spark, d))
+
+
 def hybrid_retrieve(spark: SparkSession, d: str) -> DataFrame:
-    found = R.retrieve(I.embedded_questions(spark, d), I.embedded_lines(spark, d))
+    found = _retrieved(spark, d, I.embedded_questions(spark, d))
     return found.select(
         "question_id", "rank", "chunk_id", "doc_id", "chunk_index", "vector_rank", "keyword_rank",
         F.round("vector_similarity", 6).alias("vector_similarity"), F.round("rrf_score", 6).alias("rrf_score"),
@@ -78,7 +82,7 @@ def hybrid_retrieve(spark: SparkSession, d: str) -> DataFrame:
 
 def evidence_gate(spark: SparkSession, d: str) -> DataFrame:
     asked = I.embedded_questions(spark, d)
-    found = R.retrieve(asked, I.embedded_lines(spark, d))
+    found = _retrieved(spark, d, asked)
     samples = gating.similarity_samples(asked.select("question_id"), found)
     return gating.gate(samples, REFUSE, ANSWER).select(
         "question_id", "candidate_count", F.round("max_vector_similarity", 6).alias("max_vector_similarity"),
@@ -89,7 +93,7 @@ def evidence_gate(spark: SparkSession, d: str) -> DataFrame:
 def possible_sources(spark: SparkSession, d: str) -> DataFrame:
     """The first three candidates of the questions in the grey zone."""
     asked = I.embedded_questions(spark, d)
-    found = R.retrieve(asked, I.embedded_lines(spark, d)).select("question_id", "rank", "chunk_id", "vector_similarity")
+    found = _retrieved(spark, d, asked).select("question_id", "rank", "chunk_id", "vector_similarity")
     grey = gating.gate(gating.similarity_samples(asked.select("question_id"), found), REFUSE, ANSWER).filter(
         F.col("band") == "borderline"
     )
@@ -101,7 +105,7 @@ def possible_sources(spark: SparkSession, d: str) -> DataFrame:
 def citation_snapshots(spark: SparkSession, d: str) -> DataFrame:
     """The keyword hits of each question as citable records with the state of their document."""
     chunks = spanned_lines(I.notes(spark, d))
-    hits = checkpointed(R.search_bm25(I.questions(spark, d), I.note_lines(spark, d)))
+    hits = checkpointed(R.search_bm25(I.questions(spark, d), I.note_lines(spark, d), postings=I.line_postings(spark, d)))
     found = chunks.join(hinted(hits.withColumnRenamed("keyword_rank", "rank")), "chunk_id")
     docs = I.table(spark, d, "documents").select(
         "doc_id", F.col("source").alias("kb_id"), F.concat(F.lit("note-"), F.col("doc_id").cast("string")).alias("title"),
