@@ -1,34 +1,47 @@
 """An inverted file for keyword search, written once and read by key.
 
-A postings row says that a trigram occurs in a chunk: ``gram, chunk_id, kb_id, tf, length``.
-Files lie in folders by a hash of the trigram, so a search opens only the folders of its own
-trigrams; inside a folder they are bucketed by chunk, so a trigram that occurs everywhere is
-spread over all buckets, and summing by question and chunk needs no exchange. Every chunk also
-has a row of the empty trigram: how many of these there are and the sum of their lengths are
-the totals that BM25 needs. ``grams`` has the number of chunks that hold each trigram.
-
-Two kinds of trigrams can be indexed: windows of the lower-cased text (``text``), where ``length``
-counts all windows, and trigrams of padded words (``words``), where it counts the distinct ones.
+Chunks are dealt into blocks by a hash of their id. A row lists, for a trigram and a block, which
+chunks of the block hold it and how often: ``block, gram, places, tf``. Every block also has a row
+of the empty trigram with the ids, lengths and bases of its chunks, in order of their places.
+Files lie in folders by a hash of the trigram, so a search opens only the folders of its own trigrams, and are bucketed by block,
+so a trigram that occurs everywhere is spread over all blocks and a block is scored where it is
+read, without an exchange. ``grams`` has the number of chunks that hold each trigram.
+
+Two kinds of trigrams can be indexed: windows of the lower-cased text (``text``), where the length
+of a chunk counts all windows, and trigrams of padded words (``words``), where it counts the
+distinct ones.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteloom import settings as S
 from noteloom.functions import grams as G
 from noteloom.functions.binding import let
+from noteloom.functions.topk import RunningTopK
 from noteloom.operators.scoring import merge_top
 from noteloom.session import checkpoint_root, checkpointed, hinted
 
 #: Scores are summed as whole numbers of this part of one, so that equal texts tie exactly.
 SCALE = 10**9
 GRAM_FOLDERS = 16
-_ROW = "chunk_id bigint, kb_id {kb}, gram string, tf bigint, length bigint, folder int"
+BLOCK_CHUNKS = 16384
+#: Questions of one pass over the index, so that their weights stay a small matrix.
+PASS_QUESTIONS = 256
+_SLICE = 512
+_COLUMNS = ("block", "gram", "places", "tf", "chunk_ids", "lengths", "kb_ids")
+_ROWS = "block int, gram string, places array<int>, tf array<int>, chunk_ids array<bigint>, lengths array<int>, kb_ids array<string>"
+_HITS = pa.schema([("question_id", pa.int64()), ("chunk_id", pa.int64()), ("score", pa.float64())])
 
 
 @dataclass(frozen=True)
@@ -42,11 +55,21 @@ class Postings:
     folders: int
     chunks: int
     tokens: int
+    head_folder: int
 
     @property
-    def rows(self) -> DataFrame:
+    def blocks(self) -> DataFrame:
         return self.spark.table(self.table)
 
+    @property
+    def rows(self) -> DataFrame:
+        """A row for each trigram and chunk: chunk_id, gram, tf."""
+        ids = self.blocks.filter(F.col("gram") == "").select("block", F.posexplode("chunk_ids").alias("place", "chunk_id"))
+        each = F.explode(F.arrays_zip("places", "tf")).alias("p")
+        lists = self.blocks.filter(F.col("gram") != "").select("block", "gram", each).select(
+            "block", "gram", F.col("p.places").alias("place"), F.col("p.tf").alias("tf"))
+        return lists.join(ids, ["block", "place"]).select("chunk_id", "gram", "tf")
+
     @property
     def grams(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/grams")
@@ -60,63 +83,132 @@ def folder_of(gram: Column, folders: int) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(folders)).cast("int")
 
 
-def posting_rows(chunks: DataFrame, kind: str, buckets: int) -> DataFrame:
-    """The postings of a chunk table: each chunk's trigrams are counted in the task that holds it."""
-    scope = F.col("kb_id") if "kb_id" in chunks.columns else F.lit(None).cast("bigint")
-    if kind == "text":
-        text = F.lower(F.coalesce("content", F.lit("")))
-        found, length = G.sliding_grams(F.col("text")), F.greatest(F.length("text") - 2, F.lit(0))
-        rows = chunks.select("chunk_id", scope.alias("kb_id"), text.alias("text")).repartition(buckets, "chunk_id")
-        rows = rows.select("chunk_id", "kb_id", length.cast("bigint").alias("length"), found.alias("grams"))
-    elif kind == "words":
-        found = G.word_grams(F.coalesce("content", F.lit("")))
-        rows = chunks.select("chunk_id", scope.alias("kb_id"), found.alias("grams")).repartition(buckets, "chunk_id")
-        rows = rows.select("chunk_id", "kb_id", F.size("grams").cast("bigint").alias("length"), "grams")
-    else:
-        raise ValueError("kind must be 'text' or 'words'")
-    each = F.explode(F.array_append("grams", F.lit(""))).alias("gram")
-    return rows.select("chunk_id", "kb_id", "length", each).groupBy("chunk_id", "kb_id", "length", "gram").agg(F.count("*").alias("tf"))
+# --- building ----------------------------------------------------------------------------------
+
+_WORD = re.compile(r"[^\W_]+")
+
+
+def _windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The row and the three code points of every window, renumbered to the few in use; and those."""
+    points = np.frombuffer(("\0".join(texts) + "\0\0\0").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    used = np.zeros(int(points.max(initial=0)) + 1, dtype=bool)
+    used[points] = True
+    code = (np.cumsum(used) - 1)[points]
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    windows = np.maximum(lengths - 2, 0)
+    row = np.repeat(np.arange(len(texts)), windows)
+    starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]) - np.concatenate([[0], np.cumsum(windows)[:-1]])
+    at = np.repeat(starts, windows) + np.arange(len(row))
+    return row, np.stack([code[at], code[at + 1], code[at + 2]]), np.flatnonzero(used)
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal values starts in an ordered column, and how long it is."""
+    n = len(values)
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if n else np.zeros(0, dtype=np.int64)
+    return first, np.diff(np.append(first, n))
+
+
+def _index_block(kind: str, schema: pa.Schema) -> Callable[[pa.Table], pa.Table]:
+    """The index rows of the chunks of one block."""
+    def index(table: pa.Table) -> pa.Table:
+        table = table.sort_by("chunk_id")
+        texts, ids = table["text"].to_pylist(), table["chunk_id"].to_numpy()
+        if kind == "words":  # blanks around each word; windows over the NUL between words do not count
+            texts = ["\0".join(f"  {w} " for w in dict.fromkeys(_WORD.findall(t))) for t in texts]
+        row, codes, alphabet = _windows(texts)
+        if kind == "words":
+            inside = (alphabet[codes] > 0).all(axis=0)
+            row, codes = row[inside], codes[:, inside]
+        n, m = max(len(alphabet), 1), len(ids)  # a block is small, so a trigram and a row fit one number
+        pair = ((codes[0] * n + codes[1]) * n + codes[2]) * m + row
+        pair.sort()
+        first, tf = _runs(pair)
+        gram, row = pair[first] // m, pair[first] % m
+        start, _ = _runs(gram)
+        names = gram[start]
+        letters = (alphabet[names // n**2], alphabet[names // n % n], alphabet[names % n])
+        grams = [chr(a) + chr(b) + chr(c) for a, b, c in zip(*(x.tolist() for x in letters), strict=True)]
+        lengths = np.bincount(row, minlength=m).tolist() if kind == "words" else [max(0, len(t) - 2) for t in texts]
+        offsets = pa.array(np.concatenate([[0, 0], np.append(start, len(gram))[1:]]), pa.int32())
+        rows = len(grams) + 1
+
+        def once(values: list, of: pa.DataType) -> pa.Array:
+            return pa.array([values, *[None] * (rows - 1)], pa.list_(of))
+
+        columns = [
+            pa.array(np.full(rows, table["block"][0].as_py()), pa.int32()), pa.array(["", *grams], pa.string()),
+            pa.ListArray.from_arrays(offsets, pa.array(row, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(tf, pa.int32())),
+            once(ids.tolist(), pa.int64()), once(lengths, pa.int32()), once(table["kb_id"].to_pylist(), pa.string())]
+        return pa.Table.from_arrays(columns, names=schema.names).cast(schema)
+
+    return index
+
+
+def _lowered(chunks: DataFrame) -> DataFrame:
+    scope = F.col("kb_id") if "kb_id" in chunks.columns else F.lit(None)
+    return chunks.select("chunk_id", scope.cast("string").alias("kb_id"), F.lower(F.coalesce("content", F.lit(""))).alias("text"))
+
+
+def gram_statistics(chunks: DataFrame) -> DataFrame:
+    """Chunks per trigram of a chunk table without an index, by expressions alone: (gram, df, tokens)."""
+    each = F.explode(F.array_append(F.array_distinct(G.sliding_grams(F.col("text"))), F.lit(""))).alias("gram")
+    rows = _lowered(chunks.select("chunk_id", "content")).select(F.greatest(F.length("text") - 2, F.lit(0)).alias("length"), each)
+    return rows.groupBy("gram").agg(F.count("*").alias("df"), F.sum("length").alias("tokens"))
 
 
 def build_postings(
     chunks: DataFrame, kind: str = "text", *, path: str | None = None, folders: int = GRAM_FOLDERS, buckets: int | None = None,
+    block_chunks: int = BLOCK_CHUNKS,
 ) -> Postings:
-    """Write the index of ``chunks`` (chunk_id, content, kb_id if there are several bases).
+    """Write the index of ``chunks`` (chunk_id, content, and kb_id if there are several bases).
 
-    ``buckets`` should follow the number of chunks, about a million in each; by default it is the
-    number of shuffle partitions. The trigram statistics are counted from the written postings.
+    ``buckets`` is the number of scan tasks, by default that of shuffle partitions; blocks hold
+    about ``block_chunks`` chunks. The statistics are counted from the written postings.
     """
+    if kind not in ("text", "words"):
+        raise ValueError("kind must be 'text' or 'words'")
     spark = chunks.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = path or f"{checkpoint_root(spark)}/postings-{uuid.uuid4().hex}"
-    rows = posting_rows(chunks, kind, buckets).withColumn("folder", folder_of(F.col("gram"), folders))
+    blocks = max(buckets, -(-chunks.count() // block_chunks))
+    block = F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int")
+    schema = pa.schema([
+        ("block", pa.int32()), ("gram", pa.string()), ("places", pa.list_(pa.int32())), ("tf", pa.list_(pa.int32())),
+        ("chunk_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("kb_ids", pa.list_(pa.string()))])
+    rows = _lowered(chunks).withColumn("block", block).repartition(buckets, "block").groupBy("block").applyInArrow(_index_block(kind, schema), _ROWS)
     table = f"postings_{uuid.uuid4().hex}"
-    rows.select("chunk_id", "kb_id", "gram", "tf", "length", "folder").write.partitionBy("folder").bucketBy(buckets, "chunk_id").sortBy(
-        "gram").option("path", f"{path}/rows").saveAsTable(table)
-    counted = spark.table(table).groupBy("gram").agg(F.count("*").alias("df"), F.sum("length").alias("tokens"))
+    rows.withColumn("folder", folder_of(F.col("gram"), folders)).write.partitionBy("folder").bucketBy(buckets, "block").sortBy(
+        "block", "gram").option("path", f"{path}/rows").saveAsTable(table)
+    tokens = F.aggregate(F.coalesce("lengths", F.array()), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    counted = spark.table(table).groupBy("gram").agg(F.sum(F.when(F.col("gram") == "", F.size("chunk_ids")).otherwise(F.size("places"))).alias("df"), F.sum(tokens).alias("tokens"))
     counted.write.parquet(f"{path}/grams")
-    kb = rows.schema["kb_id"].dataType.simpleString()
-    spark.createDataFrame([(kind, folders, buckets, kb)], "kind string, folders int, buckets int, kb string").coalesce(1).write.parquet(f"{path}/layout")
+    spark.createDataFrame([(kind, folders, buckets)], "kind string, folders int, buckets int").coalesce(1).write.parquet(f"{path}/layout")
     return _opened(spark, table, path, kind, folders)
 
 
 def _opened(spark: SparkSession, table: str, path: str, kind: str, folders: int) -> Postings:
-    total = spark.read.parquet(f"{path}/grams").filter(F.col("gram") == "").select("df", "tokens").first()
-    chunks, tokens = (total["df"], total["tokens"]) if total else (0, 0)
-    return Postings(spark, table, path, kind, folders, chunks, tokens)
+    head = spark.range(1).select(folder_of(F.lit(""), folders).alias("folder"))
+    totals = spark.read.parquet(f"{path}/grams").filter(F.col("gram") == "").select("df", "tokens")
+    total = head.join(totals, F.lit(True), "left").first()
+    return Postings(spark, table, path, kind, folders, total["df"] or 0, total["tokens"] or 0, total["folder"])
 
 
 def open_postings(spark: SparkSession, path: str) -> Postings:
     """An index that an earlier session wrote to ``path``."""
     layout = spark.read.parquet(f"{path}/layout").first()
     table = f"postings_{uuid.uuid4().hex}"
+    columns = _ROWS.replace(", ", ",\n  ")
     spark.sql(
-        f"CREATE TABLE {table} ({_ROW.format(kb=layout['kb'])}) USING parquet PARTITIONED BY (folder) "
-        f"CLUSTERED BY (chunk_id) SORTED BY (gram) INTO {layout['buckets']} BUCKETS LOCATION '{path}/rows'")
+        f"CREATE TABLE {table} ({columns}, folder int) USING parquet PARTITIONED BY (folder) "
+        f"CLUSTERED BY (block) SORTED BY (block, gram) INTO {layout['buckets']} BUCKETS LOCATION '{path}/rows'")
     spark.sql(f"MSCK REPAIR TABLE {table}")
     return _opened(spark, table, path, layout["kind"], layout["folders"])
 
 
+# --- searching ---------------------------------------------------------------------------------
+
+
 def folded_grams(text: Column) -> Column:
     """The distinct trigrams of a question, in lower case, with how often each was asked: array of (gram, times).
 
@@ -131,20 +223,98 @@ def folded_grams(text: Column) -> Column:
         lambda g: F.struct(g.alias("gram"), F.size(F.filter(grams, lambda x: x == g)).cast("bigint").alias("times"))))
 
 
-def _matching(postings: Postings, weights: DataFrame) -> DataFrame:
-    """The postings of the weighted trigrams, in scope of each question, from their folders alone."""
-    used = [r.folder for r in weights.select("folder").distinct().collect()]  # at most all folders
-    rows = postings.rows.filter(F.col("folder").isin(used)).withColumnRenamed("kb_id", "have_kb")
-    found = rows.join(hinted(weights), ["folder", "gram"])
-    if "kb_id" in weights.columns:
-        found = found.filter(F.col("kb_id").isNull() | (F.col("kb_id") == F.col("have_kb")))
-    return found
-
-
-def _terms(questions: DataFrame, postings: Postings, each: Column) -> DataFrame:
-    scope = ["kb_id"] if "kb_id" in questions.columns else []
-    terms = questions.select("question_id", *scope, F.explode(each).alias("t")).select("question_id", *scope, "t.*")
-    return terms.withColumn("folder", folder_of(F.col("gram"), postings.folders))
+@dataclass(frozen=True)
+class _Asked:
+    """The questions of one pass: their trigrams as a matrix of weights, their bases and sizes."""
+
+    ids: np.ndarray
+    kb_ids: list[str | None]
+    grams: dict[str, int]
+    worth: np.ndarray  # of each trigram
+    weights: np.ndarray  # [trigram, question]
+
+    def scope(self, kb_ids: list[str | None]) -> np.ndarray:
+        """[chunk, question]: the question covers all bases or the chunk's."""
+        inside = np.ones((len(kb_ids), len(self.ids)), dtype=bool)
+        have = np.array(kb_ids, dtype=object)
+        for q, wanted in enumerate(self.kb_ids):
+            if wanted is not None:
+                inside[:, q] = have == wanted
+        return inside
+
+
+#: Values of a trigram in chunks of some lengths (tf, lengths, worth), and scores from their sums (sums, lengths).
+Values = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+Scores = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def _score_block(asked: _Asked, top_n: int, values: Values, scores: Scores) -> Callable[[pa.Table], pa.Table]:
+    def score(table: pa.Table) -> pa.Table:
+        grams = table["gram"].to_pylist()
+        head = grams.index("")
+        ids = table["chunk_ids"][head].values.to_numpy()
+        lengths = table["lengths"][head].values.to_numpy()
+        kb_ids = table["kb_ids"][head].as_py()
+        lists = table["places"].combine_chunks()
+        column = np.repeat([asked.grams.get(g, 0) for g in grams], np.diff(lists.offsets.to_numpy()))
+        place, tf = lists.flatten().to_numpy(), table["tf"].combine_chunks().flatten().to_numpy()
+        order = np.argsort(place, kind="stable")
+        place, column, tf = place[order], column[order], tf[order]
+        value = values(tf, lengths[place], asked.worth[column])
+        best = RunningTopK(len(asked.ids), top_n)
+        for start in range(0, len(ids), _SLICE):
+            stop = min(start + _SLICE, len(ids))
+            a, b = np.searchsorted(place, [start, stop])
+            cells = np.zeros((stop - start, len(asked.worth)))
+            cells[place[a:b] - start, column[a:b]] = value[a:b]
+            sums = cells @ asked.weights
+            if value[a:b].all():
+                matched = sums > 0
+            else:  # a match can be worth nothing after rounding and is still a match
+                cells[place[a:b] - start, column[a:b]] = 1
+                matched = cells @ asked.weights > 0
+            result, accepted = scores(sums, lengths[start:stop])
+            best.update(result, ids[start:stop], matched & accepted & asked.scope(kb_ids[start:stop]))
+        q, found, result = best.rows()
+        return pa.Table.from_arrays(
+            [pa.array(asked.ids[q], pa.int64()), pa.array(found, pa.int64()), pa.array(result, pa.float64())], schema=_HITS)
+
+    return score
+
+
+def _passes(
+    questions: DataFrame, postings: Postings, each: Column, worth: Callable[[DataFrame], DataFrame], top_n: int,
+    values: Values, scores: Callable[[_Asked], Scores],
+) -> DataFrame:
+    """The best chunks of each question, a bounded number of questions at a time."""
+    n = questions.count()
+    slices = max(1, -(-n // PASS_QUESTIONS))
+    scope = F.col("kb_id").cast("string") if "kb_id" in questions.columns else F.lit(None).cast("string")
+    asked = questions.select("question_id", scope.alias("kb_id"), "text")
+    if slices > 1:  # the numbering decides only which questions share a pass
+        asked = checkpointed(asked.withColumn("slice", F.pmod(F.xxhash64("question_id"), F.lit(slices))))
+    found = []
+    for i in range(slices):
+        part = asked.filter(F.col("slice") == i) if slices > 1 else asked
+        terms = part.select("question_id", "kb_id", F.explode(each).alias("t")).select("question_id", "kb_id", "t.gram", "t.times")
+        folder = folder_of(F.col("gram"), postings.folders).alias("folder")
+        weighted = worth(terms).select("question_id", "kb_id", "gram", "times", "worth", folder).toPandas()
+        grams = {g: k for k, g in enumerate(sorted(set(weighted["gram"])))}
+        of = weighted.drop_duplicates("question_id").set_index("question_id")["kb_id"]
+        place = {q: k for k, q in enumerate(of.index)}
+        weights, value = np.zeros((len(grams), len(place))), np.zeros(len(grams))
+        columns = weighted["gram"].map(grams).to_numpy(dtype=np.int64)
+        weights[columns, weighted["question_id"].map(place).to_numpy(dtype=np.int64)] = weighted["times"]
+        value[columns] = weighted["worth"]
+        batch = _Asked(of.index.to_numpy(), of.astype(object).where(of.notna(), None).tolist(), grams, value, weights)
+        # A pass has a bounded number of questions, so its folders and trigrams are few.
+        used = F.col("folder").isin(sorted({postings.head_folder, *map(int, weighted["folder"])}))
+        names = postings.spark.createDataFrame([(g,) for g in ("", *grams)], "gram string")
+        rows = postings.blocks.filter(used).join(F.broadcast(names), "gram", "left_semi")
+        kernel = _score_block(batch, top_n, values, scores(batch))
+        found.append(rows.select(*_COLUMNS).groupBy("block").applyInArrow(
+            kernel, "question_id bigint, chunk_id bigint, score double"))
+    return merge_top(reduce(DataFrame.unionByName, found), top_n, "keyword_rank")
 
 
 def bm25_hits(questions: DataFrame, postings: Postings, top_n: int = S.KEYWORD_TOP_N) -> DataFrame:
@@ -154,16 +324,17 @@ def bm25_hits(questions: DataFrame, postings: Postings, top_n: int = S.KEYWORD_T
     """
     if postings.kind != "text":
         raise ValueError("BM25 needs an index of kind 'text'")
-    terms = _terms(questions, postings, folded_grams(F.col("text")))
     df, n = F.col("df").cast("double"), float(postings.chunks)
     raw = F.log((n - df + 0.5) / (df + 0.5))
     idf = F.when(raw <= 0, F.lit(S.BM25_IDF_FLOOR)).otherwise(raw)
-    weights = checkpointed(postings.grams.join(hinted(terms), "gram").withColumn("idf", idf).drop("df", "tokens"))
-    k1, b = S.BM25_K1, S.BM25_B
-    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(postings.mean_length)))
-    worth = F.col("times") * F.rint(F.col("idf") * part * SCALE).cast("bigint")
-    sums = _matching(postings, weights).groupBy("question_id", "chunk_id").agg(F.sum(worth).alias("worth"))
-    return merge_top(sums.select("question_id", "chunk_id", (F.col("worth") / SCALE).alias("score")), top_n, "keyword_rank")
+    k1, b, mean = S.BM25_K1, S.BM25_B, postings.mean_length or 1.0
+
+    def values(tf: np.ndarray, lengths: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        return np.rint(idf * (tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths / mean))) * SCALE)
+
+    return _passes(
+        questions, postings, folded_grams(F.col("text")), lambda terms: postings.grams.join(hinted(terms), "gram").withColumn("worth", idf),
+        top_n, values, lambda _: lambda sums, lengths: (sums / SCALE, np.ones(sums.shape, dtype=bool)))
 
 
 def word_hits(
@@ -172,11 +343,18 @@ def word_hits(
     """The best chunks of each question by shared word trigrams: question_id, chunk_id, score, keyword_rank."""
     if postings.kind != "words":
         raise ValueError("word trigram search needs an index of kind 'words'")
-    each = let(G.word_grams(F.col("text")), lambda grams: F.transform(
-        grams, lambda g: F.struct(g.alias("gram"), F.size(grams).cast("bigint").alias("asked"))))
-    weights = checkpointed(_terms(questions, postings, each))
-    shared = _matching(postings, weights).groupBy("question_id", "chunk_id").agg(
-        F.count("*").alias("shared"), F.first("asked").alias("asked"), F.first("length").alias("length"))
-    score = F.col("shared") / (F.col("length") + F.col("asked") - F.col("shared"))
-    scored = shared.select("question_id", "chunk_id", score.alias("score")).filter(F.col("score") >= min_similarity)
-    return merge_top(scored, top_n, "keyword_rank")
+    each = F.transform(G.word_grams(F.col("text")), lambda g: F.struct(g.alias("gram"), F.lit(1).cast("bigint").alias("times")))
+
+    def scores(asked: _Asked) -> Scores:
+        sizes = asked.weights.sum(axis=0)
+
+        def similarity(shared: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            union = lengths[:, None] + sizes[None, :] - shared
+            result = np.divide(shared, union, out=np.zeros_like(shared), where=union > 0)
+            return result, result >= min_similarity
+
+        return similarity
+
+    return _passes(
+        questions, postings, each, lambda terms: terms.withColumn("worth", F.lit(1.0)), top_n,
+        lambda tf, lengths, worth: np.ones(len(tf)), scores)

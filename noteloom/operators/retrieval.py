@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 
 from noteloom import settings as S
 from noteloom.functions.topk import RunningTopK
-from noteloom.operators.postings import Postings, bm25_hits, build_postings, folded_grams, posting_rows, word_hits
+from noteloom.operators.postings import Postings, bm25_hits, build_postings, folded_grams, gram_statistics, word_hits
 from noteloom.session import checkpointed
 from noteloom.operators.scoring import MAX_BROADCAST_QUESTIONS, STRIPE_ROWS, merge_top, score_all
 
@@ -126,7 +125,7 @@ def search_literal(questions: DataFrame, chunks: DataFrame, top_n: int = S.KEYWO
     scope_q = ["kb_id"] if "kb_id" in questions.columns else []
     scope_c = ["kb_id"] if "kb_id" in chunks.columns else []
     short = questions.filter(F.size(folded_grams(F.col("text"))) == 0).select("question_id", *scope_q, F.trim("text").alias("literal"))
-    short = checkpointed(short.filter(F.col("literal") != ""))
+    short = short.filter(F.col("literal") != "")
     if short.isEmpty():
         return None
     scored = score_all(short, chunks.select("chunk_id", *scope_c, "content"), _literal_kernel(top_n))
@@ -140,33 +139,23 @@ def keyword_statistics(chunks: DataFrame) -> DataFrame:
     the empty string has the number of chunks as ``df`` and all trigrams as ``tokens``. An index
     of postings has these counts beside it.
     """
-    rows = posting_rows(chunks.select("chunk_id", "content"), "text", chunks.sparkSession.sparkContext.defaultParallelism)
-    return rows.groupBy("gram").agg(F.count("*").alias("df"), F.sum("length").alias("tokens"))
-
-
-def _in_slices(questions: DataFrame, max_questions: int, search) -> DataFrame:
-    """The hits of a batch, searched slice by slice if it has more than ``max_questions``."""
-    n = questions.count()
-    if n <= max_questions:
-        return search(questions)
-    slices = -(-n // max_questions)
-    parts = [search(questions.filter(F.pmod(F.xxhash64("question_id"), F.lit(slices)) == i)) for i in range(slices)]
-    return reduce(DataFrame.unionByName, parts)
+    return gram_statistics(chunks)
 
 
 def search_bm25(
     questions: DataFrame, chunks: DataFrame, top_n: int = S.KEYWORD_TOP_N, postings: Postings | None = None,
-    max_questions: int = MAX_BROADCAST_QUESTIONS, stripe_rows: int = STRIPE_ROWS,
+    max_questions: int | None = None, stripe_rows: int | None = None,
 ) -> DataFrame:
     """Trigram keyword search: (question_id, chunk_id, score, keyword_rank).
 
     A question matches chunks that hold any of its trigrams; BM25 with statistics of the whole
     index orders them. Questions too short for a trigram match literally (ASCII case ignored)
     and are ordered by id. Only these read texts; all others read ``postings``, an index of
-    ``chunks``, which is written first if none is given.
+    ``chunks``, which is written first if none is given. ``max_questions`` and ``stripe_rows``
+    are of no use here any more: the index bounds a pass and a block by itself.
     """
     index = postings or build_postings(chunks, "text")
-    hits = _in_slices(questions, max_questions, lambda part: bm25_hits(part, index, top_n))
+    hits = bm25_hits(questions, index, top_n)
     literal = search_literal(questions, chunks, top_n)
     return hits if literal is None else hits.unionByName(literal)
 
@@ -174,11 +163,11 @@ def search_bm25(
 def search_trgm(
     questions: DataFrame, chunks: DataFrame, top_n: int = S.KEYWORD_TOP_N,
     min_similarity: float = S.TRGM_MIN_SIMILARITY, postings: Postings | None = None,
-    max_questions: int = MAX_BROADCAST_QUESTIONS, stripe_rows: int = STRIPE_ROWS,
+    max_questions: int | None = None, stripe_rows: int | None = None,
 ) -> DataFrame:
     """Word-trigram similarity search over ``postings`` of kind words: (question_id, chunk_id, score, keyword_rank)."""
     index = postings or build_postings(chunks, "words")
-    return _in_slices(questions, max_questions, lambda part: word_hits(part, index, top_n, min_similarity))
+    return word_hits(questions, index, top_n, min_similarity)
 
 
 # ---------------------------------------------------------------- fusion
