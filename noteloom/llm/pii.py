@@ -49,6 +49,9 @@ DIGIT_WORDS = {
     "eight": "8", "nine": "9",
 }
 
+#: Letters beyond ASCII that a pattern which ignores case takes for i and s.
+_CASE_FORMS = str.maketrans({"İ": "i", "ı": "i", "ſ": "s"})
+
 _DIGIT = "|".join(DIGIT_WORDS)
 _OPEN, _CLOSE = r"[ \t]{0,2}[\[({<][ \t]{0,2}", r"[ \t]{0,2}[\])}>][ \t]{0,2}"
 _LABEL = r"[A-Za-z0-9-]{1,63}"
@@ -124,7 +127,7 @@ def detect(text: str) -> list[Span]:
     """The spans of each kind in a text, as it stands."""
     spans = [Span(a, 0, b) for a, b in _emails(text)] if "@" in text else []
     if text.count(".") >= 3:
-        spans += [Span(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+        spans += [Span(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p) < 4 and int(p or "0") <= 255 for p in (q.lstrip("0") for q in m[0].split(".")))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= _CARD_DIGITS.start:
             digits = m[0].replace(" ", "").replace("-", "")
@@ -169,7 +172,7 @@ def normalise(text: str) -> Rewritten | None:
         if m.lastgroup == "digits":
             at = m.start()
             for word in re.finditer(_DIGIT, m[0], re.IGNORECASE):
-                out.add(DIGIT_WORDS[word[0].lower()], at + word.start(), at + word.end(), False)
+                out.add(DIGIT_WORDS[word[0].translate(_CASE_FORMS).lower()], at + word.start(), at + word.end(), False)
         else:
             out.add({"at": "@", "dot": ".", "plus": "+", "hidden": ""}[m.lastgroup], m.start(), m.end(), False)
         done = m.end()

@@ -98,3 +98,23 @@ def test_partly_disguised_identifiers_are_whole(spark, text):
     assert set(base) <= set(spans)
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert find_pii(df).first().spans == PARTLY[text][0] and mask_pii(df).first().text == PARTLY[text][1]
+
+
+def test_letters_that_only_ignoring_case_makes_equal():
+    for word in ("ſix", "SİX", "fıve", "ſeven", "nİne", "eİght"):
+        assert whole_spans(f"write to me@x.org, {word} copies")[0] == [Span(9, 0, 17)]
+        assert len(whole_spans(f"plus one two three four {word} seven eight nine zero one")[1]) == 1
+    rng = random.Random(8)
+    letters = [chr(c) for c in range(0x250) if chr(c).casefold() != chr(c) or chr(c).isalpha()] + list("ſKİı @.-+0[](){}")
+    for _ in range(3000):
+        parts = [rng.choice(["six", "dot", "at", "plus", "one", "[at]"]) for _ in range(6)]
+        text = " ".join("".join(c if rng.random() < 0.8 else rng.choice(letters) for c in p) for p in parts)
+        whole_spans(text)
+        masked(text)
+
+
+def test_numbers_of_any_length():
+    zeros = "1.2.3." + "0" * 5000 + "1"
+    assert [str(s) for s in whole_spans(f"ip {zeros} end")[0]] == [f"ip:3:{3 + len(zeros)}"]
+    assert whole_spans("1.2.3." + "9" * 5000)[0] == []
+    assert masked(f"ip {zeros} end") == "ip [IP] end"
