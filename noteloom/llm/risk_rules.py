@@ -178,10 +178,12 @@ def fit_cutoffs(measured: DataFrame, labels: DataFrame, risk: Risk = Risk()) ->
 
     ``measured`` has doc_id, stratum and the statistics; ``labels`` has doc_id and quality (1
     good, 0 bad; others are not used). Labels of documents that fail the base rule do not count.
+    A document counts once, however often it or its label is repeated, as the bound holds for
+    independent documents; one with both labels counts as bad.
     """
-    known = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", "quality")
+    known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     stats = [c for pair in RULES.values() for c in pair]
-    joined = measured.where(~base_failed()).select("doc_id", "stratum", *sorted(set(stats))).join(known, "doc_id")
+    joined = measured.where(~base_failed()).select("doc_id", "stratum", *sorted(set(stats))).join(known, "doc_id").dropDuplicates()
     sums = [F.sum((F.col("quality") == q).cast("long")).alias(f"n{q}") for q in (1, 0)]
     for rule in RULES:
         for cut in risk.cutoffs:

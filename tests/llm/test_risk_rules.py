@@ -61,3 +61,16 @@ def test_verdicts(spark):
     assert kept.columns == docs.columns and kept.count() == 900 + 1 + 1
     assert keep_documents(docs, labels.limit(0), risk).count() == len(rows) - 2
     assert apply_rules(docs.limit(0), labels, risk).count() == 0
+
+
+def test_repeated_labels_and_rows_prove_nothing_more(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{words} {i}", "en") for i in range(90)] + [(1000 + i, f"{words} {i} " + "%$#" * 60, "en") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], int(r[0] < 1000)) for r in rows], "doc_id long, quality int")
+    many = spark.range(30).select()
+    measured = measure(docs)
+    once = risk_rules.fit_cutoffs(measured, labels, Risk(share=0.08))
+    assert risk_rules.fit_cutoffs(measured, labels.crossJoin(many), Risk(share=0.08)) == once
+    assert risk_rules.fit_cutoffs(measured.crossJoin(many), labels, Risk(share=0.08)) == once
+    assert not any(c for cutoffs in once.values() for c in cutoffs.values())
