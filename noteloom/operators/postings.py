@@ -36,6 +36,8 @@ from noteloom.session import checkpoint_root, checkpointed, hinted
 SCALE = 10**9
 GRAM_FOLDERS = 16
 BLOCK_CHUNKS = 16384
+#: A bucket of fewer chunks is not worth its files.
+MIN_BUCKET_CHUNKS = 2048
 #: Questions of one pass over the index, so that their weights stay a small matrix.
 PASS_QUESTIONS = 256
 _SLICE = 512
@@ -163,15 +165,16 @@ def build_postings(
 ) -> Postings:
     """Write the index of ``chunks`` (chunk_id, content, and kb_id if there are several bases).
 
-    ``buckets`` is the number of scan tasks, by default that of shuffle partitions; blocks hold
-    about ``block_chunks`` chunks. The statistics are counted from the written postings.
+    ``buckets`` is the number of scan tasks, by default that of shuffle partitions, or fewer for a
+    small table; blocks hold about ``block_chunks`` chunks. The statistics are counted from the written postings.
     """
     if kind not in ("text", "words"):
         raise ValueError("kind must be 'text' or 'words'")
     spark = chunks.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = path or f"{checkpoint_root(spark)}/postings-{uuid.uuid4().hex}"
-    blocks = max(buckets, -(-chunks.count() // block_chunks))
+    n = chunks.count()
+    buckets = buckets or max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // MIN_BUCKET_CHUNKS)))
+    blocks = max(buckets, -(-n // block_chunks))
     block = F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int")
     schema = pa.schema([
         ("block", pa.int32()), ("gram", pa.string()), ("places", pa.list_(pa.int32())), ("tf", pa.list_(pa.int32())),
