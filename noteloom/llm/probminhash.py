@@ -9,13 +9,19 @@ its next arrival is later than the latest register (early termination). Two sign
 a register with the probability Jaccard similarity of the texts, which for shingles that occur
 once is the plain Jaccard similarity.
 
-Bands of registers bring candidates together. First, each text of a bucket is compared with a few
-centres in every round, other ones each time, so that large classes grow together at a cost of a
-few times n comparisons for a bucket of n texts; pairs that are linked already, directly or through
-others, are left out. When a round brings no new link, all other pairs of a bucket whose texts are
-in different classes are settled in cells of two blocks: a product of matrices bounds the
-similarity of all pairs of a cell from above. Every pair that the bound leaves is verified exactly
-on the whole texts, so two texts that share a bucket are compared or are in one class.
+Bands of registers bring candidates together, in two steps whose number of jobs is fixed but for
+the search of components. First, each text of a bucket is compared with the bucket's centres, its
+texts of smallest and largest hash, so that large classes grow together at a cost of twice n
+comparisons for a bucket of n texts. Buckets whose texts are then all in one class are settled.
+The texts of the others meet by rare shingles: the similarity of two texts is at most
+1 / (1 / P + 1 / Q - 1) with P and Q the shares of their weights on common shingles, so at the
+threshold t both shares reach t, and one of them 2 t / (1 + t). In any order of all shingles, the
+first common one therefore lies among the first shingles that hold just over 1 - t of the weight of
+both texts, and just over (1 - t) / (1 + t) of one of them. With the rarest first, passages that
+many texts share bring nobody together. Texts of different classes that meet are settled in
+cells of two blocks, where a product of matrices gives the same bound for all pairs; what it leaves
+is verified exactly on the whole texts. So two texts that share a bucket are compared, or cannot
+reach the threshold, or are in one class.
 """
 
 from __future__ import annotations
@@ -43,16 +49,14 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 class Settings:
     """With 32 bands of 5 registers, a pair of similarity 0.8 shares no bucket with probability 3e-6.
 
-    ``centres`` texts of a bucket are compared with its others in every round; with one, twice the
-    rounds are needed, each with the same number of small jobs. A block of a crowded bucket holds
-    about ``block_rows`` texts, fewer if they are long: ``row_bytes`` of text count as one row.
+    A block of texts that meet by one rare shingle holds about ``block_rows`` texts, fewer if they
+    are long: ``row_bytes`` of text count as one row.
     """
 
     words: int = 5
     threshold: float = 0.8
     bands: int = 32
     band_rows: int = 5
-    centres: int = 2
     block_rows: int = 512
     row_bytes: int = 16_384
 
@@ -222,75 +226,99 @@ def near_classes(docs: DataFrame, ids: DataFrame, settings: Settings = Settings(
     read, and move only if they share a bucket with another one.
     """
     bands = stored(text_bands(docs, settings).join(ids, "doc_id", "left_semi"), "bands")
-    rows = bands.select("doc_id", F.explode("keys").alias("key"))
-    crowded = stored(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "crowded")
-    shared = stored(rows.join(crowded, "key"), "buckets")
-    texts = stored(docs.join(shared.select("doc_id").distinct(), "doc_id", "left_semi"), "candidates")
-    links, classes, turn = None, None, 0
-    while True:
-        orders = [F.xxhash64(F.col("doc_id"), F.lit(turn * settings.centres + k)) for k in range(settings.centres)]
-        centres = stored(shared.groupBy("key").agg(F.array_distinct(F.array(*[
-            F.min(F.struct(o.alias("o"), "doc_id"))["doc_id"] for o in orders])).alias("bs")), f"centres-{turn}")
-        pairs = shared.join(centres, "key").select(F.col("doc_id").alias("a"), F.explode("bs").alias("b")).where("a <> b").select(
-            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if classes is not None:
-            for side in "ab":
-                pairs = pairs.join(classes.select(F.col("doc_id").alias(side), F.col("class_id").alias(f"of_{side}")), side, "left")
-            pairs = pairs.where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
-        found = stored(verified(pairs, texts, settings), f"links-{turn}")
-        new = links is None or not found.isEmpty()
-        links, turn = found if links is None else links.unionAll(found), turn + 1
-        classes = components(links) if new else classes
-        shared = unsettled(shared, centres, classes)
-        if shared.isEmpty():
-            return classes
-        if not new:
-            break
-    return components(links.select("a", "b").unionAll(crowded_links(shared, texts, settings)))
-
-
-def unsettled(shared: DataFrame, centres: DataFrame, classes: DataFrame) -> DataFrame:
-    """(key, doc_id, class_id) of the texts of each bucket that are still to be compared.
-
-    A centre was compared with all others of its bucket, and a bucket whose other texts are all
-    in one class is settled. Of several buckets with the same texts one is kept.
+    order = F.struct(F.xxhash64("doc_id").alias("o"), "doc_id")
+    met = bands.select("doc_id", F.explode("keys").alias("key"))
+    centres = met.groupBy("key").agg(F.count("*").alias("n"), F.min(order)["doc_id"].alias("low"), F.max(order)["doc_id"].alias("high")).where("n > 1")
+    shared = stored(met.join(centres.drop("n"), "key").select("key", "doc_id", "low", "high"), "buckets")
+    texts = stored(docs.join(shared.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "candidates")
+    pairs = shared.select(F.col("doc_id").alias("a"), F.explode(F.array_distinct(F.array("low", "high"))).alias("b")).where("a <> b").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = stored(verified(pairs, texts, settings).select("a", "b"), "links")
+    classes = stored(components(links), "classes")
+    open_ = open_texts(bands, classes)
+    found = rare_links(open_, texts, settings)
+    star = classes.select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")).where("a <> b")
+    return components(star.unionAll(found))
+
+
+def open_texts(bands: DataFrame, classes: DataFrame) -> DataFrame:
+    """(doc_id, class_id) of the texts in buckets that hold more than one class.
+
+    The class joins the one row of a text, before its keys are exploded.
     """
-    done = centres.select("key", F.explode("bs").alias("doc_id"))
-    rest = stored(
-        shared.select("key", "doc_id").join(done, ["key", "doc_id"], "left_anti").join(classes, "doc_id", "left")
-        .select("key", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id")), "rest")
-    sums = [F.sum(F.xxhash64("doc_id", F.lit(k)).cast("decimal(20,0)")).alias(f"s{k}") for k in range(2)]
-    open_ = rest.groupBy("key").agg(F.count("*").alias("n"), *sums, F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low < high")
-    kept = stored(open_.groupBy("n", "s0", "s1").agg(F.min("key").alias("key")).select("key"), "open")
-    return stored(rest.join(kept, "key"), "unsettled")
+    known = stored(bands.join(classes, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "keys"), "known")
+    keys = known.select("doc_id", "class_id", F.explode("keys").alias("key"))
+    mixed = stored(keys.groupBy("key").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low < high").select("key"), "mixed")
+    return stored(keys.join(mixed, "key", "left_semi").select("doc_id", "class_id").distinct(), "open")
 
 
-def crowded_links(members: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
-    """Links (a, b) that join all similar texts of each bucket that are in different classes.
+def rare_shingles(texts: DataFrame, settings: Settings) -> DataFrame:
+    """(shingle, doc_id, short): the rare shingles by which texts that reach the threshold must meet.
 
-    The largest class of a bucket is dealt out in blocks of its own, which never meet each other;
-    any other two blocks of the bucket meet in one cell.
+    Of each text, rarest first, those that hold just over ``1 - t`` of its weight; ``short`` marks
+    those that hold just over ``(1 - t) / (1 + t)``. Shingles that one text has alone come first,
+    bring nobody together, and are counted by their weight only.
     """
-    sized = stored(members.join(texts.select("doc_id", (F.octet_length("text") / settings.row_bytes).alias("size")).dropDuplicates(["doc_id"]), "doc_id").select(
-        "key", "doc_id", "class_id", F.greatest(F.lit(1.0), "size").alias("size")), "sized")
-    sums = stored(sized.groupBy("key", "class_id").agg(F.sum("size").alias("size")), "class-sizes")
+    t = settings.threshold
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in byte_slices(batch, "text", 1 << 20):
+                doc, value, weight = weighted_shingles(part.column("text"), settings.words)
+                share = weight / np.bincount(doc, weights=weight, minlength=part.num_rows)[doc]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").take(pa.array(doc)), pa.array(value.view(np.int64)), pa.array(share)], ["doc_id", "shingle", "share"])
+
+    rows = stored(texts.select("doc_id", "text").mapInArrow(shares, "doc_id bigint, shingle bigint, share double"), "shares")
+    counts = rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    ranked = Window.partitionBy("doc_id").orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # What comes before a shingle is the whole less the weight of all that follow it, itself included.
+    after = F.sum("share").over(Window.partitionBy("doc_id")) - F.sum("share").over(ranked) + F.col("share")
+    before = rows.join(counts, "shingle").select("shingle", "doc_id", (F.lit(1.0) - after).alias("before"))
+    return before.where(F.col("before") <= 1 - t + 1e-6).select(
+        "shingle", "doc_id", (F.col("before") <= (1 - t) / (1 + t) + 1e-6).alias("short"))
+
+
+def rare_links(members: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+    """Links (a, b) that join all similar texts of ``members`` that are in different classes.
+
+    Texts that share a rare shingle are dealt out in blocks of three kinds: those of the largest
+    class for which it is short, those of other classes for which it is short, and the rest. Blocks
+    meet in cells, except that blocks of the first kind do not meet each other, nor do those of the rest.
+    Of several shingles that bring the same texts together one is kept.
+    """
+    known = stored(texts.join(members, "doc_id").select("doc_id", "class_id", "text", F.greatest(F.lit(1.0), F.octet_length("text") / settings.row_bytes).alias("size")), "open-texts")
+    rare = rare_shingles(known, settings).join(known.select("doc_id", "class_id", "size"), "doc_id")
+    rare = stored(rare, "rare")
+    sums = [F.sum(F.xxhash64("doc_id", "short", F.lit(k)).cast("decimal(20,0)")).alias(f"s{k}") for k in range(2)]
+    groups = rare.groupBy("shingle").agg(F.count("*").alias("n"), *sums, F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.max("short").alias("some"))
+    kept = stored(groups.where("low < high and some").groupBy("n", "s0", "s1").agg(F.min("shingle").alias("shingle")).select("shingle"), "kept")
+    sized = stored(rare.join(kept, "shingle"), "sized")
+    by_class = sized.groupBy("shingle", "class_id").agg(
+        F.sum(F.when(F.col("short"), F.col("size")).otherwise(0.0)).alias("short"), F.sum(F.when(F.col("short"), 0.0).otherwise(F.col("size"))).alias("rest"))
     blocks = lambda size: F.ceil(size / settings.block_rows).cast("int")
-    plan = sums.groupBy("key").agg(F.max(F.struct("size", "class_id")).alias("top"), F.sum("size").alias("all")).select(
-        "key", F.col("top.class_id").alias("top"), F.greatest(F.lit(1), blocks(F.col("all") - F.col("top.size"))).alias("others"), blocks(F.col("top.size")).alias("tops"))
-    plan = stored(plan, "plan")
-    dealt = sized.join(plan, "key").withColumn("is_top", F.col("class_id") == F.col("top")).withColumn(
-        "block", F.when(F.col("is_top"), F.col("others") + F.pmod(F.xxhash64("doc_id"), F.col("tops"))).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("others"))).cast("int"))
-    last = F.when(F.col("is_top"), F.col("others")).otherwise(F.col("others") + F.col("tops")) - 1
-    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last))).select(
-        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "class_id")
+    plan = by_class.groupBy("shingle").agg(
+        F.max(F.struct("short", "class_id")).alias("top"), F.sum("short").alias("short"), F.sum("rest").alias("rest")).select(
+        "shingle", F.col("top.class_id").alias("top"), blocks(F.col("top.short")).alias("tops"),
+        blocks(F.col("short") - F.col("top.short") - 1e-6).alias("others"), blocks(F.col("rest")).alias("rests"))
+    number = lambda many: F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), many))
+    kind = F.when(~F.col("short"), 2).when(F.col("class_id") == F.col("top"), 1).otherwise(0)
+    dealt = sized.join(stored(plan, "plan"), "shingle").withColumn("kind", kind).withColumn(
+        "block", F.when(F.col("kind") == 0, number(F.col("others"))).when(F.col("kind") == 1, F.col("others") + number(F.col("tops")))
+        .otherwise(F.col("others") + F.col("tops") + number(F.col("rests"))).cast("int"))
+    of = lambda block: F.when(block < F.col("others"), 0).when(block < F.col("others") + F.col("tops"), 1).otherwise(2)
+    partners = F.filter(F.sequence(F.lit(0), F.col("others") + F.col("tops") + F.col("rests") - 1), lambda x: (F.col("kind") == 0) | (of(x) != F.col("kind")))
+    cells = dealt.withColumn("other", F.explode(partners)).select(
+        "shingle", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "class_id")
 
     def settle(cell: pd.DataFrame) -> pd.DataFrame:
         rows = cell_links(cell["doc_id"].to_numpy(), cell["class_id"].to_numpy(), cell["block"].to_numpy(), pa.array(cell["text"], pa.string()), settings)
         return pd.DataFrame(rows, columns=["a", "b"], dtype="int64")
 
-    # Texts under one id count as one document.
-    one = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
-    return stored(cells.join(one, "doc_id").groupBy("key", "i", "j").applyInPandas(settle, "a bigint, b bigint").distinct(), "crowded-links")
+    # A cell whose other block has nobody of another class is left out before texts move.
+    wide = cells.groupBy("shingle", "i", "j").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low < high").select("shingle", "i", "j")
+    cells = cells.join(wide, ["shingle", "i", "j"])
+    return stored(cells.join(known.select("doc_id", "text"), "doc_id").groupBy("shingle", "i", "j").applyInPandas(settle, "a bigint, b bigint").distinct(), "rare-links")
 
 
 def shares_in_common(doc: np.ndarray, value: np.ndarray, weight: np.ndarray, left: np.ndarray, right: np.ndarray, docs: int, together: int = 2048) -> tuple[np.ndarray, np.ndarray]:
