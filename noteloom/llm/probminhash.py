@@ -18,10 +18,10 @@ The texts of the others meet by rare shingles: the similarity of two texts is at
 threshold t both shares reach t, and one of them 2 t / (1 + t). In any order of all shingles, the
 first common one therefore lies among the first shingles that hold just over 1 - t of the weight of
 both texts, and just over (1 - t) / (1 + t) of one of them. With the rarest first, passages that
-many texts share bring nobody together. Texts of different classes that meet are settled in
-cells of two blocks, where a product of matrices gives the same bound for all pairs; what it leaves
-is verified exactly on the whole texts. So two texts that share a bucket are compared, or cannot
-reach the threshold, or are in one class.
+many texts share bring nobody together. Texts that meet and are in different classes are verified
+exactly on their whole texts: first the pair of any two classes that meets most often, then all
+other pairs of those classes that it does not link. So two texts that share a bucket are compared,
+or cannot reach the threshold, or are in one class.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteloom.llm.common import byte_slices, stored
@@ -49,8 +49,7 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 class Settings:
     """With 32 bands of 5 registers, a pair of similarity 0.8 shares no bucket with probability 3e-6.
 
-    A block of texts that meet by one rare shingle holds about ``block_rows`` texts, fewer if they
-    are long: ``row_bytes`` of text count as one row.
+    A block of texts that meet by one rare shingle holds about ``block_rows`` of them.
     """
 
     words: int = 5
@@ -58,7 +57,6 @@ class Settings:
     bands: int = 32
     band_rows: int = 5
     block_rows: int = 512
-    row_bytes: int = 16_384
 
     @property
     def registers(self) -> int:
@@ -184,7 +182,7 @@ def similarities(left: pa.Array, right: pa.Array, width: int) -> np.ndarray:
 
 
 def text_bands(docs: DataFrame, settings: Settings) -> DataFrame:
-    """doc_id and the band keys of its text; texts without words have no row."""
+    """doc_id, the band keys of its text, the number of its shingles, their weight and the largest; texts without words have no row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,11 +194,25 @@ def text_bands(docs: DataFrame, settings: Settings) -> DataFrame:
                 place = coded.indices.to_numpy(zero_copy_only=False)
                 some = np.bincount(doc, minlength=texts)[place] > 0
                 rows = keys[place[some]]
+                many, total, top = np.bincount(doc, minlength=texts), np.bincount(doc, weights=weight, minlength=texts), np.zeros(texts)
+                np.maximum.at(top, doc, weight)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").filter(pa.array(some)), pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), settings.bands).cast(pa.list_(pa.int64()))],
-                    ["doc_id", "keys"])
+                    [part.column("doc_id").filter(pa.array(some)), pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), settings.bands).cast(pa.list_(pa.int64())),
+                     *[pa.array(x[place[some]]) for x in (many.astype(np.int64), total, top)]],
+                    ["doc_id", "keys", "many", "total", "top"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id bigint, keys array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id bigint, keys array<bigint>, many bigint, total double, top double")
+
+
+def may_reach(a: Column, b: Column, settings: Settings) -> Column:
+    """Whether two texts can reach the threshold, by the number of their shingles and their weights alone.
+
+    The share of a text's weight on common shingles is at most that of as many of its heaviest
+    shingles as the smaller text has in all.
+    """
+    fewer = F.least(a["many"], b["many"])
+    p, q = (F.least(F.lit(1.0), fewer * x["top"] / x["total"]) for x in (a, b))
+    return 1 / (1 / p + 1 / q - 1) >= settings.threshold - _ROUNDING
 
 
 def verified(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
@@ -208,7 +220,7 @@ def verified(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFram
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in byte_slices(batch, "text_a", 1 << 20):
+            for part in (p for some in byte_slices(batch, "text_a") for p in byte_slices(some, "text_b")):
                 value = similarities(part.column("text_a"), part.column("text_b"), settings.words)
                 near = pa.array(value >= settings.threshold - _ROUNDING)
                 yield pa.RecordBatch.from_arrays(
@@ -226,13 +238,16 @@ def near_classes(docs: DataFrame, ids: DataFrame, settings: Settings = Settings(
     read, and move only if they share a bucket with another one.
     """
     bands = stored(text_bands(docs, settings).join(ids, "doc_id", "left_semi"), "bands")
-    order = F.struct(F.xxhash64("doc_id").alias("o"), "doc_id")
-    met = bands.select("doc_id", F.explode("keys").alias("key"))
-    centres = met.groupBy("key").agg(F.count("*").alias("n"), F.min(order)["doc_id"].alias("low"), F.max(order)["doc_id"].alias("high")).where("n > 1")
-    shared = stored(met.join(centres.drop("n"), "key").select("key", "doc_id", "low", "high"), "buckets")
-    texts = stored(docs.join(shared.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "candidates")
-    pairs = shared.select(F.col("doc_id").alias("a"), F.explode(F.array_distinct(F.array("low", "high"))).alias("b")).where("a <> b").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    text = F.struct("doc_id", "many", "total", "top")
+    met = bands.select(text.alias("one"), F.explode("keys").alias("key"))
+    order = F.struct(F.xxhash64("one.doc_id").alias("o"), "one")
+    centres = met.groupBy("key").agg(F.count("*").alias("n"), F.min(order)["one"].alias("low"), F.max(order)["one"].alias("high")).where("n > 1")
+    shared = stored(met.join(centres.drop("n"), "key").select("one", "low", "high"), "buckets")
+    near = shared.select("one", F.explode(F.array("low", "high")).alias("centre")).where(
+        (F.col("one.doc_id") != F.col("centre.doc_id")) & may_reach(F.col("one"), F.col("centre"), settings))
+    pairs = stored(near.select(F.least("one.doc_id", "centre.doc_id").alias("a"), F.greatest("one.doc_id", "centre.doc_id").alias("b")).distinct(), "pairs")
+    meeting = shared.select("one.doc_id").distinct()
+    texts = stored(docs.join(meeting, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "candidates")
     links = stored(verified(pairs, texts, settings).select("a", "b"), "links")
     classes = stored(components(links), "classes")
     open_ = open_texts(bands, classes)
@@ -246,7 +261,7 @@ def open_texts(bands: DataFrame, classes: DataFrame) -> DataFrame:
 
     The class joins the one row of a text, before its keys are exploded.
     """
-    known = stored(bands.join(classes, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "keys"), "known")
+    known = stored(bands.select("doc_id", "keys").join(classes, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "keys"), "known")
     keys = known.select("doc_id", "class_id", F.explode("keys").alias("key"))
     mixed = stored(keys.groupBy("key").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low < high").select("key"), "mixed")
     return stored(keys.join(mixed, "key", "left_semi").select("doc_id", "class_id").distinct(), "open")
@@ -279,111 +294,66 @@ def rare_shingles(texts: DataFrame, settings: Settings) -> DataFrame:
         "shingle", "doc_id", (F.col("before") <= (1 - t) / (1 + t) + 1e-6).alias("short"))
 
 
-def rare_links(members: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
-    """Links (a, b) that join all similar texts of ``members`` that are in different classes.
+def cell_pairs(ids: np.ndarray, classes: np.ndarray, short: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Row numbers of the pairs between two blocks, or inside one, of different classes and not both long."""
+    left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+    met = (classes[left][:, None] != classes[right][None, :]) & (short[left][:, None] | short[right][None, :])
+    if block.min() == block.max():
+        met &= ids[left][:, None] < ids[right][None, :]
+    i, j = np.nonzero(met)
+    return np.column_stack([left[i], right[j]])
+
+
+def rare_pairs(members: DataFrame, rare: DataFrame, settings: Settings) -> DataFrame:
+    """(a, b, low, high, n): texts of different classes ``low`` and ``high`` that meet by n groups of rare shingles.
 
     Texts that share a rare shingle are dealt out in blocks of three kinds: those of the largest
     class for which it is short, those of other classes for which it is short, and the rest. Blocks
     meet in cells, except that blocks of the first kind do not meet each other, nor do those of the rest.
-    Of several shingles that bring the same texts together one is kept.
+    Of several shingles that bring the same texts together one is kept. No text moves.
     """
-    known = stored(texts.join(members, "doc_id").select("doc_id", "class_id", "text", F.greatest(F.lit(1.0), F.octet_length("text") / settings.row_bytes).alias("size")), "open-texts")
-    rare = rare_shingles(known, settings).join(known.select("doc_id", "class_id", "size"), "doc_id")
-    rare = stored(rare, "rare")
+    rare = stored(rare.join(members, "doc_id").select("shingle", "doc_id", "short", "class_id"), "rare")
     sums = [F.sum(F.xxhash64("doc_id", "short", F.lit(k)).cast("decimal(20,0)")).alias(f"s{k}") for k in range(2)]
-    groups = rare.groupBy("shingle").agg(F.count("*").alias("n"), *sums, F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.max("short").alias("some"))
-    kept = stored(groups.where("low < high and some").groupBy("n", "s0", "s1").agg(F.min("shingle").alias("shingle")).select("shingle"), "kept")
-    sized = stored(rare.join(kept, "shingle"), "sized")
-    by_class = sized.groupBy("shingle", "class_id").agg(
-        F.sum(F.when(F.col("short"), F.col("size")).otherwise(0.0)).alias("short"), F.sum(F.when(F.col("short"), 0.0).otherwise(F.col("size"))).alias("rest"))
-    blocks = lambda size: F.ceil(size / settings.block_rows).cast("int")
-    plan = by_class.groupBy("shingle").agg(
-        F.max(F.struct("short", "class_id")).alias("top"), F.sum("short").alias("short"), F.sum("rest").alias("rest")).select(
-        "shingle", F.col("top.class_id").alias("top"), blocks(F.col("top.short")).alias("tops"),
-        blocks(F.col("short") - F.col("top.short") - 1e-6).alias("others"), blocks(F.col("rest")).alias("rests"))
+    by_class = rare.groupBy("shingle", "class_id").agg(
+        F.count_if("short").alias("short"), F.count("*").alias("n"), *sums)
+    groups = by_class.groupBy("shingle").agg(
+        F.max(F.struct("short", "class_id")).alias("top"), F.sum("short").alias("short"), F.sum("n").alias("n"), F.count("*").alias("classes"),
+        *[F.sum(f"s{k}").cast("string").alias(f"s{k}") for k in range(2)]).where("classes > 1 and short > 0")
+    blocks = lambda many: F.ceil(many / settings.block_rows).cast("int")
+    one = groups.groupBy("n", "s0", "s1").agg(F.min(F.struct("shingle", "top", "short")).alias("g")).select("n", "g.*")
+    plan = stored(one.select(
+        "shingle", F.col("top.class_id").alias("top"), blocks(F.col("short") - F.col("top.short")).alias("others"),
+        blocks(F.col("top.short")).alias("tops"), blocks(F.col("n") - F.col("short")).alias("rests")), "plan")
     number = lambda many: F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), many))
     kind = F.when(~F.col("short"), 2).when(F.col("class_id") == F.col("top"), 1).otherwise(0)
-    dealt = sized.join(stored(plan, "plan"), "shingle").withColumn("kind", kind).withColumn(
+    dealt = rare.join(plan, "shingle").withColumn("kind", kind).withColumn(
         "block", F.when(F.col("kind") == 0, number(F.col("others"))).when(F.col("kind") == 1, F.col("others") + number(F.col("tops")))
         .otherwise(F.col("others") + F.col("tops") + number(F.col("rests"))).cast("int"))
     of = lambda block: F.when(block < F.col("others"), 0).when(block < F.col("others") + F.col("tops"), 1).otherwise(2)
     partners = F.filter(F.sequence(F.lit(0), F.col("others") + F.col("tops") + F.col("rests") - 1), lambda x: (F.col("kind") == 0) | (of(x) != F.col("kind")))
     cells = dealt.withColumn("other", F.explode(partners)).select(
-        "shingle", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "class_id")
-
-    def settle(cell: pd.DataFrame) -> pd.DataFrame:
-        rows = cell_links(cell["doc_id"].to_numpy(), cell["class_id"].to_numpy(), cell["block"].to_numpy(), pa.array(cell["text"], pa.string()), settings)
-        return pd.DataFrame(rows, columns=["a", "b"], dtype="int64")
-
-    # A cell whose other block has nobody of another class is left out before texts move.
-    wide = cells.groupBy("shingle", "i", "j").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low < high").select("shingle", "i", "j")
-    cells = cells.join(wide, ["shingle", "i", "j"])
-    return stored(cells.join(known.select("doc_id", "text"), "doc_id").groupBy("shingle", "i", "j").applyInPandas(settle, "a bigint, b bigint").distinct(), "rare-links")
-
-
-def shares_in_common(doc: np.ndarray, value: np.ndarray, weight: np.ndarray, left: np.ndarray, right: np.ndarray, docs: int, together: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-    """For each text of ``left`` and each of ``right``, the shares of their weights on common shingles."""
-    _, column = np.unique(value, return_inverse=True)
-    share = weight / np.bincount(doc, weights=weight, minlength=docs)[doc]
-    width = int(column.max(initial=-1)) + 1
-    sides = []
-    for side in (left, right):
-        place = np.full(docs, -1)
-        place[side] = np.arange(len(side))
-        sides.append((place[doc], np.bincount(column[place[doc] >= 0], minlength=width)))
-    # Shingles that only one text has, or only one side, are common to no pair.
-    common = (sides[0][1] > 0) & (sides[1][1] > 0) & (np.bincount(column, minlength=width) > 1)
-    number = np.cumsum(common) - 1
-    used = common[column]
-    column, share = number[column[used]], share[used]
-    places = [s[0][used] for s in sides]
-    order = np.argsort(column, kind="stable")
-    column, share, places = column[order], share[order], [x[order] for x in places]
-    p, q = np.zeros((len(left), len(right))), np.zeros((len(left), len(right)))
-    for first in range(0, int(common.sum()), together):
-        part = slice(*np.searchsorted(column, [first, first + together]))
-        tables = []
-        for place, side in zip(places, (left, right), strict=True):
-            has = place[part] >= 0
-            dense = np.zeros((len(side), together))
-            dense[place[part][has], column[part][has] - first] = share[part][has]
-            tables.append(dense)
-        p += tables[0] @ (tables[1] > 0).T.astype(float)
-        q += (tables[0] > 0).astype(float) @ tables[1].T
-    return p, q
-
-
-def cell_links(ids: np.ndarray, classes: np.ndarray, block: np.ndarray, texts: pa.Array, settings: Settings) -> list[tuple[int, int]]:
-    """The links between texts of two blocks, or inside one, that join different classes.
-
-    With P and Q the shares of two texts' weights that lie on common shingles, the similarity is
-    at most 1 / (1 / P + 1 / Q - 1), by Jensen's inequality; without repeated shingles it is equal.
-    """
-    doc, value, weight = weighted_shingles(texts, settings.words)
-    bounds = np.searchsorted(doc, np.arange(len(ids) + 1))
-    left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
-    p, q = shares_in_common(doc, value, weight, left, right, len(ids))
-    with np.errstate(divide="ignore"):
-        most = 1.0 / (1.0 / p + 1.0 / q - 1.0)
-    near = (most >= settings.threshold - _ROUNDING) & (classes[left][:, None] != classes[right][None, :])
-    parent = {c: c for c in classes.tolist()}
-
-    def root(c: int) -> int:
-        while parent[c] != c:
-            parent[c] = c = parent[parent[c]]
-        return c
-
-    found = []
-    for x, y in np.argwhere(near).tolist():
-        i, j = left[x], right[y]
-        a, b = root(int(classes[i])), root(int(classes[j]))
-        if a == b:
-            continue
-        s, t = slice(bounds[i], bounds[i + 1]), slice(bounds[j], bounds[j + 1])
-        if probability_jaccard(value[s], weight[s], value[t], weight[t]) >= settings.threshold - _ROUNDING:
-            parent[a] = b
-            found.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
-    return found
+        "shingle", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "class_id", "short")
+
+    def meet(cell: pd.DataFrame) -> pd.DataFrame:
+        ids, classes = cell["doc_id"].to_numpy(), cell["class_id"].to_numpy()
+        x, y = cell_pairs(ids, classes, cell["short"].to_numpy(), cell["block"].to_numpy()).T
+        u, v = ids[x], ids[y]
+        p, q = classes[x], classes[y]
+        return pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v), "low": np.minimum(p, q), "high": np.maximum(p, q)})
+
+    met = cells.groupBy("shingle", "i", "j").applyInPandas(meet, "a bigint, b bigint, low bigint, high bigint")
+    return stored(met.groupBy("a", "b", "low", "high").agg(F.count("*").alias("n")), "rare-pairs")
+
+
+def rare_links(members: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+    """Links (a, b) that join all similar texts of ``members`` that are in different classes."""
+    known = stored(texts.join(members.select("doc_id"), "doc_id", "left_semi"), "open-texts")
+    pairs = rare_pairs(members, rare_shingles(known, settings), settings)
+    best = pairs.groupBy("low", "high").agg(F.max(F.struct("n", "a", "b")).alias("p")).select("p.a", "p.b")
+    first = stored(verified(best, known, settings).select("a", "b"), "first-links")
+    tried = pairs.join(first, ["a", "b"], "left_semi").select("low", "high")
+    rest = pairs.join(tried, ["low", "high"], "left_anti").join(best, ["a", "b"], "left_anti").select("a", "b")
+    return first.unionAll(stored(verified(rest, known, settings).select("a", "b"), "rest-links"))
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -6,8 +6,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from noteloom.llm.probminhash import (
-    Settings, cell_links, drop_near_duplicates, near_duplicates, shares_in_common, signatures, similarities, weighted_shingles)
+    Settings, cell_pairs, drop_near_duplicates, may_reach, near_duplicates, rare_shingles, signatures, similarities, text_bands, weighted_shingles)
 
 
 def shingles(text, width=5):
@@ -106,17 +108,41 @@ def test_crowded_bucket_against_brute_force(spark, block_rows):
     assert got == {x: x for x in range(len(texts))} | {b: a for a, b in planted}
 
 
-def test_cells_bound_and_verify(texts):
-    ids = np.arange(len(texts))
-    array = pa.array([t or "" for t in texts])
-    doc, value, weight = weighted_shingles(array, 5)
-    p, q = shares_in_common(doc, value, weight, ids, ids, len(ids), together=64)
-    i, j = np.triu_indices(len(texts), 1)
-    exact = similarities(array.take(pa.array(i)), array.take(pa.array(j)), 5)
-    with np.errstate(divide="ignore"):
-        assert (1 / (1 / p + 1 / q - 1))[i, j].min() >= 0 and ((1 / (1 / p + 1 / q - 1))[i, j] >= exact - 1e-9).all()
+def test_rare_shingles_bring_similar_texts_together(spark, texts):
+    """Every pair that reaches the threshold shares a rare shingle that is short for one of the two."""
+    crowded, _ = crowd(random.Random(8), 60, 12)
+    some = [t for t in [*texts, *crowded] if t and t.split()]
+    rows = rare_shingles(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string"), Settings()).collect()
+    of = {}
+    for r in rows:
+        of.setdefault(r.doc_id, {})[r.shingle] = r.short
+    i, j = np.triu_indices(len(some), 1)
+    exact = similarities(pa.array([some[x] for x in i]), pa.array([some[x] for x in j]), 5)
+    near = [(a, b) for a, b, v in zip(i.tolist(), j.tolist(), exact.tolist(), strict=True) if v >= 0.8 and some[a] != some[b]]
+    assert len(near) >= 12
+    for a, b in near:
+        x, y = of[a], of[b]
+        assert any(x[s] or y[s] for s in x.keys() & y.keys()), (a, b)
+    met = {(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if a >= len(some) - 60
+           and any(of[a][s] or of[b][s] for s in of.get(a, {}).keys() & of.get(b, {}).keys())}
+    assert len(met) < 60 * 59 / 8  # the passage that all of the crowd share brings few of them together
+
+
+def test_size_bound_is_above_the_similarity(spark, texts):
+    some = [t for t in texts if t and t.split()]
+    bands = text_bands(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string"), Settings())
+    one = bands.select(F.struct("many", "total", "top").alias("x"), F.col("doc_id").alias("a"))
+    two = one.withColumnsRenamed({"x": "y", "a": "b"})
+    got = one.join(two, F.col("a") < F.col("b")).select("a", "b", may_reach(F.col("x"), F.col("y"), Settings()).alias("may")).collect()
+    exact = similarities(pa.array([some[r.a] for r in got]), pa.array([some[r.b] for r in got]), 5)
+    assert all(r.may for r, v in zip(got, exact.tolist(), strict=True) if v >= 0.8) and not all(r.may for r in got)
+
+
+def test_cell_pairs():
+    rng = np.random.default_rng(3)
+    ids = np.arange(40)
+    classes, short = rng.integers(0, 5, 40), rng.random(40) < 0.5
     for block in (ids * 0, ids % 2):
-        links = cell_links(ids, ids, block, array, Settings())
-        kept = (exact >= 0.8 - 1e-9) & ((block[i] != block[j]) | (block.max() == 0))
-        assert set(links) <= set(zip(i[kept].tolist(), j[kept].tolist(), strict=True))
-        assert len({x for l in links for x in l}) == len({x for x in (*i[kept], *j[kept])})
+        got = {tuple(sorted(p)) for p in cell_pairs(ids, classes, short, block).tolist()}
+        assert got == {(i, j) for i in range(40) for j in range(i + 1, 40)
+                       if classes[i] != classes[j] and (short[i] or short[j]) and (block.max() == 0 or block[i] != block[j])}
