@@ -346,14 +346,35 @@ def rare_pairs(members: DataFrame, rare: DataFrame, settings: Settings) -> DataF
 
 
 def rare_links(members: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
-    """Links (a, b) that join all similar texts of ``members`` that are in different classes."""
+    """Links (a, b) that join all similar texts of ``members`` that are in different classes.
+
+    Each text is compared with one leader of every rare shingle first, and what that links is one
+    class when pairs are formed.
+    """
     known = stored(texts.join(members.select("doc_id"), "doc_id", "left_semi"), "open-texts")
-    pairs = rare_pairs(members, rare_shingles(known, settings), settings)
+    rare = stored(rare_shingles(known, settings), "rare-shingles")
+    led = led_links(members, rare, known, settings)
+    of = components(members.select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")).where("a <> b").unionAll(led))
+    merged = stored(members.join(of.withColumnRenamed("class_id", "found"), "doc_id", "left").select("doc_id", F.coalesce("found", "class_id").alias("class_id")), "merged")
+    pairs = rare_pairs(merged, rare, settings)
     best = pairs.groupBy("low", "high").agg(F.max(F.struct("n", "a", "b")).alias("p")).select("p.a", "p.b")
     first = stored(verified(best, known, settings).select("a", "b"), "first-links")
     tried = pairs.join(first, ["a", "b"], "left_semi").select("low", "high")
     rest = pairs.join(tried, ["low", "high"], "left_anti").join(best, ["a", "b"], "left_anti").select("a", "b")
-    return first.unionAll(stored(verified(rest, known, settings).select("a", "b"), "rest-links"))
+    return led.unionAll(first).unionAll(stored(verified(rest, known, settings).select("a", "b"), "rest-links"))
+
+
+def led_links(members: DataFrame, rare: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+    """Links (a, b) between texts of different classes and a leader of one of their rare shingles.
+
+    The leader of a shingle is the text of smallest hash for which it is short.
+    """
+    known = stored(rare.join(members, "doc_id").select("shingle", F.struct("doc_id", "class_id").alias("one"), "short"), "rare-classes")
+    order = F.struct(F.xxhash64("one.doc_id").alias("o"), "one")
+    leaders = known.where("short").groupBy("shingle").agg(F.min(order)["one"].alias("leader"))
+    met = known.join(leaders, "shingle").where("one.class_id <> leader.class_id").select(
+        F.least("one.doc_id", "leader.doc_id").alias("a"), F.greatest("one.doc_id", "leader.doc_id").alias("b")).distinct()
+    return stored(verified(met, texts, settings).select("a", "b"), "led-links")
 
 
 def components(links: DataFrame) -> DataFrame:
