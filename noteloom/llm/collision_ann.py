@@ -120,13 +120,37 @@ class CollisionIndex:
             yield from found
 
 
-def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, norm: float, search: Search) -> pd.DataFrame:
-    """The nearest found of one block for each query: query_id, vec_id, score."""
-    index = CollisionIndex(vectors, norm, search)
+def scaled(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each vector divided by the power of two above its largest component, and the powers' exponents."""
+    _, exponents = np.frexp(np.abs(vectors).max(axis=1))
+    return np.ldexp(vectors, -exponents[:, None]), exponents
+
+
+def products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products in double precision. What a partial sum overflows is summed in smaller numbers, so only a
+    product that is itself beyond the largest double is infinite, and none is undefined."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = vectors @ query
+        lost = np.flatnonzero(~np.isfinite(out))
+        if len(lost):
+            (small, exponents), (other, exponent) = scaled(vectors[lost]), scaled(query[None])
+            out[lost] = np.ldexp(small @ other[0], exponents + exponent)
+    return out
+
+
+def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, search: Search) -> pd.DataFrame:
+    """The nearest found of one block for each query: query_id, vec_id, score.
+
+    The index holds the block divided by one power of two, so lengths neither overflow nor vanish;
+    scores are products of the vectors as they are.
+    """
+    _, exponents = scaled(vectors)
+    small = np.ldexp(vectors, -exponents.max())
+    index = CollisionIndex(small, float(np.linalg.norm(small, axis=1).max()), search)
     out = []
-    for q, query, found in zip(query_ids, queries, index.candidates(queries), strict=True):
+    for q, query, found in zip(query_ids, queries, index.candidates(scaled(queries)[0]), strict=True):
         found = found[ids[found] != q]
-        score = vectors[found] @ query
+        score = products(vectors[found], query)
         if len(found) > search.k:  # ties with the last one stay until ids decide
             last = np.partition(score, len(found) - search.k)[len(found) - search.k]
             keep = score >= last
@@ -144,17 +168,18 @@ def nearest(vectors: DataFrame, is_query, search: Search = Search(), id_col: str
     rows with the query's own id; nearest come first and ties go to the smaller id. Vectors that
     are null or zero or hold a null, NaN or infinite component take no part, nor do rows
     without an id; a row that repeats an id and a vector counts once; vectors of another
-    length than the query's have no product with it. Without usable rows the result is empty.
+    length than the query's have no product with it. Components of any size take part; a product
+    beyond the largest double is an infinite score. Without usable rows the result is empty.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where(
         F.col("vec_id").isNotNull() & usable("v")).dropDuplicates()
-    squared = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    # Norms are measured beside the largest component, whose square need not fit into a double.
+    rows = rows.withColumn("top", F.array_max(F.transform("v", F.abs))).withColumn(
+        "log_norm", F.log("top") + F.log(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / F.col("top")) * (x / F.col("top")))) / 2)
     # Ranges are centred on the powers of the ratio, so that unit vectors that are rounded share one.
-    rows = rows.withColumn("norm", F.sqrt(squared)).withColumn(
-        "range", F.floor(F.log(F.greatest("norm", F.lit(1e-300))) / F.lit(float(np.log(search.norm_ratio))) + 0.5).cast("int"))
-    sizes = rows.groupBy("range").agg(F.count("*").alias("n"), F.max("norm").alias("norm")).collect()
-    norms = {r["range"]: float(r["norm"]) or 1.0 for r in sizes}
+    rows = rows.withColumn("range", F.floor(F.col("log_norm") / F.lit(float(np.log(search.norm_ratio))) + 0.5).cast("int")).drop("top")
+    sizes = rows.groupBy("range").agg(F.count("*").alias("n")).collect()
     asked = rows.where(is_query(F.col("vec_id")))
     parts = [(r["range"], b) for r in sizes for b in range(-(-r["n"] // search.block_rows))]
     blocks = {r["range"]: -(-r["n"] // search.block_rows) for r in sizes}
@@ -167,7 +192,7 @@ def nearest(vectors: DataFrame, is_query, search: Search = Search(), id_col: str
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         return search_block(
             block["vec_id"].to_numpy(), np.stack(block["v"].to_numpy()), queries["vec_id"].to_numpy(),
-            np.stack(queries["v"].to_numpy()), norms[key[1]], search)
+            np.stack(queries["v"].to_numpy()), search)
 
     length = F.size("v").alias("length")
     number = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair])

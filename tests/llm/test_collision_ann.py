@@ -50,6 +50,17 @@ def test_odd_vectors(spark):
     assert nearest(df.limit(0), QUERY).count() == 0
 
 
+def test_components_of_any_size(spark):
+    rows = [(20, [1e200, 0.0]), (1, [1e200, 1e200]), (2, [1e100, 5.0]), (3, [-1e200, 1.0]), (4, [1e-320, 0.0]), (5, [1e308, 1e308]), (40, [1e308, -1e308])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in nearest(df, QUERY).orderBy("query_id", "rank").collect()]
+    inf = float("inf")
+    assert [r[2] for r in got[:6]] == [1, 5, 40, 2, 4, 3] and [r[3] for r in got[:3]] == [inf] * 3 and got[5][3] == -inf
+    assert abs(got[3][3] / 1e300 - 1) < 1e-12 and 0 < got[4][3] < 1e-100
+    asked_40 = {r[2]: r[3] for r in got[6:]}
+    assert asked_40[5] == 0.0 and asked_40[20] == inf and asked_40[3] == -inf and len(got) == 12
+
+
 @pytest.mark.parametrize("case", ["unit", "outlier", "lognormal"])
 def test_recall_with_varied_norms(spark, case):
     rng = np.random.default_rng(3)
