@@ -183,15 +183,16 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
 
     At most ``fit.max_documents`` labels are used, those with the smallest hash of their id;
     labels other than 0 and 1 and rows without an id are left out. Only the chosen documents
-    are measured.
+    are measured. A label counts once: of the texts that share an id, one chosen by its hash is fitted.
     """
     order = F.xxhash64("doc_id", F.lit(11))
-    chosen = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).select("doc_id", "quality").orderBy(
+    chosen = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).select("doc_id", "quality").distinct().orderBy(
         order, "doc_id", "quality").limit(fit.max_documents)
     # No more rows than the parameter says, so they can be sent to every task.
     measured = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
-        statistics(F.col("text")).alias("s"), "quality").select(*[f"s.{n}" for n in STATISTICS], "quality")
-    rows = np.array([tuple(r) for r in measured.orderBy(*STATISTICS, "quality").limit(2 * fit.max_documents).collect()], dtype=np.float64)
+        "doc_id", "quality", F.struct(F.xxhash64("text").alias("key"), statistics(F.col("text")).alias("s")).alias("one")).groupBy(
+        "doc_id", "quality").agg(F.min("one").alias("one")).select(*[f"one.s.{n}" for n in STATISTICS], "quality")
+    rows = np.array([tuple(r) for r in measured.orderBy(*STATISTICS, "quality").collect()], dtype=np.float64)
     return fit_model(rows[:, :-1], rows[:, -1], fit) if len(rows) else Model(0.0, ())
 
 

@@ -32,6 +32,12 @@ def test_only_labels_outside_the_holdout_count(spark, sf_dir):
     assert train(docs, labels) == train(docs, turned)
 
 
+def test_repeated_ids_and_labels_count_once(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    many = docs.unionByName(docs).unionByName(docs.where("doc_id % 3 = 0"))
+    assert train(many, labels.unionByName(labels)) == train(docs, labels)
+
+
 def test_lasso_drops_noise():
     rng = np.random.default_rng(1)
     x = (rng.random((2000, 10)) < 0.5).astype(float)
