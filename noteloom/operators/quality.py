@@ -171,24 +171,84 @@ def row_hashes(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col(key).cast("bigint").alias("key"), fingerprint(**{c: F.col(c) for c in df.columns}).alias("hash"))
 
 
-def table_digest(df: DataFrame, key: str, name: str, levels: int = 3) -> DataFrame:
+def key_levels(key: str, *tables: DataFrame) -> int:
+    """How many levels of ranges lead from the keys of the tables to one root with at most 4096 members.
+
+    Only the smallest and largest key are read. Six levels suffice for any 64-bit keys.
+    """
+    ends = reduce(DataFrame.unionByName, [t.agg(F.min(key).cast("bigint").alias("a"), F.max(key).cast("bigint").alias("b")) for t in tables]).agg(
+        F.min("a"), F.max("b")).first()
+    first, last = (0, 0) if ends[0] is None else ends
+    levels = 1
+    while (last >> _RANGE_BITS * (levels - 1)) - (first >> _RANGE_BITS * (levels - 1)) >= 1 << _RANGE_BITS:
+        levels += 1
+    return levels
+
+
+def _hashed_members(members: Column) -> Column:
+    return F.sha2(F.array_join(F.transform(F.array_sort(members), lambda m: m["hash"]), "\n"), 256)
+
+
+def _ranges_above(level: DataFrame, bucket: Column) -> DataFrame:
+    """(key, n, hash) of the next level: one row per bucket, with the hash of its members in key order."""
+    return level.groupBy(bucket.alias("bucket")).agg(
+        F.sum("n").alias("n"), _hashed_members(F.collect_list(F.struct("key", "hash"))).alias("hash")).withColumnRenamed("bucket", "key")
+
+
+def table_digest(df: DataFrame, key: str, name: str, levels: int | None = None) -> DataFrame:
     """(table_name, n_rows, sha256): equal exactly when the rows are equal.
 
     Rows are hashed, then the hashes of each fixed range of 4096 keys, then ranges of
-    ranges. ``key`` is a unique integer, so no group has more than 4096 members below
-    the last level; three levels suffice up to 10^10 keys and a fourth to 10^14.
+    ranges. ``key`` is a unique integer, so no group has more than 4096 members: the number
+    of levels follows from the span of the keys, be they dense, sparse or packed, and is
+    three at least. Digests to be compared over time can fix ``levels`` (six hold for all keys).
     """
+    levels = levels or max(3, key_levels(key, df))
     level = row_hashes(df, key).withColumn("n", F.lit(1).cast("bigint"))
     for depth in range(levels):
-        bucket = F.shiftright("key", _RANGE_BITS) if depth < levels - 1 else F.lit(0).cast("bigint")
-        members = F.array_sort(F.collect_list(F.struct("key", "hash")))
-        level = level.groupBy(bucket.alias("bucket")).agg(
-            F.sum("n").alias("n"),
-            F.sha2(F.array_join(F.transform(members, lambda m: m["hash"]), "\n"), 256).alias("hash"),
-        ).withColumnRenamed("bucket", "key")
+        level = _ranges_above(level, F.shiftright("key", _RANGE_BITS) if depth < levels - 1 else F.lit(0).cast("bigint"))
     return level.select(F.lit(name).alias("table_name"), F.col("n").alias("n_rows"), F.col("hash").alias("sha256"))
 
 
+def digest_tree(df: DataFrame, key: str, levels: int = 6) -> DataFrame:
+    """(level, key, n, hash): every range of the digest, from ranges of 4096 keys (level 1) to the top.
+
+    Keys of a level are the table's keys without their last ``12 * level`` bits. Written once, a
+    tree lets later versions of the table be compared without its rows.
+    """
+    level = row_hashes(df, key).withColumn("n", F.lit(1).cast("bigint"))
+    found = []
+    for depth in range(1, levels + 1):
+        level = _ranges_above(level, F.shiftright("key", _RANGE_BITS))
+        if depth == 1:  # rows are hashed once, whatever the number of levels
+            level = level.checkpoint()
+        found.append(level.select(F.lit(depth).alias("level"), "key", "n", "hash"))
+    return _union(found)
+
+
+def differing_ranges(left: DataFrame, right: DataFrame, levels: int = 6) -> DataFrame:
+    """(first_key, last_key, left_rows, right_rows): ranges of 4096 keys whose rows differ in two digest trees.
+
+    Ranges are compared from the top; below a range that is equal on both sides nothing is.
+    """
+    open_ = None
+    for depth in range(levels, 0, -1):
+        sides = [t.where(F.col("level") == depth).select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("n", "hash")]) for side, t in (("left", left), ("right", right))]
+        if open_ is not None:
+            sides = [s.join(open_, F.shiftright(s["key"], _RANGE_BITS) == open_["above"], "left_semi") for s in sides]
+        differs = sides[0].join(sides[1], "key", "full_outer").where(~F.col("left_hash").eqNullSafe(F.col("right_hash")))
+        open_ = differs.select(F.col("key").alias("above"))
+    rows = lambda side: F.coalesce(f"{side}_n", F.lit(0)).cast("bigint").alias(f"{side}_rows")
+    first = F.shiftleft("key", _RANGE_BITS)
+    return differs.select(first.alias("first_key"), (first + ((1 << _RANGE_BITS) - 1)).alias("last_key"), rows("left"), rows("right"))
+
+
+def table_differences(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """:func:`differing_ranges` of two tables, with as many levels as their keys need."""
+    levels = key_levels(key, left, right)
+    return differing_ranges(digest_tree(left, key, levels), digest_tree(right, key, levels), levels)
+
+
 def combined_digest(digests: DataFrame) -> DataFrame:
     """One digest over all tables: (n_tables, sha256). One row per table goes in."""
     line = F.concat_ws("\0", "table_name", F.col("n_rows").cast("string"), "sha256")
@@ -198,37 +258,57 @@ def combined_digest(digests: DataFrame) -> DataFrame:
     )
 
 
-def tree_digest(files: DataFrame) -> DataFrame:
+def _slot_digests(entries: DataFrame, group: list[str], line: Column, levels: Column, sums: dict[str, Column], passes: int) -> DataFrame:
+    """``group``, the sums and ``hash``: entries in path order, hashed by slots of their path's hash, level by level.
+
+    ``levels`` (of a group) says how many levels of 4096 slots lie above the lists; a group
+    with none is one list.
+    """
+    slots = F.call_function("shiftleft", F.lit(1).cast("bigint"), levels * _RANGE_BITS)
+    members = F.array_sort(F.collect_list(F.struct("path", line.alias("line"))))
+    level = entries.withColumn("levels", levels).groupBy(*group, "levels", F.pmod(F.xxhash64("path"), slots).alias("key")).agg(
+        *[v.alias(k) for k, v in sums.items()], F.sha2(F.array_join(F.transform(members, lambda m: m["line"]), "\n"), 256).alias("hash"))
+    for depth in range(1, passes + 1):
+        counts = F.col("levels") >= depth
+        level = level.groupBy(*group, "levels", F.when(counts, F.shiftright("key", _RANGE_BITS)).otherwise(F.col("key")).alias("up")).agg(
+            *[F.sum(k).alias(k) for k in sums],
+            F.when(counts, _hashed_members(F.collect_list(F.struct("key", "hash")))).otherwise(F.max("hash")).alias("hash")).withColumnRenamed("up", "key")
+    return level.select(*group, *sums, "hash")
+
+
+#: A list of this many entries gets a level of slots above it, and one with 4096 times as many the next.
+_LIST_ROWS = 1 << 22
+_PACKAGE_ROWS = 1 << _RANGE_BITS
+
+
+def tree_digest(files: DataFrame, list_rows: int = _LIST_ROWS) -> DataFrame:
     """(n_files, n_bytes, sha256) of files (path, length, sha256), in path order.
 
-    Paths are spread over 4096 slots by their hash and each slot is hashed in path order.
+    Paths are spread over 4096 slots by their hash, over 4096 times as many for each 4096-fold of
+    ``list_rows`` files, and each slot is hashed in path order; slots are hashed level by level.
     """
-    slot = F.pmod(F.xxhash64("path"), F.lit(1 << _RANGE_BITS))
-    per_slot = files.groupBy(slot.alias("slot")).agg(
-        F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("n_bytes"),
-        F.sha2(
-            F.array_join(F.array_sort(F.collect_list(F.concat_ws("\0", "path", F.col("length").cast("string"), "sha256"))), "\n"),
-            256,
-        ).alias("hash"),
-    )
-    return per_slot.agg(
-        F.sum("n_files").alias("n_files"), F.sum("n_bytes").alias("n_bytes"),
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", "hash"))), lambda s: s["hash"]), "\n"), 256).alias("sha256"),
-    )
+    n, levels = files.count(), 1
+    while n > list_rows << _RANGE_BITS * (levels - 1):
+        levels += 1
+    line = F.concat_ws("\0", "path", F.col("length").cast("string"), "sha256")
+    return _slot_digests(
+        files, [], line, F.lit(levels), {"n_files": F.count(F.lit(1)), "n_bytes": F.sum("length")}, levels,
+    ).select("n_files", "n_bytes", F.col("hash").alias("sha256"))
 
 
-def package_hash(entries: DataFrame) -> DataFrame:
+def package_hash(entries: DataFrame, list_rows: int = _PACKAGE_ROWS) -> DataFrame:
     """Logical hash of each package from its entries (package, path, length, sha256).
 
-    Independent of archive order, compression and time stamps. A package has a bounded
-    number of files.
+    Independent of archive order, compression and time stamps. A package of up to
+    ``list_rows`` entries is one list; a larger one is hashed by slots, in one level up to
+    1024 entries a slot and in two beyond, so its entries are dealt out whatever their number.
     """
-    entry = F.concat_ws("\0", F.octet_length("path").cast("string"), "path", F.col("length").cast("string"), "sha256")
-    return entries.groupBy("package").agg(
-        F.sha2(
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", entry.alias("e")))), lambda x: x["e"]), "\n"), 256
-        ).alias("package_hash")
-    )
+    line = F.concat_ws("\0", F.octet_length("path").cast("string"), "path", F.col("length").cast("string"), "sha256")
+    n = F.col("n_entries")
+    large = entries.groupBy("package").agg(F.count(F.lit(1)).alias("n_entries")).where(n > list_rows).select(
+        "package", F.when(n <= list_rows << 10, 1).otherwise(2).alias("above"))
+    known = entries.join(large, "package", "left")
+    return _slot_digests(known, ["package"], line, F.coalesce("above", F.lit(0)), {}, 2).withColumnRenamed("hash", "package_hash")
 
 
 def set_differences(left: DataFrame, right: DataFrame) -> DataFrame:

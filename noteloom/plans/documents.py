@@ -304,6 +304,14 @@ def table_digest(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def digest_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Which ranges of documents differ once they are redacted and short ones are rejected; keys are packed, eight documents a range."""
+    docs = I.table(spark, d, "documents").select(F.shiftleft("doc_id", 9).alias("key"), "text")
+    hashed = lambda text: F.sha2(text, 256).alias("text_sha256")
+    redacted = docs.where(F.length("text") >= 100).select("key", hashed(texts.redact(F.col("text"))))
+    return quality.table_differences(docs.select("key", hashed(F.col("text"))), redacted, "key")
+
+
 def package_hash(spark: SparkSession, d: str) -> DataFrame:
     """Conversations as packages whose turns are the files."""
     entries = I.table(spark, d, "conversations").select(
@@ -320,7 +328,7 @@ QUERIES = {
         line_units, line_pack, chunk_markdown, chunk_rejects, sentence_coverage, chunk_integrity,
         chunk_index_contiguity, reconstruct_source, expanded_context, dependency_islands, image_overlap_join,
         image_scan, redact_text, question_cleaning, vector_validity, path_check, profile_fingerprint, orphan_rows,
-        table_digest, package_hash,
+        table_digest, digest_ranges, package_hash,
     )
 }
 
@@ -363,6 +371,17 @@ def _level(source: str, key: str) -> str:
     return f"SELECT name, {key} AS k, sum(n) AS n, sha256(string_agg(h, chr(10) ORDER BY k)) AS h FROM {source} GROUP BY 1, 2"
 
 
+_REDACTED = r"""
+WITH r AS (
+  SELECT doc_id, text,
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+      '(?i)\bBearer\s+[^\s,;]+', 'Bearer [REDACTED]', 'g'),
+      '(?i)\bBasic\s+[A-Za-z0-9._~+/=-]+', 'Basic [REDACTED]', 'g'),
+      '(?i)(["'']?(?:api[_-]?key|access[_-]?token|token|secret|authorization)["'']?\s*[:=]\s*["'']?)[^"'',\s}\]]+', '\1[REDACTED]', 'g'),
+      '(://)[^/@\s:]+:[^/@\s]+@', '\1[REDACTED]@', 'g') AS shown
+  FROM documents
+)"""
+
 ORACLES = {
     "kb_doc_counts": f"""WITH {_NOTES}
 SELECT kb_id, count(*) AS n_docs, count(*) FILTER (status = 'ready') AS n_ready FROM notes GROUP BY 1""",
@@ -475,16 +494,7 @@ SELECT doc_id, 1::BIGINT AS ordinal, ref AS source_reference, alt AS alt_text, 0
        'notes/' || ref AS asset_source_path FROM s
 UNION ALL
 SELECT doc_id, 2, '../up.png', 'b', first_end + 1 + length(line) + 22, first_end + 1 + length(line) + 29, 'up.png' FROM s""",
-    "redact_text": r"""
-WITH r AS (
-  SELECT doc_id, text,
-    regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
-      '(?i)\bBearer\s+[^\s,;]+', 'Bearer [REDACTED]', 'g'),
-      '(?i)\bBasic\s+[A-Za-z0-9._~+/=-]+', 'Basic [REDACTED]', 'g'),
-      '(?i)(["'']?(?:api[_-]?key|access[_-]?token|token|secret|authorization)["'']?\s*[:=]\s*["'']?)[^"'',\s}\]]+', '\1[REDACTED]', 'g'),
-      '(://)[^/@\s:]+:[^/@\s]+@', '\1[REDACTED]@', 'g') AS shown
-  FROM documents
-)
+    "redact_text": _REDACTED + """
 SELECT doc_id, shown <> text AS changed, length(shown) AS n_chars, sha256(shown) AS redacted_hash FROM r""",
     "question_cleaning": """SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'empty' WHEN length(trim(text)) > 500 THEN 'too_long' ELSE 'ok' END AS verdict
 FROM conversations""",
@@ -508,6 +518,9 @@ a AS ({_level('(SELECT name, k, n, h FROM r)', 'k >> 12')}),
 b AS ({_level('a', 'k >> 12')}),
 c AS ({_level('b', '0')})
 SELECT name AS table_name, n::BIGINT AS n_rows, h AS sha256 FROM c""",
+    "digest_ranges": _REDACTED + """
+SELECT doc_id >> 3 << 12 AS first_key, (doc_id >> 3 << 12) + 4095 AS last_key, count(*) AS left_rows, count(*) FILTER (length(text) >= 100) AS right_rows
+FROM r GROUP BY doc_id >> 3 HAVING bool_or(shown <> text OR length(text) < 100)""",
     "package_hash": """
 SELECT conv_id AS package, sha256(string_agg(strlen('t' || turn) || chr(0) || 't' || turn || chr(0) || strlen(text) || chr(0) || sha256(text), chr(10) ORDER BY 't' || turn)) AS package_hash
 FROM conversations GROUP BY 1""",

@@ -25,6 +25,52 @@ def test_digest_sees_every_change(spark):
     assert both.n_tables == 2
 
 
+def test_levels_follow_the_keys(spark):
+    assert Q.key_levels("id", spark.range(0)) == Q.key_levels("id", spark.range(4096)) == 1
+    assert Q.key_levels("id", spark.range(4097)) == 2 and Q.key_levels("id", spark.range(-1, 4096)) == 2
+    ends = spark.createDataFrame([(-(1 << 63),), ((1 << 63) - 1,)], "id bigint")
+    assert Q.key_levels("id", ends) == 6
+    packed = spark.range(9000).select(F.shiftleft("id", 27).alias("k"), F.col("id").alias("v"))
+    assert Q.key_levels("k", packed) == 4
+    digest = Q.table_digest(packed, "k", "t").first()
+    assert digest.n_rows == 9000 and digest == Q.table_digest(packed.repartition(5), "k", "t").first()
+    assert digest.sha256 != Q.table_digest(packed.where("v <> 8999"), "k", "t").first().sha256
+
+
+def test_differing_ranges(spark):
+    left = spark.range(-5000, 60000).select(F.shiftleft("id", 3).alias("k"), (F.col("id") % 7).alias("v"))
+    changed = (-5000, 3, 8, 511, 512, 40000)
+    right = left.where(~F.col("k").isin([8 * 9000, 8 * 59999])).withColumn("v", F.when(F.col("k").isin([8 * c for c in changed]), -1).otherwise(F.col("v"))).unionByName(
+        spark.createDataFrame([(1 << 40, 1)], left.schema))
+    got = sorted(tuple(r) for r in Q.table_differences(left, right, "k").collect())
+    a, b = ({r.k: r.v for r in t.collect()} for t in (left, right))
+    bad = {k >> 12 for k in a.keys() | b.keys() if a.get(k) != b.get(k)}
+    want = [(g << 12, (g << 12) + 4095, sum(k >> 12 == g for k in a), sum(k >> 12 == g for k in b)) for g in sorted(bad)]
+    assert got == want
+    assert Q.table_differences(left, left.repartition(3), "k").count() == 0
+    empty = left.limit(0)
+    assert Q.table_differences(empty, empty, "k").count() == 0
+    assert Q.table_differences(empty, left.where("k = 8"), "k").collect() == [(0, 4095, 0, 1)]
+
+
+def test_packages_of_any_size(spark):
+    files = spark.range(20000).select(
+        F.when(F.col("id") < 19000, 1).otherwise(F.col("id") % 3 + 2).alias("package"), F.concat(F.lit("p"), "id").alias("path"),
+        F.col("id").alias("length"), F.sha2(F.col("id").cast("string"), 256).alias("sha256"))
+    of = lambda df, **k: {r.package: r.package_hash for r in Q.package_hash(df, **k).collect()}
+    base = of(files)
+    assert len(base) == 4 and base == of(files.repartition(7))
+    for rows in (4, 4096):  # two levels, one level
+        once, other = of(files, list_rows=rows), of(files.where("path <> 'p77'"), list_rows=rows)
+        assert {p for p in once if once[p] != other[p]} == {1}
+    flat = of(files, list_rows=1 << 20)
+    assert {p: h for p, h in flat.items() if p != 1} == {p: h for p, h in base.items() if p != 1} and flat[1] != base[1]
+    tree = lambda df, **k: Q.tree_digest(df, **k).first()
+    for rows in (1000, 1 << 22):
+        assert tree(files, list_rows=rows) == tree(files.repartition(5), list_rows=rows) != tree(files.where("path <> 'p77'"), list_rows=rows)
+        assert tree(files, list_rows=rows)[:2] == (20000, 19999 * 10000)
+
+
 def test_catalogue_problems(spark):
     rec = "struct<path:string,content_hash:string,char_count:bigint,size:bigint,mtime_ns:bigint>"
     bases = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b")], "kb_id bigint, name string")
