@@ -32,6 +32,21 @@ class RunningTopK:
             n = len(best)
             self.scores[q, :n], self.ids[q, :n], self.filled[q] = s[best], i[best], n
 
+    def merge(self, question: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Merge single candidates: an id and a score for a question, in any order."""
+        touched = np.unique(question)
+        held = np.arange(self.k)[None, :] < self.filled[touched][:, None]
+        q = np.concatenate([np.repeat(touched, self.filled[touched]), question])
+        i = np.concatenate([self.ids[touched][held], ids])
+        s = np.concatenate([self.scores[touched][held], scores])
+        order = np.lexsort((i, -s, q))
+        q, i, s = q[order], i[order], s[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q, side="left")
+        kept = place < self.k
+        q, place = q[kept], place[kept]
+        self.scores[q, place], self.ids[q, place] = s[kept], i[kept]
+        self.filled[touched] = np.bincount(q, minlength=len(self.filled))[touched]
+
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Question index, id and score of everything kept."""
         taken = np.arange(self.k)[None, :] < self.filled[:, None]

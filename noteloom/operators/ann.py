@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noteloom import settings as S
-from noteloom.functions.topk import RunningTopK
-from noteloom.operators.retrieval import SCORE_DIGITS, _matrix
+from noteloom.functions.nearest import NearestVectors
+from noteloom.operators.retrieval import _matrix
 from noteloom.operators.scoring import merge_top, score_all
 
 _SEED = 7
@@ -79,30 +79,20 @@ def _cell_kernel(planes: np.ndarray, probes: int, top_n: int):
     def kernel(questions: pa.Table, batches: Iterator[pa.RecordBatch]):
         query = _matrix(questions["embedding"], "questions")
         ids = questions["question_id"].to_numpy()
-        norms = np.sqrt((query * query).sum(axis=1))
         askers: dict[int, list[int]] = {}
-        for q, projection in enumerate(query @ planes):
+        for q, projection in enumerate(query @ planes if len(query) else []):
             for cell in probed_cells(projection, probes):
                 askers.setdefault(cell, []).append(q)
-        best = RunningTopK(len(ids), top_n)
+        who = {cell: np.array(q) for cell, q in askers.items()}
+        best = NearestVectors(query, top_n)
         for batch in batches:
             cells = batch.column("cell").to_numpy()
             vectors = _matrix(batch.column("embedding"), "chunks") if batch.num_rows else np.zeros((0, len(planes)))
             chunk_ids = batch.column("chunk_id").to_numpy()
             for cell in np.unique(cells):
-                who = askers.get(int(cell))
-                if not who:
-                    continue
-                rows = np.flatnonzero(cells == cell)
-                block = vectors[rows]
-                scale = np.sqrt((block * block).sum(axis=1))[:, None] * norms[who][None, :]
-                products = block @ query[who].T
-                part = np.divide(products, scale, out=np.zeros_like(products), where=scale > 0)
-                scores = np.zeros((len(rows), len(ids)))
-                allowed = np.zeros((len(rows), len(ids)), dtype=bool)
-                scores[:, who] = np.round(np.clip(part, -1.0, 1.0), SCORE_DIGITS)
-                allowed[:, who] = True
-                best.update(scores, chunk_ids[rows], allowed)
+                if int(cell) in who:
+                    rows = np.flatnonzero(cells == cell)
+                    best.update(vectors[rows], chunk_ids[rows], who[int(cell)])
         q, chunk, score = best.rows()
         yield ids[q], chunk, score
 

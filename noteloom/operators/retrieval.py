@@ -17,16 +17,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteloom import settings as S
+from noteloom.functions.nearest import SCORE_DIGITS, NearestVectors  # noqa: F401
 from noteloom.functions.topk import RunningTopK
 from noteloom.operators.postings import Postings, bm25_hits, build_postings, folded_grams, gram_statistics, word_hits
 from noteloom.session import checkpointed
 from noteloom.operators.scoring import MAX_BROADCAST_QUESTIONS, STRIPE_ROWS, merge_top, score_all
 
-# Scores are compared after rounding to this many digits, so that equal texts and
-# equal vectors tie exactly and the id decides, whatever order sums were taken in.
-SCORE_DIGITS = 9
-
-
 def _in_scope(questions: pa.Table, batch: pa.RecordBatch) -> np.ndarray:
     """``[row, question]``: the question covers all knowledge bases or this row's."""
     shape = (batch.num_rows, questions.num_rows)
@@ -60,23 +56,39 @@ def _matrix(column: pa.ChunkedArray | pa.Array, what: str) -> np.ndarray:
     return out
 
 
+def _scope_codes(questions: pa.Table, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray] | None:
+    """Numbers of the bases that questions ask (-1 for all) and that rows lie in; None if no question names one."""
+    if "kb_id" not in questions.column_names or "kb_id" not in batch.schema.names:
+        return None
+    wanted = questions["kb_id"].to_pylist()
+    if all(w is None for w in wanted):
+        return None
+    have = batch.column("kb_id").dictionary_encode()
+    place = {v: i for i, v in enumerate(have.dictionary.to_pylist())}
+    asked = np.array([-1 if w is None else place.get(w, -2) for w in wanted], dtype=np.int32)
+    return asked, have.indices.fill_null(-3).to_numpy(zero_copy_only=False).astype(np.int32)
+
+
 def _vector_kernel(top_n: int):
     def kernel(questions: pa.Table, batches: Iterator[pa.RecordBatch]):
         query = _matrix(questions["embedding"], "questions")
-        query_norm = (query * query).sum(axis=1)
         ids = questions["question_id"].to_numpy()
-        best = RunningTopK(len(ids), top_n)
+        best = NearestVectors(query, top_n)
         for batch in batches:
             if batch.num_rows == 0 or len(ids) == 0:
                 continue
             vectors = _matrix(batch.column("embedding"), "chunks")
             if vectors.shape[1] != query.shape[1]:
                 raise ValueError("question and chunk vectors differ in dimension; rebuild the index")
-            norms = np.sqrt((vectors * vectors).sum(axis=1)[:, None] * query_norm[None, :])
-            products = vectors @ query.T
-            similarity = np.divide(products, norms, out=np.zeros_like(products), where=norms > 0)
-            similarity = np.round(np.clip(similarity, -1.0, 1.0), SCORE_DIGITS)
-            best.update(similarity, batch.column("chunk_id").to_numpy(), _in_scope(questions, batch))
+            chunk_ids = batch.column("chunk_id").to_numpy()
+            codes = _scope_codes(questions, batch)
+            if codes is None:
+                best.update(vectors, chunk_ids)
+                continue
+            asked, base = codes
+            for code in np.intersect1d(asked, np.append(base, -1)):
+                rows = slice(None) if code == -1 else base == code
+                best.update(vectors[rows], chunk_ids[rows], np.flatnonzero(asked == code))
         q, chunk, score = best.rows()
         yield ids[q], chunk, score
 

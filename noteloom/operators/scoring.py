@@ -7,7 +7,8 @@ leave a task. Two plans give the same result:
   checked first, goes to all tasks, and the chunk scan keeps a running top-k. Nothing
   but ``questions x k`` rows per task is shuffled.
 * A batch above the bound is cut into slices and the chunk table into stripes. Each
-  (slice, stripe) cell is one bounded unit of work.
+  (slice, stripe) cell is one bounded unit of work. A row is sent once for each slice or stripe
+  of the other side, so both are as large as a task can hold.
 """
 
 from __future__ import annotations
@@ -21,7 +22,10 @@ from pyspark.sql import functions as F
 
 MAX_BROADCAST_QUESTIONS = 2048
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-STRIPE_ROWS = 20_000
+STRIPE_ROWS = 65_536
+#: A slice of the grid holds so many batches of the usual plan: it is read in one task, not sent to all.
+_SLICE_BATCHES = 16
+_SLICE_BYTES = 32 * 1024 * 1024
 
 SCORE_SCHEMA = "question_id bigint, chunk_id bigint, score double"
 _ARROW_SCHEMA = pa.schema(
@@ -61,9 +65,11 @@ def score_all(
 
         return chunks.mapInArrow(scan, SCORE_SCHEMA)
 
-    per_slice = max(1, min(max_questions, int(max_questions * MAX_BROADCAST_BYTES / max(head.nbytes, 1))))
+    per_slice = max(1, min(_SLICE_BATCHES * max_questions, int(head.num_rows * _SLICE_BYTES / max(head.nbytes, 1))))
     slices = math.ceil(questions.count() / per_slice)
     stripes = max(1, math.ceil(chunks.count() / stripe_rows))
+    # Few cells leave cores idle; more stripes of a small table cost little.
+    stripes = max(stripes, math.ceil(2 * chunks.sparkSession.sparkContext.defaultParallelism / slices))
     q = questions.withColumn("_slice", F.pmod(F.xxhash64("question_id"), F.lit(slices))).withColumn(
         "_stripe", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1)).cast("array<bigint>"))
     )
