@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteloom import settings as S
-from noteloom.operators.retrieval import SCORE_DIGITS, _matrix
+from noteloom.functions.nearest import NearestVectors
+from noteloom.operators.retrieval import _matrix
 
 
 def _checked(max_chunks: int | None) -> int | None:
@@ -38,21 +39,28 @@ def chunk_pool(chunks: DataFrame, max_chunks: int) -> DataFrame:
     )
 
 
+#: A base of a few blocks is dealt into more, so that it is not left to a few tasks.
+_SMALL_BLOCK = 2048
+
+
+def blocks_of(rows: Column, block_rows: int) -> Column:
+    """Into how many blocks a base of so many rows is dealt; each row is sent to every block of its base."""
+    return F.greatest(F.ceil(rows / block_rows), F.least(F.ceil(rows / _SMALL_BLOCK), F.lit(4))).cast("int")
+
+
 def _nearest(top_k: int):
     names = ["source_chunk", "target_chunk", "source_doc", "target_doc", "similarity"]
 
     def nearest(sources: pa.Table, targets: pa.Table) -> pa.Table:
         (a, of_a, x), (b, of_b, y) = (
             (t["chunk_id"].to_numpy(), t["doc_id"].to_numpy(), _matrix(t["embedding"], "graph") if t.num_rows else np.zeros((0, 0))) for t in (sources, targets))
-        picked: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        norm = np.sqrt((y * y).sum(axis=1)) if len(b) else None
-        for i in range(len(a) if len(b) else 0):
-            scale = norm * np.sqrt((x[i] * x[i]).sum())
-            value = np.round(np.clip(np.divide(y @ x[i], scale, out=np.zeros(len(b)), where=scale > 0), -1.0, 1.0), SCORE_DIGITS)
-            others = np.flatnonzero(of_b != of_a[i])
-            best = others[np.lexsort((b[others], -value[others]))[:top_k]]
-            picked.append((np.full(len(best), i), best, value[best]))
-        s, t, v = (np.concatenate(c) for c in zip(*picked)) if picked else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        order = np.argsort(b, kind="stable")
+        best = NearestVectors(x, top_k)
+        if len(a) and len(b):
+            # Targets by their places in the order of ids: ties go to the smaller id.
+            best.update(y[order], np.arange(len(b)), allowed=lambda q, rows: of_a[q][:, None] != of_b[order][None, rows])
+        s, t, v = best.rows()
+        t = order[t]
         return pa.Table.from_arrays([pa.array(c) for c in (a[s], b[t], of_a[s], of_b[t], v)], names=names)
 
     return nearest
@@ -60,20 +68,20 @@ def _nearest(top_k: int):
 
 def graph_pairs(
     chunks: DataFrame, top_k: int = S.GRAPH_TOP_K, min_similarity: float = S.GRAPH_MIN_SIMILARITY,
-    max_chunks: int | None = None, block_rows: int = 2048,
+    max_chunks: int | None = None, block_rows: int = 16_384,
 ) -> DataFrame:
     """Nearest chunks of other documents of the same base; the threshold applies after the top-k.
 
     All chunks take part, or the pool of ``max_chunks`` per base. Each base is dealt into blocks
-    of about ``block_rows``; a task compares one block with one other and keeps ``top_k`` of
-    each chunk, and the best of all blocks are kept at the end. The search is exact, so its
+    of about ``block_rows``, a smaller one into a few of 2048; a task compares one block with one other and keeps
+    ``top_k`` of each chunk, and the best of all blocks are kept at the end. The search is exact, so its
     work grows with the square of a base; use :mod:`ann` cells where that is too much.
     """
     if block_rows <= 0:
         raise ValueError("block_rows must be greater than zero")
     pool = chunks if _checked(max_chunks) is None else chunk_pool(chunks, max_chunks)
     pool = pool.select("kb_id", "chunk_id", "doc_id", "embedding")
-    blocks = pool.groupBy("kb_id").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+    blocks = pool.groupBy("kb_id").agg(blocks_of(F.count(F.lit(1)), block_rows).alias("blocks"))
     dealt = pool.join(blocks, "kb_id").withColumn("own", F.pmod(F.xxhash64("chunk_id"), F.col("blocks")).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = ["kb_id", "chunk_id", "doc_id", "embedding"]
