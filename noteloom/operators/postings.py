@@ -38,7 +38,9 @@ GRAM_FOLDERS = 16
 BLOCK_CHUNKS = 16384
 #: A bucket of fewer chunks is not worth its files.
 MIN_BUCKET_CHUNKS = 2048
-#: Questions of one pass over the index, so that their weights stay a small matrix.
+#: A task writes or reads about so many blocks at most, so that it sorts their rows in memory.
+BUCKET_BLOCKS = 2
+#: Questions of one pass over the index, so that their sums over a block stay a small matrix.
 PASS_QUESTIONS = 256
 _SLICE = 512
 _COLUMNS = ("block", "gram", "places", "tf", "chunk_ids", "lengths", "kb_ids")
@@ -90,18 +92,34 @@ def folder_of(gram: Column, folders: int) -> Column:
 _WORD = re.compile(r"[^\W_]+")
 
 
-def _windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The row and the three code points of every window, renumbered to the few in use; and those."""
-    points = np.frombuffer(("\0".join(texts) + "\0\0\0").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+def _windows(texts: list[str], whole_words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A number for the three code points and the text of every window, and the code points in use.
+
+    The number is ``((a * n + b) * n + c) * m + text`` with places a, b, c among the n code points in use
+    and m texts. Windows over a NUL do not count if ``whole_words``.
+    """
+    points = np.frombuffer("\0".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     used = np.zeros(int(points.max(initial=0)) + 1, dtype=bool)
     used[points] = True
-    code = (np.cumsum(used) - 1)[points]
-    lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    windows = np.maximum(lengths - 2, 0)
-    row = np.repeat(np.arange(len(texts)), windows)
-    starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]) - np.concatenate([[0], np.cumsum(windows)[:-1]])
-    at = np.repeat(starts, windows) + np.arange(len(row))
-    return row, np.stack([code[at], code[at + 1], code[at + 2]]), np.flatnonzero(used)
+    alphabet = np.flatnonzero(used)
+    n, m = max(len(alphabet), 1), len(texts)  # a block is small, so a trigram and a text fit one number
+    code = (np.cumsum(used, dtype=np.int32) - 1)[points]
+    text = np.repeat(np.arange(m, dtype=np.int32), np.fromiter((len(t) + 1 for t in texts), np.int64, m))[:len(code)]
+    last = max(len(code) - 2, 0)
+    inside = text[:last] == text[2:]
+    at = np.cumsum(np.bincount(text, minlength=m))[:-1] - 1  # the NUL after each text but the last
+    for k in range(3):
+        inside[(at - k)[(at >= k) & (at - k < last)]] = False
+    if whole_words:
+        blank = points == 0
+        inside &= ~(blank[:last] | blank[1:last + 1] | blank[2:])
+    number = code[:last].astype(np.int64)
+    for k in (1, 2):
+        number *= n
+        number += code[k:last + k]
+    number *= m
+    number += text[:last]
+    return number[inside], alphabet
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,12 +136,8 @@ def _index_block(kind: str, schema: pa.Schema) -> Callable[[pa.Table], pa.Table]
         texts, ids = table["text"].to_pylist(), table["chunk_id"].to_numpy()
         if kind == "words":  # blanks around each word; windows over the NUL between words do not count
             texts = ["\0".join(f"  {w} " for w in dict.fromkeys(_WORD.findall(t))) for t in texts]
-        row, codes, alphabet = _windows(texts)
-        if kind == "words":
-            inside = (alphabet[codes] > 0).all(axis=0)
-            row, codes = row[inside], codes[:, inside]
-        n, m = max(len(alphabet), 1), len(ids)  # a block is small, so a trigram and a row fit one number
-        pair = ((codes[0] * n + codes[1]) * n + codes[2]) * m + row
+        pair, alphabet = _windows(texts, kind == "words")
+        n, m = max(len(alphabet), 1), len(ids)
         pair.sort()
         first, tf = _runs(pair)
         gram, row = pair[first] // m, pair[first] % m
@@ -166,14 +180,15 @@ def build_postings(
     """Write the index of ``chunks`` (chunk_id, content, and kb_id if there are several bases).
 
     ``buckets`` is the number of scan tasks, by default that of shuffle partitions, or fewer for a
-    small table; blocks hold about ``block_chunks`` chunks. The statistics are counted from the written postings.
+    small table and more for one whose buckets would hold many blocks; blocks hold about ``block_chunks`` chunks. The statistics are counted from the written postings.
     """
     if kind not in ("text", "words"):
         raise ValueError("kind must be 'text' or 'words'")
     spark = chunks.sparkSession
     path = path or f"{checkpoint_root(spark)}/postings-{uuid.uuid4().hex}"
     n = chunks.count()
-    buckets = buckets or max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // MIN_BUCKET_CHUNKS)))
+    fewest = -(-n // (BUCKET_BLOCKS * block_chunks))
+    buckets = buckets or max(1, fewest, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // MIN_BUCKET_CHUNKS)))
     blocks = max(buckets, -(-n // block_chunks))
     block = F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int")
     schema = pa.schema([
@@ -228,13 +243,14 @@ def folded_grams(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class _Asked:
-    """The questions of one pass: their trigrams as a matrix of weights, their bases and sizes."""
+    """The questions of one pass: their trigrams with who asks them, their bases and sizes."""
 
     ids: np.ndarray
     kb_ids: list[str | None]
     grams: dict[str, int]
     worth: np.ndarray  # of each trigram
-    weights: np.ndarray  # [trigram, question]
+    askers: list[list[tuple[int, float]]]  # of each trigram: the questions and how often they ask it
+    sizes: np.ndarray  # of each question: its trigrams with their times
 
     def scope(self, kb_ids: list[str | None]) -> np.ndarray:
         """[chunk, question]: the question covers all bases or the chunk's."""
@@ -259,25 +275,30 @@ def _score_block(asked: _Asked, top_n: int, values: Values, scores: Scores) -> C
         lengths = table["lengths"][head].values.to_numpy()
         kb_ids = table["kb_ids"][head].as_py()
         lists = table["places"].combine_chunks()
-        column = np.repeat([asked.grams.get(g, 0) for g in grams], np.diff(lists.offsets.to_numpy()))
+        column = np.array([asked.grams.get(g, 0) for g in grams])
+        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         place, tf = lists.flatten().to_numpy(), table["tf"].combine_chunks().flatten().to_numpy()
-        order = np.argsort(place, kind="stable")
-        place, column, tf = place[order], column[order], tf[order]
-        value = values(tf, lengths[place], asked.worth[column])
+        value = values(tf, lengths[place], np.repeat(np.append(asked.worth, 0.0)[column], np.diff(offsets)))
+
+        def summed(of: np.ndarray) -> np.ndarray:
+            """[question, chunk]: whole numbers, so the order of the lists is of no matter."""
+            sums = np.zeros((len(asked.ids), len(ids)))
+            for gram, start, stop in zip(column.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                if start == stop:
+                    continue
+                at, worth = place[start:stop], of[start:stop]
+                for q, times in asked.askers[gram]:
+                    sums[q, at] += worth if times == 1 else times * worth  # a chunk is once in a list
+            return sums
+
+        sums = summed(value)
+        # A match can be worth nothing after rounding and is still a match.
+        matched = sums > 0 if value.all() else summed(np.ones(len(value))) > 0
         best = RunningTopK(len(asked.ids), top_n)
         for start in range(0, len(ids), _SLICE):
-            stop = min(start + _SLICE, len(ids))
-            a, b = np.searchsorted(place, [start, stop])
-            cells = np.zeros((stop - start, len(asked.worth)))
-            cells[place[a:b] - start, column[a:b]] = value[a:b]
-            sums = cells @ asked.weights
-            if value[a:b].all():
-                matched = sums > 0
-            else:  # a match can be worth nothing after rounding and is still a match
-                cells[place[a:b] - start, column[a:b]] = 1
-                matched = cells @ asked.weights > 0
-            result, accepted = scores(sums, lengths[start:stop])
-            best.update(result, ids[start:stop], matched & accepted & asked.scope(kb_ids[start:stop]))
+            part = slice(start, start + _SLICE)
+            result, accepted = scores(sums[:, part].T, lengths[part])
+            best.update(result, ids[part], matched[:, part].T & accepted & asked.scope(kb_ids[part]))
         q, found, result = best.rows()
         return pa.Table.from_arrays(
             [pa.array(asked.ids[q], pa.int64()), pa.array(found, pa.int64()), pa.array(result, pa.float64())], schema=_HITS)
@@ -305,11 +326,15 @@ def _passes(
         grams = {g: k for k, g in enumerate(sorted(set(weighted["gram"])))}
         of = weighted.drop_duplicates("question_id").set_index("question_id")["kb_id"]
         place = {q: k for k, q in enumerate(of.index)}
-        weights, value = np.zeros((len(grams), len(place))), np.zeros(len(grams))
+        value, sizes = np.zeros(len(grams)), np.zeros(len(place))
         columns = weighted["gram"].map(grams).to_numpy(dtype=np.int64)
-        weights[columns, weighted["question_id"].map(place).to_numpy(dtype=np.int64)] = weighted["times"]
+        rows_of = weighted["question_id"].map(place).to_numpy(dtype=np.int64)
         value[columns] = weighted["worth"]
-        batch = _Asked(of.index.to_numpy(), of.astype(object).where(of.notna(), None).tolist(), grams, value, weights)
+        askers: list[list[tuple[int, float]]] = [[] for _ in grams]
+        for g, q, times in zip(columns.tolist(), rows_of.tolist(), weighted["times"].tolist(), strict=True):
+            askers[g].append((q, float(times)))
+            sizes[q] += times
+        batch = _Asked(of.index.to_numpy(), of.astype(object).where(of.notna(), None).tolist(), grams, value, askers, sizes)
         # A pass has a bounded number of questions, so its folders and trigrams are few.
         used = F.col("folder").isin(sorted({postings.head_folder, *map(int, weighted["folder"])}))
         names = postings.spark.createDataFrame([(g,) for g in ("", *grams)], "gram string")
@@ -349,7 +374,7 @@ def word_hits(
     each = F.transform(G.word_grams(F.col("text")), lambda g: F.struct(g.alias("gram"), F.lit(1).cast("bigint").alias("times")))
 
     def scores(asked: _Asked) -> Scores:
-        sizes = asked.weights.sum(axis=0)
+        sizes = asked.sizes
 
         def similarity(shared: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             union = lengths[:, None] + sizes[None, :] - shared
