@@ -43,6 +43,8 @@ BUCKET_BLOCKS = 2
 #: Questions of one pass over the index, so that their sums over a block stay a small matrix.
 PASS_QUESTIONS = 256
 _SLICE = 512
+#: A list that holds more than this part of its block is added as a whole row.
+_DENSE = 8
 _COLUMNS = ("block", "gram", "places", "tf", "chunk_ids", "lengths", "kb_ids")
 _ROWS = "block int, gram string, places array<int>, tf array<int>, chunk_ids array<bigint>, lengths array<int>, kb_ids array<string>"
 _HITS = pa.schema([("question_id", pa.int64()), ("chunk_id", pa.int64()), ("score", pa.float64())])
@@ -249,7 +251,7 @@ class _Asked:
     kb_ids: list[str | None]
     grams: dict[str, int]
     worth: np.ndarray  # of each trigram
-    askers: list[list[tuple[int, float]]]  # of each trigram: the questions and how often they ask it
+    askers: list[tuple[np.ndarray, np.ndarray]]  # of each trigram: the questions and how often they ask it
     sizes: np.ndarray  # of each question: its trigrams with their times
 
     def scope(self, kb_ids: list[str | None]) -> np.ndarray:
@@ -286,9 +288,16 @@ def _score_block(asked: _Asked, top_n: int, values: Values, scores: Scores) -> C
             for gram, start, stop in zip(column.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 if start == stop:
                     continue
-                at, worth = place[start:stop], of[start:stop]
-                for q, times in asked.askers[gram]:
-                    sums[q, at] += worth if times == 1 else times * worth  # a chunk is once in a list
+                who, times = asked.askers[gram]
+                at, worth = place[start:stop], of[start:stop]  # a chunk is once in a list
+                if len(who) > 1 and _DENSE * len(at) > len(ids):
+                    row = np.zeros(len(ids))
+                    row[at] = worth
+                    for q, n in zip(who.tolist(), times.tolist(), strict=True):
+                        sums[q] += row if n == 1 else n * row
+                else:
+                    for q, n in zip(who.tolist(), times.tolist(), strict=True):
+                        sums[q, at] += worth if n == 1 else n * worth
             return sums
 
         sums = summed(value)
@@ -330,10 +339,11 @@ def _passes(
         columns = weighted["gram"].map(grams).to_numpy(dtype=np.int64)
         rows_of = weighted["question_id"].map(place).to_numpy(dtype=np.int64)
         value[columns] = weighted["worth"]
-        askers: list[list[tuple[int, float]]] = [[] for _ in grams]
-        for g, q, times in zip(columns.tolist(), rows_of.tolist(), weighted["times"].tolist(), strict=True):
-            askers[g].append((q, float(times)))
-            sizes[q] += times
+        times = weighted["times"].to_numpy(dtype=np.float64)
+        np.add.at(sizes, rows_of, times)
+        order = np.argsort(columns, kind="stable")
+        ends = np.searchsorted(columns[order], np.arange(1, len(grams)))
+        askers = list(zip(np.split(rows_of[order], ends), np.split(times[order], ends), strict=True))
         batch = _Asked(of.index.to_numpy(), of.astype(object).where(of.notna(), None).tolist(), grams, value, askers, sizes)
         # A pass has a bounded number of questions, so its folders and trigrams are few.
         used = F.col("folder").isin(sorted({postings.head_folder, *map(int, weighted["folder"])}))
