@@ -18,8 +18,9 @@ The texts of the others meet by rare shingles: the similarity of two texts is at
 threshold t both shares reach t, and one of them 2 t / (1 + t). In any order of all shingles, the
 first common one therefore lies among the first shingles that hold just over 1 - t of the weight of
 both texts, and just over (1 - t) / (1 + t) of one of them. With the rarest first, passages that
-many texts share bring nobody together. Texts that meet and are in different classes are verified
-exactly on their whole texts: first the pair of any two classes that meets most often, then all
+many texts share bring nobody together. Texts that meet and are in different classes are compared by
+parity sketches of all their shingles, which bound the similarity from above, and those that may reach
+the threshold are verified exactly on their whole texts: first the pair of any two classes that meets most often, then all
 other pairs of those classes that it does not link. So two texts that share a bucket are compared,
 or cannot reach the threshold, or are in one class.
 """
@@ -42,6 +43,8 @@ from noteloom.llm.common import byte_slices, stored
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: What sums of floating-point numbers may fall short of a similarity that equals the threshold.
 _ROUNDING = 1e-9
+#: Bits of a text's parity sketch, and how many pairs of sketches are compared at a time.
+_SKETCH_BITS, _SKETCH_PAIRS = 2048, 1 << 15
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -186,7 +189,7 @@ def text_bands(docs: DataFrame, settings: Settings) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in byte_slices(batch, "text"):
+            for part in byte_slices(batch, "text", 1 << 20):
                 coded = pc.dictionary_encode(pc.fill_null(part.column("text"), ""))  # copies are signed once
                 texts = len(coded.dictionary)
                 doc, value, weight = weighted_shingles(coded.dictionary, settings.words)
@@ -220,7 +223,7 @@ def verified(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFram
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (p for some in byte_slices(batch, "text_a") for p in byte_slices(some, "text_b")):
+            for part in (p for some in byte_slices(batch, "text_a", 1 << 20) for p in byte_slices(some, "text_b", 1 << 20)):
                 value = similarities(part.column("text_a"), part.column("text_b"), settings.words)
                 near = pa.array(value >= settings.threshold - _ROUNDING)
                 yield pa.RecordBatch.from_arrays(
@@ -267,24 +270,67 @@ def open_texts(bands: DataFrame, classes: DataFrame) -> DataFrame:
     return stored(keys.join(mixed, "key", "left_semi").select("doc_id", "class_id").distinct(), "open")
 
 
-def rare_shingles(texts: DataFrame, settings: Settings) -> DataFrame:
-    """(shingle, doc_id, short): the rare shingles by which texts that reach the threshold must meet.
+def parity_sketches(doc: np.ndarray, shingle: np.ndarray, docs: int) -> np.ndarray:
+    """For each text, which of ``_SKETCH_BITS`` classes of shingles hold an odd number of its shingles, as packed bits."""
+    cell, n = np.unique(doc * _SKETCH_BITS + (shingle % np.uint64(_SKETCH_BITS)).astype(np.int64), return_counts=True)
+    cell = cell[n % 2 == 1]
+    packed = np.zeros(docs * _SKETCH_BITS // 8, dtype=np.uint8)
+    np.bitwise_or.at(packed, cell >> 3, (1 << (cell & 7)).astype(np.uint8))
+    return packed.reshape(docs, -1)
+
 
-    Of each text, rarest first, those that hold just over ``1 - t`` of its weight; ``short`` marks
-    those that hold just over ``(1 - t) / (1 + t)``. Shingles that one text has alone come first,
-    bring nobody together, and are counted by their weight only.
+def sketches_may_reach(sketch: np.ndarray, many: np.ndarray, total: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the texts ``x`` and ``y`` of each pair can reach the threshold, by their parity sketches.
+
+    Every class of different parity holds a shingle of one text alone, and a shingle weighs 1 at least.
+    So the number of differing bits bounds from below what each text has alone, and thereby from above
+    the shares of the weights on common shingles. No pair that reaches the threshold is refused.
     """
-    t = settings.threshold
+    words = np.ascontiguousarray(sketch).view(np.uint64)
+    out = np.empty(len(x), dtype=bool)
+    for start in range(0, len(x), _SKETCH_PAIRS):
+        i, j = x[start:start + _SKETCH_PAIRS], y[start:start + _SKETCH_PAIRS]
+        differ = np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int64)
+        more = many[i] - many[j]
+        p, q = (np.maximum(0.0, 1 - np.maximum(0, differ + d) / 2 / total[k]) for k, d in ((i, more), (j, -more)))
+        # 1 / (1 / p + 1 / q - 1) without a division by zero; texts that have nothing in common are not similar
+        out[start:start + _SKETCH_PAIRS] = (p * q > 0) & (p * q >= (threshold - _ROUNDING) * (p + q - p * q))
+    return out
+
+
+def text_shingles(texts: DataFrame, settings: Settings) -> DataFrame:
+    """doc_id, the shingles of its text with their shares of its weight, their number, their weight and their parity sketch."""
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(batch, "text", 1 << 20):
                 doc, value, weight = weighted_shingles(part.column("text"), settings.words)
-                share = weight / np.bincount(doc, weights=weight, minlength=part.num_rows)[doc]
+                docs = part.num_rows
+                many, total = np.bincount(doc, minlength=docs), np.bincount(doc, weights=weight, minlength=docs)
+                bounds = pa.array(np.append(0, np.cumsum(many)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(doc)), pa.array(value.view(np.int64)), pa.array(share)], ["doc_id", "shingle", "share"])
+                    [part.column("doc_id"), pa.ListArray.from_arrays(bounds, pa.array(value.view(np.int64))), pa.ListArray.from_arrays(bounds, pa.array(weight / total[doc])),
+                     pa.array(many.astype(np.int64)), pa.array(total), pa.array([r.tobytes() for r in parity_sketches(doc, value, docs)], pa.binary())],
+                    ["doc_id", "shingles", "shares", "many", "total", "sketch"])
+
+    return texts.select("doc_id", "text").mapInArrow(
+        shares, "doc_id bigint, shingles array<bigint>, shares array<double>, many bigint, total double, sketch binary")
+
+
+def rare_shingles(texts: DataFrame, settings: Settings) -> DataFrame:
+    """(shingle, doc_id, short): the rare shingles by which texts that reach the threshold must meet."""
+    return rarest(stored(text_shingles(texts, settings), "shingles"), settings)
 
-    rows = stored(texts.select("doc_id", "text").mapInArrow(shares, "doc_id bigint, shingle bigint, share double"), "shares")
+
+def rarest(shingled: DataFrame, settings: Settings) -> DataFrame:
+    """(shingle, doc_id, short): of each text, rarest first, the shingles that hold just over ``1 - t`` of its weight.
+
+    ``short`` marks those that hold just over ``(1 - t) / (1 + t)``. Shingles that one text has alone
+    come first, bring nobody together, and are counted by their weight only.
+    """
+    t = settings.threshold
+    rows = shingled.select("doc_id", F.explode(F.arrays_zip("shingles", "shares")).alias("s")).select(
+        "doc_id", F.col("s.shingles").alias("shingle"), F.col("s.shares").alias("share"))
     counts = rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
     ranked = Window.partitionBy("doc_id").orderBy("n", "shingle").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # What comes before a shingle is the whole less the weight of all that follow it, itself included.
@@ -304,13 +350,14 @@ def cell_pairs(ids: np.ndarray, classes: np.ndarray, short: np.ndarray, block: n
     return np.column_stack([left[i], right[j]])
 
 
-def rare_pairs(members: DataFrame, rare: DataFrame, settings: Settings) -> DataFrame:
+def rare_pairs(members: DataFrame, rare: DataFrame, sketches: DataFrame, settings: Settings) -> DataFrame:
     """(a, b, low, high, n): texts of different classes ``low`` and ``high`` that meet by n groups of rare shingles.
 
     Texts that share a rare shingle are dealt out in blocks of three kinds: those of the largest
     class for which it is short, those of other classes for which it is short, and the rest. Blocks
     meet in cells, except that blocks of the first kind do not meet each other, nor do those of the rest.
-    Of several shingles that bring the same texts together one is kept. No text moves.
+    Of several shingles that bring the same texts together one is kept. No text moves; the parity
+    ``sketches`` (doc_id, many, total, sketch) do, and pairs that they refuse do not leave their cell.
     """
     rare = stored(rare.join(members, "doc_id").select("shingle", "doc_id", "short", "class_id"), "rare")
     sums = [F.sum(F.xxhash64("doc_id", "short", F.lit(k)).cast("decimal(20,0)")).alias(f"s{k}") for k in range(2)]
@@ -332,11 +379,15 @@ def rare_pairs(members: DataFrame, rare: DataFrame, settings: Settings) -> DataF
     of = lambda block: F.when(block < F.col("others"), 0).when(block < F.col("others") + F.col("tops"), 1).otherwise(2)
     partners = F.filter(F.sequence(F.lit(0), F.col("others") + F.col("tops") + F.col("rests") - 1), lambda x: (F.col("kind") == 0) | (of(x) != F.col("kind")))
     cells = dealt.withColumn("other", F.explode(partners)).select(
-        "shingle", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "class_id", "short")
+        "shingle", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "class_id", "short").join(sketches, "doc_id")
 
     def meet(cell: pd.DataFrame) -> pd.DataFrame:
         ids, classes = cell["doc_id"].to_numpy(), cell["class_id"].to_numpy()
         x, y = cell_pairs(ids, classes, cell["short"].to_numpy(), cell["block"].to_numpy()).T
+        if len(x):
+            sketch = np.frombuffer(b"".join(cell["sketch"]), np.uint8).reshape(len(ids), -1)
+            on = sketches_may_reach(sketch, cell["many"].to_numpy(), cell["total"].to_numpy(), x, y, settings.threshold)
+            x, y = x[on], y[on]
         u, v = ids[x], ids[y]
         p, q = classes[x], classes[y]
         return pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v), "low": np.minimum(p, q), "high": np.maximum(p, q)})
@@ -346,35 +397,16 @@ def rare_pairs(members: DataFrame, rare: DataFrame, settings: Settings) -> DataF
 
 
 def rare_links(members: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
-    """Links (a, b) that join all similar texts of ``members`` that are in different classes.
-
-    Each text is compared with one leader of every rare shingle first, and what that links is one
-    class when pairs are formed.
-    """
+    """Links (a, b) that join all similar texts of ``members`` that are in different classes."""
     known = stored(texts.join(members.select("doc_id"), "doc_id", "left_semi"), "open-texts")
-    rare = stored(rare_shingles(known, settings), "rare-shingles")
-    led = led_links(members, rare, known, settings)
-    of = components(members.select(F.col("doc_id").alias("a"), F.col("class_id").alias("b")).where("a <> b").unionAll(led))
-    merged = stored(members.join(of.withColumnRenamed("class_id", "found"), "doc_id", "left").select("doc_id", F.coalesce("found", "class_id").alias("class_id")), "merged")
-    pairs = rare_pairs(merged, rare, settings)
+    shingled = stored(text_shingles(known, settings), "shingles")
+    rare = stored(rarest(shingled, settings), "rare-shingles")
+    pairs = rare_pairs(members, rare, shingled.select("doc_id", "many", "total", "sketch"), settings)
     best = pairs.groupBy("low", "high").agg(F.max(F.struct("n", "a", "b")).alias("p")).select("p.a", "p.b")
     first = stored(verified(best, known, settings).select("a", "b"), "first-links")
     tried = pairs.join(first, ["a", "b"], "left_semi").select("low", "high")
     rest = pairs.join(tried, ["low", "high"], "left_anti").join(best, ["a", "b"], "left_anti").select("a", "b")
-    return led.unionAll(first).unionAll(stored(verified(rest, known, settings).select("a", "b"), "rest-links"))
-
-
-def led_links(members: DataFrame, rare: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
-    """Links (a, b) between texts of different classes and a leader of one of their rare shingles.
-
-    The leader of a shingle is the text of smallest hash for which it is short.
-    """
-    known = stored(rare.join(members, "doc_id").select("shingle", F.struct("doc_id", "class_id").alias("one"), "short"), "rare-classes")
-    order = F.struct(F.xxhash64("one.doc_id").alias("o"), "one")
-    leaders = known.where("short").groupBy("shingle").agg(F.min(order)["one"].alias("leader"))
-    met = known.join(leaders, "shingle").where("one.class_id <> leader.class_id").select(
-        F.least("one.doc_id", "leader.doc_id").alias("a"), F.greatest("one.doc_id", "leader.doc_id").alias("b")).distinct()
-    return stored(verified(met, texts, settings).select("a", "b"), "led-links")
+    return first.unionAll(stored(verified(rest, known, settings).select("a", "b"), "rest-links"))
 
 
 def components(links: DataFrame) -> DataFrame:
