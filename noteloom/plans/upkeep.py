@@ -249,15 +249,14 @@ def citation_renumber(spark: SparkSession, d: str) -> DataFrame:
 
 def stale_sources(spark: SparkSession, d: str) -> DataFrame:
     """Snapshots of all lines against an index in which some lines and documents changed."""
-    now = lines.spanned_lines(I.notes(spark, d), "kb_id")
+    now = lines.spanned_lines(I.notes(spark, d).withColumn("content_hash", F.sha2("text", 256)), "kb_id", "content_hash")
     docs = I.table(spark, d, "documents").select(
         "doc_id", F.col("source").alias("kb_id"),
         F.sha2(F.concat("text", F.when(F.col("doc_id") % 41 == 0, "!").otherwise("")), 256).alias("content_hash"),
     )
-    hashes = I.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
     n = F.col("chunk_id")
-    shots = now.join(hashes, "doc_id").withColumn("scope_kb", F.when(n % 53 == 0, "src1"))
-    current = now.filter(n % 59 != 0).withColumn("content", F.when(n % 61 == 0, F.upper("content")).otherwise(F.col("content")))
+    shots = now.withColumn("scope_kb", F.when(n % 53 == 0, "src1"))
+    current = now.drop("content_hash").filter(n % 59 != 0).withColumn("content", F.when(n % 61 == 0, F.upper("content")).otherwise(F.col("content")))
     return audit.stale_sources(shots, current, docs)
 
 

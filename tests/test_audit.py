@@ -1,4 +1,5 @@
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -130,3 +131,19 @@ def test_endless_citation_numbers_are_out_of_range(spark):
     rows = spark.createDataFrame([(f"a [2] [{'9' * 20}] [{'1' * 40}] [2]",)], "t string").select(
         T.citation_numbers(F.col("t")).alias("n"), T.out_of_range_citations(F.col("t"), F.lit(3)).alias("bad")).first()
     assert rows.n == [2, 2**63 - 1] and rows.bad == [2**63 - 1]
+
+
+def test_no_content_moves_to_find_stale_sources(spark):
+    fields = "chunk_id long, doc_id long, kb_id string, content string, char_start long, char_end long, content_hash string, scope_kb string"
+    shots = spark.createDataFrame(
+        [(1, 1, "k", "same", 0, 4, "h", None), (2, 1, "k", None, 4, 8, "h", None), (3, 1, "k", "old", 8, 9, "h", None),
+         (4, 1, "k", None, 9, 9, "h", "k"), (5, 1, "k", "gone", 9, 13, "h", None), (6, 1, "k", "", 13, 13, "h", "other")], fields)
+    chunks = spark.createDataFrame(
+        [(1, 1, "k", "same", 0, 4), (2, 1, "k", None, 4, 8), (3, 1, "k", "new", 8, 9), (4, 1, "k", "", 9, 9), (6, 1, "k", "", 13, 13)],
+        ", ".join(fields.split(", ")[:6]))
+    documents = spark.createDataFrame([(1, "k", "h")], "doc_id long, kb_id string, content_hash string")
+    stale = A.stale_sources(shots, chunks, documents)
+    assert sorted(r.chunk_id for r in stale.collect()) == [3, 4, 5, 6]
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    moved = re.findall(r"Exchange\s*\nInput \[\d+\]: \[(.*)\]", stale._jdf.queryExecution().explainString(mode))
+    assert moved and not any(re.search(r"\b_?content#", columns) for columns in moved)
