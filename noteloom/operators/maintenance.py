@@ -42,27 +42,30 @@ def observe(suspected: DataFrame, contents: DataFrame, max_bytes: int = S.MAX_UP
     or why the file cannot be taken: missing, too_large, not_utf8, empty,
     length_mismatch. Adds ``observed``, the new source record.
     """
-    j = suspected.join(contents.select("path", "content"), "path", "left")
-    text = F.decode(F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content")), "UTF-8")
-    digest = F.sha2("content", 256)
-    changed = digest != F.col("active.content_hash")
+    # What is asked of a content is found where it is read, so that contents move only if their text is asked for.
+    valid = F.decode(F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content")), "UTF-8")
     blank = F.octet_length(F.regexp_replace(F.decode("content", "ISO-8859-1"), r"[ \t\n\x0B\f\r]+", "")) == 0
+    read = contents.select(
+        "path", valid.alias("text"), F.sha2("content", 256).alias("_digest"), F.length(valid).cast("bigint").alias("_chars"),
+        F.octet_length("content").alias("_bytes"), blank.alias("_blank"))
+    j = suspected.join(read, "path", "left")
+    changed = F.col("_digest") != F.col("active.content_hash")
     verdict = (
-        F.when(F.col("content").isNull(), "missing")
-        .when(F.octet_length("content") > F.greatest(F.lit(max_bytes), F.col("active.size")), "too_large")
-        .when(text.isNull(), "not_utf8")
-        .when(changed & blank, "empty")
-        .when(~changed & (F.length(text) != F.col("active.char_count")), "length_mismatch")
+        F.when(F.col("_bytes").isNull(), "missing")
+        .when(F.col("_bytes") > F.greatest(F.lit(max_bytes), F.col("active.size")), "too_large")
+        .when(F.col("_chars").isNull(), "not_utf8")
+        .when(changed & F.col("_blank"), "empty")
+        .when(~changed & (F.col("_chars") != F.col("active.char_count")), "length_mismatch")
         .when(changed, "changed")
         .otherwise("touched")
     )
     record = F.struct(
-        F.col("path").alias("path"), digest.alias("content_hash"), F.length(text).cast("bigint").alias("char_count"),
+        F.col("path").alias("path"), F.col("_digest").alias("content_hash"), F.col("_chars").alias("char_count"),
         F.col("_size").alias("size"), F.col("_mtime").alias("mtime_ns"),
     )
-    return j.withColumns({"verdict": verdict, "text": text}).withColumn(
+    return j.withColumn("verdict", verdict).withColumn(
         "observed", F.when(F.col("verdict").isin("changed", "touched"), record)
-    ).drop("content", "_size", "_mtime")
+    ).drop("_digest", "_chars", "_bytes", "_blank", "_size", "_mtime")
 
 
 # ---------------------------------------------------------------- relation of index and catalogue

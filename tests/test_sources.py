@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import re
 import tempfile
 
 import pytest
@@ -149,3 +150,15 @@ def test_incremental_sync_of_files(spark, folder):
     fresh = chunk_rows(split_documents(observed.join(todo, "doc_id", "left_semi").select("doc_id", "text")))
     after = M.replace_chunks(old, fresh, todo)
     assert sorted(r.content for r in after.collect()) == ["a new and longer text.", "same text."]
+
+
+def test_contents_do_not_move_to_be_compared(spark):
+    active = "struct<path:string,content_hash:string,char_count:bigint,size:bigint,mtime_ns:bigint>"
+    catalogue = spark.createDataFrame([(1, ("a", "x", 1, 1, 1)), (2, ("b", "x", 1, 1, 1))], f"doc_id long, active {active}")
+    files = spark.createDataFrame([("a", bytearray(b"text"), 4, 2)], "path string, content binary, size long, mtime_ns long")
+    seen = M.suspects(files.select("path", "size", "mtime_ns"), catalogue)
+    looked = M.observe(seen, files).select("doc_id", "verdict", "observed")
+    assert {r.doc_id: (r.verdict, r.observed and r.observed.char_count) for r in looked.collect()} == {1: ("changed", 4), 2: ("missing", None)}
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    moved = re.findall(r"Exchange\s*\nInput \[\d+\]: \[(.*)\]", looked._jdf.queryExecution().explainString(mode))
+    assert moved and not any(re.search(r"\b(content|text)#", columns) for columns in moved)
