@@ -44,8 +44,9 @@ def held_out(doc_id: Column) -> Column:
 
 
 def byte_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Consecutive parts of a batch whose texts have about ``max_bytes`` in sum, one row at least."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    """Consecutive parts of a batch whose texts, or sizes in a column of numbers, have about ``max_bytes`` in sum, one row at least."""
+    values = batch.column(column)
+    sizes = pc.fill_null(values if pa.types.is_integer(values.type) else pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes)
     start = 0
     while start < batch.num_rows:

@@ -88,3 +88,75 @@ def test_given_pages(spark, sf_dir):
         article = sources[r.page_id].split("<article>")[1].split("</article>")[0]
         plain = re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", article))
         assert r.text == " ".join(html.unescape(plain).split())
+
+
+def test_longest_repeat_decides_with_articles(spark):
+    menu = "welcome to our great site with all the news today"
+    story = [f"w{k}" for k in range(50)]
+    advert = " ".join(story[20:30])
+    rows = [(i, "http://h.x/", f"<div>{menu}</div><article><p>{' '.join(story)}</p><p>art{i}</p></article>") for i in range(4)]
+    rows += [(10 + i, "http://h.x/", f"<div>{menu}</div><p>{' '.join(story)}</p><p>print{i}</p>") for i in range(3)]
+    rows += [(20 + i, "http://h.x/", f"<div>{menu}</div><p>{advert}</p><article>other{i}</article>") for i in range(6)]
+    got = {r.page_id: r for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(3):  # the story is in more articles than outside, its advert is not; the menu is never in one
+        assert got[10 + i].text == " ".join(story) + f" print{i}" and got[10 + i].n_repeated == 60
+    for i in range(4):
+        assert got[i].text == " ".join(story) + f" art{i}"
+        assert got[i].n_repeated == 10
+    for i in range(6):
+        assert (got[20 + i].text, got[20 + i].n_repeated) == (f"other{i}", 20)
+
+
+def plain_extract(pages, n, min_pages):
+    """(text, tokens in repeats outside the article) by id: all heads of n, 2n, 4n, … tokens, counted in tables."""
+    read, counts = [], {}
+    for page_id, host, segments in pages:
+        content, at = repr(segments), 0
+        for inside, tokens in segments:
+            for length in (n << d for d in range(8)):
+                for k in range(len(tokens) - length + 1):
+                    head = (host, *tokens[k:k + length])
+                    counts.setdefault(head, (set(), set()))[inside].add(content)
+                    read.append((page_id, at + k, length, head))
+            at += len(tokens)
+    best = {}
+    for page_id, start, length, head in read:
+        outside, inside = counts[head]
+        if len(outside | inside) >= min_pages:
+            for k in range(start, start + length):
+                longest, content = best.get((page_id, k), (0, False))
+                here = len(outside) <= len(inside)
+                if length >= longest:
+                    best[page_id, k] = (length, here or (content and length == longest))
+    for page_id, _, segments in pages:
+        places = [(inside, t) for inside, tokens in segments for t in tokens]
+        if any(inside for inside, _ in places):
+            text = " ".join(t for inside, t in places if inside)
+        else:
+            text = " ".join(t for k, (_, t) in enumerate(places) if best.get((page_id, k), (0, True))[1])
+        yield page_id, (text, sum(not inside and (page_id, k) in best for k, (inside, _) in enumerate(places)))
+
+
+@pytest.mark.parametrize("min_tokens", [1, 3, 4])
+def test_repeats_equal_plain_counting(spark, min_tokens):
+    rng = random.Random(min_tokens)
+    phrases = [[rng.choice("abcde") + rng.choice("xyz") for _ in range(rng.randrange(1, 30))] for _ in range(12)]
+    pages = []
+    for page_id in range(150):
+        segments = []
+        for inside in ((False,), (False, True), (True,), (False, True, False))[rng.randrange(4)]:
+            tokens = [t for _ in range(rng.randrange(1, 4)) for t in (rng.choice(phrases) if rng.random() < 0.7 else [f"u{rng.randrange(10**6)}"])]
+            segments.append((inside, tokens))
+        pages.append((page_id, rng.choice(["h.x", "i.x"]), segments))
+    pages += [(1000 + page_id, host, segments) for page_id, host, segments in pages[:5]]  # copies count once
+    rows = [(i, f"http://{host}/{i}", "".join(f"<article>{' '.join(t)}</article>" if a else f"<p>{' '.join(t)}</p>" for a, t in s)) for i, host, s in pages]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    got = {r.page_id: (r.text, r.n_repeated) for r in extract(df, min_tokens=min_tokens).collect()}
+    assert got == dict(plain_extract(pages, min_tokens, 3))
+
+
+def test_many_pages_without_tokens_and_a_long_page(spark):
+    long = " ".join(f"t{k}" for k in range(30_000))
+    rows = [(i, "http://h.x/", "<p></p>" if i % 2 else None) for i in range(20)] + [(100 + i, "http://h.x/", f"<p>{long}</p><p>end{i}</p>") for i in range(3)]
+    got = {r.page_id: (r.text, r.n_repeated) for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: ("", 0) for i in range(20)} | {100 + i: (f"end{i}", 30_000) for i in range(3)}
